@@ -247,7 +247,9 @@ def proportional_sample(
     return rk.fetch(df, placed.filter(wanted).select(F.col("id").alias(id_col)), id_col, n)
 
 
-def shortfall(rows: DataFrame, splits: DataFrame, wanted: Mapping[str, int], classes: Sequence[str] = fixed.LABELS) -> DataFrame:
+def shortfall(
+    splits: DataFrame, wanted: Mapping[str, int], classes: Sequence[str] = fixed.LABELS
+) -> DataFrame:
     """What each split wanted and got, per class and for the whole split (class ``*``).
 
     ``wanted`` maps a split to its row target; a class is meant to give a third of it.
