@@ -669,18 +669,21 @@ def _(spark, sf):
     return synthetic.finish(_checked(spark, sf), 20)
 
 
-def load_length_model():
+def length_model():
     """A stand-in model for checks: answers by prompt length and fails on some prompts."""
 
-    def answer(prompts):
-        out = []
-        for prompt in prompts:
-            if len(prompt) % 7 == 0:
-                raise ValueError("length is a multiple of 7")
-            out.append("Positive." if len(prompt) % 2 == 0 else "negative, as told")
-        return out
+    def load():
+        def answer(prompts):
+            out = []
+            for prompt in prompts:
+                if len(prompt) % 7 == 0:
+                    raise ValueError("length is a multiple of 7")
+                out.append("Positive." if len(prompt) % 2 == 0 else "negative, as told")
+            return out
 
-    return answer
+        return answer
+
+    return load
 
 
 @query(
@@ -693,7 +696,7 @@ def load_length_model():
 )
 def _(spark, sf):
     rows = documents(spark, sf).select("id", "text")
-    return generation.batch_infer(rows, "text", load_length_model).select("id", "raw", "error")
+    return generation.batch_infer(rows, "text", length_model()).select("id", "raw", "error")
 
 
 # --- evaluation -----------------------------------------------------------------------------

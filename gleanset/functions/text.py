@@ -18,20 +18,26 @@ TICKER = r"\$[\p{L}\p{N}_]+"
 ASCII_LETTER = r"[a-zA-Z]"
 
 
+# fixed values: code points of SPACE
+SPACE_POINTS = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B))
+SPACE_CHARS = "".join(map(chr, (*SPACE_POINTS, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(text: Column) -> Column:
-    """Cut whitespace off both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Cut whitespace off both ends; looks at the edges only."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
-def _drop(text: Column, pattern: str, needle: str) -> Column:
-    # A byte search for the character every match must hold spares most rows the regex.
-    return F.when(F.contains(text, F.lit(needle)), F.regexp_replace(text, pattern, "")).otherwise(text)
+def _without_markers(text: Column) -> Column:
+    # Byte searches for what every match must hold spare most rows the three regexes.
+    marked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("$")) | F.contains(text, F.lit("://"))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, URL, ""), HANDLE, ""), TICKER, "")
+    return F.when(marked, bare).otherwise(text)
 
 
 def clean_text(text: Column) -> Column:
     """Remove URLs, then handles, then tickers, then edge whitespace; null becomes empty."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return strip(_drop(_drop(_drop(text, URL, "://"), HANDLE, "@"), TICKER, "$"))
+    return strip(_without_markers(F.coalesce(text.cast("string"), F.lit(""))))
 
 
 def char_length(text: Column) -> Column:

@@ -47,36 +47,35 @@ def batch_infer(
     """
     schema = T.StructType([*df.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
 
+    # Both functions are nested so that they travel to the workers by value.
+    def answers(model, prompts):
+        try:
+            together = list(model(prompts))
+            if len(together) == len(prompts):
+                return together, [None] * len(prompts)
+        except Exception:  # noqa: BLE001 - whatever user code raised, look for the failing prompt
+            pass
+        raw, errors = [], []
+        for prompt in prompts:
+            try:
+                (answer,) = model([prompt])
+                raw.append(answer)
+                errors.append(None)
+            except Exception as failure:  # noqa: BLE001
+                raw.append(None)
+                errors.append(f"{type(failure).__name__}: {failure}")
+        return raw, errors
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            prompts = batch.column(prompt_col).to_pylist()
-            raw, errors = _answers(model, prompts)
+            raw, errors = answers(model, batch.column(prompt_col).to_pylist())
             columns = [*batch.columns, pa.array(raw, pa.string()), pa.array(errors, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "raw", "error"])
 
     return df.mapInArrow(run, schema)
 
 
-def _answers(model, prompts):
-    try:
-        answers = list(model(prompts))
-        if len(answers) == len(prompts):
-            return answers, [None] * len(prompts)
-    except Exception:  # noqa: BLE001 - any failure of user code means: find the failing prompt
-        pass
-    raw, errors = [], []
-    for prompt in prompts:
-        try:
-            (answer,) = model([prompt])
-            raw.append(answer)
-            errors.append(None)
-        except Exception as failure:  # noqa: BLE001
-            raw.append(None)
-            errors.append(f"{type(failure).__name__}: {failure}")
-    return raw, errors
-
-
 def answered(inferred: DataFrame) -> DataFrame:
     """Rows the model answered."""
     return inferred.filter(F.col("error").isNull()).drop("error")

@@ -32,6 +32,9 @@ def with_draw(df: DataFrame, id_col: str = "id", seed: int = fixed.SEED) -> Data
 
 def slot_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows per (group, slot)."""
+    # The joins below imply these conditions; spelled out, all uses of the counts share one shuffle.
+    for key in (*by, "_slot"):
+        df = df.filter(F.col(key).isNotNull())
     return df.groupBy(*by, "_slot").agg(F.count(F.lit(1)).alias("_n"))
 
 

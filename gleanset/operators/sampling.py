@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset import fixed
@@ -64,35 +64,32 @@ def sample_per_class(
     return rk.fetch(df, picked.select(F.col("id").alias(id_col)), id_col, bound)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _class_sizes(slots: DataFrame, classes: Sequence[str]) -> DataFrame:
     """One row: the size of every class as ``n0, n1, ..``."""
-    return slots.agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("label") == c, F.col("_n"))), F.lit(0)).alias(f"n{i}")
-            for i, c in enumerate(classes)
-        ]
-    )
+    sums = [
+        F.expr(f"coalesce(sum(_n) FILTER (WHERE label = {_quoted(c)}), 0) AS n{i}") for i, c in enumerate(classes)
+    ]
+    return slots.agg(*sums)
 
 
-def _per_class(sizes: DataFrame, classes: Sequence[str], values: Sequence[Mapping[str, Column]]) -> DataFrame:
-    """One row per class from the one-row table, holding the given expressions."""
-    rows = [
-        F.struct(F.lit(c).alias("label"), *[v.cast("bigint").alias(k) for k, v in values[i].items()])
+def _per_class(one_row: DataFrame, classes: Sequence[str], own: Sequence[str], shared: Sequence[str]) -> DataFrame:
+    """One row per class: ``own`` columns carry the class number as suffix, ``shared`` ones do not."""
+    structs = [
+        f"struct({_quoted(c)} AS label, "
+        + ", ".join([*(f"bigint({o}{i}) AS {o}" for o in own), *(f"bigint({x}) AS {x}" for x in shared)])
+        + ")"
         for i, c in enumerate(classes)
     ]
-    return sizes.select(F.inline(F.array(*rows)))
+    return one_row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    total = F.lit(0)
-    for column in columns:
-        total = total + column
-    return total
-
-
-def _grant(need: Column, available: Column) -> Column:
+def _grant(need: str, available: str) -> str:
     """All-or-nothing: the whole need, or zero when it is not covered."""
-    return F.when((need > 0) & (available >= need), need).otherwise(F.lit(0))
+    return f"CASE WHEN {need} > 0 AND {available} >= {need} THEN {need} ELSE 0 END"
 
 
 def _candidates(rows: DataFrame, bound: int, classes: Sequence[str], seed: int):
@@ -107,22 +104,21 @@ def scarce_first_quotas(
     sizes: DataFrame, classes: Sequence[str], scarce: str, eval_rows: int, train_rows: int
 ) -> DataFrame:
     """Quotas per class when one class is scarce: half of what it lacks goes to each other class."""
+    numbers, first = range(len(classes)), list(classes).index(scarce)
     e_goal, t_goal = eval_rows // 3, train_rows // 3
-    n = {c: F.col(f"n{i}") for i, c in enumerate(classes)}
-    e, t = {}, {}
-    e[scarce] = F.least(n[scarce], F.lit(e_goal))
-    t[scarce] = F.least(n[scarce] - e[scarce], F.lit(t_goal))
-    for c in classes:
-        if c != scarce:
-            e[c] = F.least(n[c], e_goal + F.floor((e_goal - e[scarce]) / 2))
-            t[c] = F.least(n[c] - e[c], t_goal + F.floor((t_goal - t[scarce]) / 2))
-    taken_e, taken_t = _total(list(e.values())), _total(list(t.values()))
-    pool = _total(list(n.values())) - taken_e - taken_t
-    more_e = _grant(F.lit(eval_rows) - taken_e, pool)
-    more_t = _grant(F.lit(train_rows) - taken_t, pool - more_e)
-    return _per_class(
-        sizes, classes, [{"n": n[c], "e": e[c], "t": t[c], "more_e": more_e, "more_t": more_t} for c in classes]
-    )
+    steps = [f"least(n{first}, {e_goal}) AS e{first}", f"least(n{first} - e{first}, {t_goal}) AS t{first}"]
+    for i in numbers:
+        if i != first:
+            steps.append(f"least(n{i}, {e_goal} + ({e_goal} - e{first}) div 2) AS e{i}")
+            steps.append(f"least(n{i} - e{i}, {t_goal} + ({t_goal} - t{first}) div 2) AS t{i}")
+    steps += [
+        f"{eval_rows} - {' - '.join(f'e{i}' for i in numbers)} AS need_e",
+        f"{train_rows} - {' - '.join(f't{i}' for i in numbers)} AS need_t",
+        f"{' + '.join(f'n{i} - e{i} - t{i}' for i in numbers)} AS pool",
+        f"{_grant('need_e', 'pool')} AS more_e",
+        f"{_grant('need_t', 'pool - more_e')} AS more_t",
+    ]
+    return _per_class(sizes.selectExpr("*", *steps), classes, ["n", "e", "t"], ["more_e", "more_t"])
 
 
 def scarce_first_split(
@@ -168,10 +164,14 @@ def balanced_split(
     e_goal, t_goal = eval_rows // 3, train_rows // 3
     ranked, sizes = _candidates(rows, bound, classes, seed)
 
-    n = [F.col(f"n{i}") for i in range(len(classes))]
-    e = [F.least(x, F.lit(e_goal)) for x in n]
-    more_e = _grant(F.lit(eval_rows) - _total(e), _total(n) - _total(e))
-    eval_quotas = _per_class(sizes, classes, [{"n": n[i], "e": e[i], "more_e": more_e} for i in range(len(classes))])
+    numbers = range(len(classes))
+    steps = [f"least(n{i}, {e_goal}) AS e{i}" for i in numbers]
+    steps += [
+        f"{eval_rows} - {' - '.join(f'e{i}' for i in numbers)} AS need_e",
+        f"{' + '.join(f'n{i} - e{i}' for i in numbers)} AS pool",
+        f"{_grant('need_e', 'pool')} AS more_e",
+    ]
+    eval_quotas = _per_class(sizes.selectExpr("*", *steps), classes, ["n", "e"], ["more_e"])
 
     placed = ranked.join(F.broadcast(eval_quotas), "label").withColumn("_pool", F.col("rank") > F.col("e"))
     placed = rk.rank_drawn(placed, ["_pool"], bound * len(classes), "_turn")
@@ -181,23 +181,24 @@ def balanced_split(
     left = (
         placed.groupBy("label")
         .agg(F.max("n").alias("n"), F.max("e").alias("e"), F.count_if("_extra").alias("u"))
-        .withColumn("t", F.least(F.col("n") - F.col("e") - F.col("u"), F.lit(t_goal)))
+        .selectExpr("*", f"least(n - e - u, {t_goal}) AS t")
+        .selectExpr("*", f"{train_rows} - sum(t) OVER () AS need_t", "sum(n - e - u - t) OVER () AS pool")
+        .selectExpr("label", "u", "t", f"{_grant('need_t', 'pool')} AS more_t")
     )
-    summed = left.agg(F.sum("t").alias("t"), F.sum(F.col("n") - F.col("e") - F.col("u") - F.col("t")).alias("pool"))
-    more_t = summed.select(_grant(F.lit(train_rows) - F.col("t"), F.col("pool")).cast("bigint")).scalar()
-
-    rest = placed.filter(~F.col("_pool") | F.col("_extra")).select("id", "label", F.lit("eval").alias("split"))
-    open_rows = (
-        placed.filter(F.col("_pool") & ~F.col("_extra"))
-        .join(F.broadcast(left.select("label", "u", "t")), "label")
-        .withColumn("_in", F.col("rank") <= F.col("e") + F.col("u") + F.col("t"))
-        .drop("_turn")
-    )
-    open_rows = rk.rank_drawn(open_rows, ["_in"], bound * len(classes), "_turn")
-    train = open_rows.filter(F.col("_in") | (F.col("_turn") <= more_t)).select(
-        "id", "label", F.lit("train").alias("split")
+    placed = placed.drop("_turn").join(F.broadcast(left), "label")
+    placed = placed.withColumn(
+        "split",
+        F.when(~F.col("_pool") | F.col("_extra"), "eval").when(
+            F.col("rank") <= F.col("e") + F.col("u") + F.col("t"), "train"
+        ),
+    ).withColumn("_open", F.col("split").isNull())
+    placed = rk.rank_drawn(placed, ["_open"], bound * len(classes), "_turn")
+    topped = F.when(F.col("_turn") <= F.col("more_t"), "train")
+    return (
+        placed.withColumn("split", F.coalesce("split", topped))
+        .filter(F.col("split").isNotNull())
+        .select("id", "label", "split")
     )
-    return rest.unionByName(train)
 
 
 def proportional_quotas(counts: DataFrame, n: int) -> DataFrame:

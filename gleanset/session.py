@@ -18,6 +18,8 @@ ENGINE_CONF = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # Call-site capture for error messages costs several driver round trips per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
