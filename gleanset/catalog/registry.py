@@ -699,6 +699,54 @@ def _(spark, sf):
     return generation.batch_infer(rows, "text", length_model()).select("id", "raw", "error")
 
 
+def writer_model():
+    """A stand-in generator: the first words of the prompt."""
+
+    def load():
+        return lambda prompts: [" ".join(p.split()[: 3 + len(p) % 40]) for p in prompts]
+
+    return load
+
+
+def labeller_model():
+    """A stand-in labeller: answers by prompt length, some answers outside the label set."""
+
+    def load():
+        names = ["Positive.", "negative, clearly", "neutral", "unsure"]
+        return lambda prompts: [names[len(p) % 4] for p in prompts]
+
+    return load
+
+
+_WRITTEN = f"""w AS (
+  SELECT item_id, array_to_string(list_slice(regexp_extract_all(text, '[^{sq.SPACE}]+'), 1, 3 + length(text) % 40), ' ')
+    AS text FROM benchmark WHERE item_id < 160 + (SELECT count(*) FROM benchmark)),
+u AS (SELECT text, min(item_id) * 5 AS id FROM w WHERE {sq.words('text')} > 3 GROUP BY text ORDER BY id LIMIT 800),
+l AS (SELECT id, text AS input, ['Positive.', 'negative, clearly', 'neutral', 'unsure'][
+    length(concat('Instruction: {fixed.INSTRUCTION}', chr(10), 'News: ', text, chr(10), 'Sentiment:')) % 4 + 1] AS raw
+  FROM u),
+lab AS (SELECT id, input, translate(lower(regexp_extract(raw, '[^{sq.SPACE}]+')), '.,', '') AS label FROM l),
+en AS (SELECT * FROM lab WHERE label IN ('negative', 'neutral', 'positive') AND {sq.words('input')} BETWEEN 4 AND 80)"""
+
+
+@query("synthetic_build", f"WITH {_WRITTEN} SELECT id, '{fixed.INSTRUCTION}' AS instruction, input, label AS output FROM en")
+def _(spark, sf):
+    folder = scratch_path(spark, "synthetic")
+    return synthetic.build_synthetic(fx.prompts(spark, sf), writer_model(), labeller_model(), folder)
+
+
+@query(
+    "synthetic_funnel",
+    f"""WITH {_MADE}, f AS (SELECT * FROM checked QUALIFY row_number() OVER (PARTITION BY input ORDER BY id) = 1)
+    SELECT CAST(0 AS BIGINT) AS step, 'loaded' AS stage, (SELECT count(*) FROM checked) AS rows_left
+    UNION ALL SELECT 1, 'deduplicated', (SELECT count(*) FROM f)
+    UNION ALL SELECT 2, 'label_valid', (SELECT count(*) FROM f WHERE label_is_valid)
+    UNION ALL SELECT 3, 'length_ok', (SELECT count(*) FROM f WHERE label_is_valid AND input_length_ok)""",
+)
+def _(spark, sf):
+    return synthetic.synthetic_funnel(_checked(spark, sf))
+
+
 # --- evaluation -----------------------------------------------------------------------------
 
 
@@ -842,6 +890,42 @@ def _(spark, sf):
     return six(metrics.metric_table(_counts(spark, sf)), "value")
 
 
+def answer_model(shift: int):
+    """A stand-in classifier: answers by prompt length."""
+
+    def load():
+        names = ["positive", "Negative.", "it is neutral", "no idea"]
+        return lambda prompts: [names[(len(p) + shift) % 4] for p in prompts]
+
+    return load
+
+
+def _sql_answer(shift: int) -> str:
+    return f"['positive', 'Negative.', 'it is neutral', 'no idea'][(length(prompt) + {shift}) % 4 + 1]"
+
+
+@query(
+    "model_run",
+    f"""WITH {sq.EN_CLEAN}, {sq.VI_CLEAN}, {sq.balanced('en', 'es', *EN_QUOTA)}, {sq.scarce_first('vi', 'vs', *VI_QUOTA)},
+    rows AS (SELECT 'EN' AS language, en.input, es.label FROM es JOIN en USING (id) WHERE split = 'eval'
+      UNION ALL SELECT 'VI', vi.input, vs.label FROM vs JOIN vi USING (id) WHERE split = 'eval'),
+    asked AS (SELECT language, label, {_sql_chat('input', None)} AS prompt FROM rows),
+    told AS (SELECT language, label, 'baseline' AS model, {_sql_answer(0)} AS raw FROM asked
+      UNION ALL SELECT language, label, 'finetuned', {_sql_answer(1)} FROM asked),
+    one AS (SELECT language, label, model, {sq.parse('raw')} AS pred FROM told),
+    every AS (SELECT * FROM one UNION ALL SELECT 'overall', label, model, pred FROM one)
+    SELECT model, language, count(*) AS rows, count(*) FILTER (pred <> 'unparseable') AS parseable,
+      round(count(*) FILTER (pred = label) / count(*), 6) AS accuracy_all,
+      round(count(*) FILTER (pred = label) / count(*) FILTER (pred <> 'unparseable'), 6) AS accuracy_parseable,
+      round(count(*) FILTER (pred = label) / count(*) FILTER (pred <> 'unparseable'), 6) AS accuracy_reported
+    FROM every GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    rows = dataset_build(spark, sf).filter("split = 'eval'")
+    tables = evaluation.run_models(rows, answer_model(0), answer_model(1), scratch_path(spark, "evaluation"))
+    return six(tables["accuracy"], "accuracy_all", "accuracy_parseable", "accuracy_reported")
+
+
 # --- sources and sinks ----------------------------------------------------------------------
 
 

@@ -72,8 +72,9 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> Da
 def drop_listed(df: DataFrame, text_col: str, texts: Sequence[str] | DataFrame) -> DataFrame:
     """Drop rows whose text is in a list (or in the first column of a DataFrame)."""
     if isinstance(texts, DataFrame):
-        listed = texts.select(F.col(texts.columns[0]).alias(text_col)).distinct()
-        return _salted_anti(df, listed, [text_col])
+        listed = texts.select(text_key(F.col(texts.columns[0])).alias("_key0")).distinct()
+        keyed, names = with_keys(df, [text_col])
+        return _salted_anti(keyed, listed, names, F.xxhash64(*df.columns)).select(*df.columns)
     return df.filter(F.coalesce(~F.col(text_col).isin(list(texts)), F.lit(True)))
 
 
@@ -83,12 +84,18 @@ def count_listed(df: DataFrame, text_col: str, texts: Sequence[str]) -> DataFram
     return df.agg(F.count_if(listed).alias("removed"), F.count_if(~listed).alias("kept"))
 
 
-def _salted_anti(df: DataFrame, unwanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``left_anti`` on a key that may repeat without limit in ``df``."""
-    columns = df.columns
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int"))
+def _salted_anti(rows: DataFrame, unwanted: DataFrame, names: Sequence[str], spread_by: Column) -> DataFrame:
+    """``left_anti`` on keys that may repeat without limit in ``rows``.
+
+    Each key of ``rows`` is split into :data:`SALTS` parts; the (narrow, distinct) unwanted keys
+    are repeated for every part. A null key matches a null key.
+    """
+    salted = rows.withColumn("_salt", F.pmod(spread_by, F.lit(SALTS)).cast("int"))
     every_salt = unwanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(every_salt, [*keys, "_salt"], "left_anti").select(*columns)
+    same = F.col("l._salt") == F.col("r._salt")
+    for name in names:
+        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    return salted.alias("l").join(every_salt.alias("r"), same, "left_anti").select("l.*")
 
 
 def drop_conflicting(
@@ -107,14 +114,7 @@ def drop_conflicting(
         .filter("_low <> _high")
         .select(*names)
     )
-    spread = keyed.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-    every_salt = conflicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = F.col("l._salt") == F.col("r._salt")
-    for name in names:
-        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    return (
-        spread.alias("l").join(every_salt.alias("r"), same, "left_anti").select(*[F.col(f"l.{c}") for c in columns])
-    )
+    return _salted_anti(keyed, conflicts, names, F.xxhash64(F.col(id_col))).select(*columns)
 
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

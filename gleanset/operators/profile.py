@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanset import fixed
@@ -29,8 +29,14 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 def value_shares(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """:func:`value_counts` with the share and percentage inside each column."""
     counts = value_counts(df, columns, by)
-    total = F.sum("n").over(Window.partitionBy(*by, "column"))
-    return counts.withColumn("share", F.col("n") / total).withColumn("percent", F.col("share") * 100)
+    groups = [*by, "column"]
+    totals = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
+    same = F.lit(True)
+    for name in groups:
+        same = same & F.col(f"c.{name}").eqNullSafe(F.col(f"t.{name}"))
+    joined = counts.alias("c").join(totals.alias("t"), same).select("c.*", "t._total")
+    share = F.col("n") / F.col("_total")
+    return joined.select(*counts.columns, share.alias("share"), (share * 100).alias("percent"))
 
 
 def ordered_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

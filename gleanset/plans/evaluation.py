@@ -9,6 +9,7 @@ from gleanset import fixed
 from gleanset.functions import chat
 from gleanset.operators import generation, metrics
 from gleanset.plans.synthetic import Model
+from gleanset.session import materialized
 
 PREDICTIONS = {"baseline": "baseline_prediction", "finetuned": "finetuned_prediction"}
 
@@ -60,3 +61,8 @@ def evaluate(answers: DataFrame) -> dict[str, DataFrame]:
         "comparison": metrics.model_comparison(counts),
         "metrics": metrics.metric_table(counts),
     }
+
+
+def run_models(eval_rows: DataFrame, baseline: Model, finetuned: Model, folder: str) -> dict[str, DataFrame]:
+    """Ask both models, keep their answers in ``folder``, and score them."""
+    return evaluate(materialized(answer_all(eval_rows, baseline, finetuned), f"{folder}/answers"))

@@ -1,4 +1,8 @@
-"""Synthetic rows: fan prompts out, generate, label, check, and sample down."""
+"""Synthetic rows: fan prompts out, generate, label, check, and sample down.
+
+A model may be slow and need not repeat itself, so each model's answers are written to a table
+once and every later step reads that table.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 from gleanset import fixed
 from gleanset.functions import chat
 from gleanset.operators import dedup, generation, sampling
+from gleanset.operators.profile import stage_funnel
+from gleanset.session import materialized
 
 Model = Callable[[], Callable[[Sequence[str]], Sequence[str]]]
 
@@ -39,3 +45,30 @@ def finish(rows: DataFrame, n: int = fixed.SYNTHETIC_ROWS, seed: int = fixed.SEE
     """First copy of each input, rows that pass the checks, sampled down by class share."""
     kept = generation.passing(dedup.dedup_keep_first(rows, ["input"]))
     return sampling.proportional_sample(kept, "output", n, seed=seed).select("id", "instruction", "input", "output")
+
+
+def build_synthetic(
+    prompts: DataFrame,
+    load_writer: Model,
+    load_labeller: Model,
+    folder: str,
+    n: int = fixed.SYNTHETIC_ROWS,
+    target: int = fixed.SYNTHETIC_ATTEMPT_TARGET,
+    per_prompt: int = fixed.ATTEMPTS_PER_PROMPT,
+    seed: int = fixed.SEED,
+) -> DataFrame:
+    """(id, instruction, input, output) rows from prompts; both models' answers go to ``folder``."""
+    texts = materialized(generate_snippets(prompts, load_writer, target, per_prompt), f"{folder}/snippets")
+    labelled = materialized(label_snippets(texts, load_labeller), f"{folder}/labelled")
+    return finish(labelled, n, seed)
+
+
+def synthetic_funnel(labelled: DataFrame) -> DataFrame:
+    """Rows left after the label check, the length check and dedup, as the checks are reported."""
+    firsts = dedup.first_of_each(
+        labelled,
+        ["input"],
+        carry={"label_ok": F.col("label_is_valid"), "length_ok": F.col("input_length_ok")},
+    )
+    stages = {"deduplicated": F.lit(True), "label_valid": F.col("label_ok"), "length_ok": F.col("length_ok")}
+    return stage_funnel(firsts, stages, loaded=F.col("copies"))
