@@ -22,6 +22,8 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: st
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
