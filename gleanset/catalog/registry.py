@@ -141,7 +141,7 @@ def _(spark, sf):
 def _(spark, sf):
     toxic = fx.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
     listed = fx.table(spark, sf, "documents").join(toxic, "doc_id").select("text")
-    return dedup.drop_listed(fx.en_raw(spark, sf).select("id", "input"), "input", listed)
+    return dedup.drop_listed(fx.en_raw(spark, sf).select("id", "input"), "input", listed, scratch_path(spark, "listed"))
 
 
 @query(
@@ -153,7 +153,7 @@ def _(spark, sf):
 def _(spark, sf):
     index = F.coalesce(lb.class_index(lb.map_terms(F.col("output"))), F.lit(-1))
     rows = fx.en_raw(spark, sf).withColumn("class", index)
-    return dedup.drop_conflicting(rows, ["input"], "class").drop("class")
+    return dedup.drop_conflicting(rows, ["input"], "class", folder=scratch_path(spark, "conflicts")).drop("class")
 
 
 @query(
@@ -163,7 +163,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = fx.vi_raw(spark, sf).drop("split")
-    return dedup.drop_conflicting(rows, ["sentence"], "sentiment", within=["topic"])
+    return dedup.drop_conflicting(
+        rows, ["sentence"], "sentiment", within=["topic"], folder=scratch_path(spark, "conflicts")
+    )
 
 
 @query(

@@ -3,7 +3,8 @@
 A text held by a large part of the table must not end up in one task. So the groups are first
 reduced by an aggregate (combined map-side) over 32-byte keys, and rows are then kept or dropped
 by a join on their unique id, which spreads evenly. Where a join on the repeated key itself
-cannot be avoided, it is salted.
+cannot be avoided, the unwanted keys are either few enough to broadcast (checked on the written
+key table) or the join is salted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanset.functions.keys import row_key, text_key, with_keys
+from gleanset.operators.ranking import BROADCAST_ROWS
+from gleanset.session import materialized
 
 #: Parts that one repeated key is split into where it has to be joined.
 SALTS = 64
@@ -69,12 +72,17 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> Da
     return df.join(singles, id_col, "left_anti")
 
 
-def drop_listed(df: DataFrame, text_col: str, texts: Sequence[str] | DataFrame) -> DataFrame:
-    """Drop rows whose text is in a list (or in the first column of a DataFrame)."""
+def drop_listed(
+    df: DataFrame, text_col: str, texts: Sequence[str] | DataFrame, folder: str | None = None
+) -> DataFrame:
+    """Drop rows whose text is in a list (or in the first column of a DataFrame).
+
+    For ``folder`` see :func:`_drop_keys`; it only matters for a DataFrame.
+    """
     if isinstance(texts, DataFrame):
-        listed = texts.select(text_key(F.col(texts.columns[0])).alias("_key0")).distinct()
+        listed = texts.select(text_key(F.col(texts.columns[0])).alias("_key0")).dropna().distinct()
         keyed, names = with_keys(df, [text_col])
-        return _salted_anti(keyed, listed, names, F.xxhash64(*df.columns)).select(*df.columns)
+        return _drop_keys(keyed, listed, names, F.xxhash64(*df.columns), folder).select(*df.columns)
     return df.filter(F.coalesce(~F.col(text_col).isin(list(texts)), F.lit(True)))
 
 
@@ -84,27 +92,46 @@ def count_listed(df: DataFrame, text_col: str, texts: Sequence[str]) -> DataFram
     return df.agg(F.count_if(listed).alias("removed"), F.count_if(~listed).alias("kept"))
 
 
-def _salted_anti(rows: DataFrame, unwanted: DataFrame, names: Sequence[str], spread_by: Column) -> DataFrame:
-    """``left_anti`` on keys that may repeat without limit in ``rows``.
+def _same_key(names: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    return same
+
+
+def _drop_keys(
+    rows: DataFrame, unwanted: DataFrame, names: Sequence[str], spread_by: Column, folder: str | None
+) -> DataFrame:
+    """``left_anti`` on keys that may repeat without limit in ``rows``; a null key matches a null key.
 
-    Each key of ``rows`` is split into :data:`SALTS` parts; the (narrow, distinct) unwanted keys
-    are repeated for every part. A null key matches a null key.
+    With a ``folder`` the unwanted keys are written there and counted: a small set is broadcast and
+    ``rows`` is not shuffled at all. Otherwise each key of ``rows`` is split into :data:`SALTS`
+    parts and the (narrow, distinct) unwanted keys are repeated for every part.
     """
+    if folder is not None:
+        unwanted = materialized(unwanted, folder)
+        if unwanted.count() <= BROADCAST_ROWS:
+            kept = rows.alias("l").join(F.broadcast(unwanted).alias("r"), _same_key(names), "left_anti")
+            return kept.select("l.*")
     salted = rows.withColumn("_salt", F.pmod(spread_by, F.lit(SALTS)).cast("int"))
     every_salt = unwanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = F.col("l._salt") == F.col("r._salt")
-    for name in names:
-        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    same = _same_key(names) & (F.col("l._salt") == F.col("r._salt"))
     return salted.alias("l").join(every_salt.alias("r"), same, "left_anti").select("l.*")
 
 
 def drop_conflicting(
-    df: DataFrame, keys: Sequence[str], label: str, within: Sequence[str] = (), id_col: str = "id"
+    df: DataFrame,
+    keys: Sequence[str],
+    label: str,
+    within: Sequence[str] = (),
+    id_col: str = "id",
+    folder: str | None = None,
 ) -> DataFrame:
     """Drop all rows of a text that carries different labels inside the same ``within`` group.
 
     A null label is no label and contradicts nothing. A text under different groups stays.
     Integer labels aggregate by hash; map strings to class indexes first where that matters.
+    For ``folder`` see :func:`_drop_keys`.
     """
     columns = df.columns
     keyed, names = with_keys(df, [*keys, *within])
@@ -114,7 +141,7 @@ def drop_conflicting(
         .filter("_low <> _high")
         .select(*names)
     )
-    return _salted_anti(keyed, conflicts, names, F.xxhash64(F.col(id_col))).select(*columns)
+    return _drop_keys(keyed, conflicts, names, F.xxhash64(F.col(id_col)), folder).select(*columns)
 
 
 def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

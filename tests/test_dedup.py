@@ -53,7 +53,15 @@ def test_drop_all_and_listing_split_the_table(df, rows):
     assert ids(dedup.duplicate_rows(df, ["text"])) == sorted(r[0] for g in by_text.values() if len(g) > 1 for r in g)
 
 
-def test_drop_conflicting(df, rows):
+@pytest.fixture(params=["salted", "broadcast", "too many to broadcast"])
+def folder(request, tmp_path, monkeypatch):
+    """Every way the rows of unwanted keys can be dropped."""
+    if request.param == "too many to broadcast":
+        monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    return None if request.param == "salted" else lambda name: str(tmp_path / name)
+
+
+def test_drop_conflicting(df, rows, folder):
     def clean(key):
         kept = []
         for g in groups(rows, key).values():
@@ -61,16 +69,17 @@ def test_drop_conflicting(df, rows):
                 kept += [r[0] for r in g]
         return sorted(kept)
 
-    assert ids(dedup.drop_conflicting(df, ["text"], "label")) == clean(lambda r: r[1])
-    assert ids(dedup.drop_conflicting(df, ["text"], "label", within=["topic"])) == clean(lambda r: (r[1], r[3]))
+    assert ids(dedup.drop_conflicting(df, ["text"], "label", folder=folder and folder("a"))) == clean(lambda r: r[1])
+    by_topic = dedup.drop_conflicting(df, ["text"], "label", within=["topic"], folder=folder and folder("b"))
+    assert ids(by_topic) == clean(lambda r: (r[1], r[3]))
 
 
-def test_drop_listed(spark, df, rows):
+def test_drop_listed(spark, df, rows, folder):
     listed = ["hot", "t1", "t2"]
     want = sorted(r[0] for r in rows if r[1] not in listed)
     assert ids(dedup.drop_listed(df, "text", listed)) == want
     table = spark.createDataFrame([(t,) for t in [*listed, "hot"]], "x string")
-    assert ids(dedup.drop_listed(df, "text", table)) == want
+    assert ids(dedup.drop_listed(df, "text", table, folder and folder("c"))) == want
     counted = dedup.count_listed(df, "text", listed).first()
     assert (counted.removed, counted.kept) == (len(rows) - len(want), len(want))
 
