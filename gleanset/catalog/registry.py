@@ -784,6 +784,14 @@ def _(spark, sf):
     return metrics.detailed_results(fx.answers(spark, sf))
 
 
+@query("detailed_results_joined", SQL["detailed_results"])
+def _(spark, sf):
+    told = fx.answers(spark, sf)
+    parts = [told.select("id", F.col(f"{m}_raw_output").alias("raw")) for m in ("baseline", "finetuned")]
+    rows = told.select("id", "language", "instruction", "input_text", "ground_truth")
+    return metrics.detailed_results(metrics.with_answers(rows, *parts))
+
+
 @query(
     "unparseable_rate",
     f"""WITH {sq.MELTED} SELECT model, language, count(*) AS rows, count(*) FILTER (pred = 'unparseable') AS unparseable,

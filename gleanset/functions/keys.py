@@ -28,7 +28,15 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df, names
 
 
-def row_key(columns: Sequence[str]) -> Column:
-    """Key of a whole row; a null and an empty string differ."""
-    parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("null")) for c in columns]
-    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
+def with_value_keys(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str], Column]:
+    """One 32-byte key per column and one for the whole row; a null is a value of its own.
+
+    Returns the table of column keys, their names, and the row key as an expression on them.
+    """
+    names = [f"_value{i}" for i in range(len(columns))]
+    keys = [
+        F.coalesce(text_key(F.col(c).cast("string")), F.lit(b"")).alias(n) for c, n in zip(columns, names)
+    ]
+    # A null has no bytes and every other key has 32, so the lengths keep the parts apart.
+    parts = [F.concat(F.length(n).cast("string"), F.hex(n)) for n in names]
+    return df.select(*keys), names, F.unhex(F.sha2(F.concat_ws("|", *parts), 256))

@@ -50,10 +50,13 @@ def word_count(text: Column) -> Column:
 
 
 def has_min_words(text: Column, n: int) -> Column:
-    """``word_count(text) >= n``, decided as soon as the n-th word starts."""
+    """``word_count(text) >= n``, decided as soon as the n-th word starts.
+
+    Anchored and possessive: a text that is one endless word is read once, not from every position.
+    """
     if n <= 0:
         return text.isNotNull()
-    return F.rlike(text, F.lit("".join([rf"[^{SPACE}]+[{SPACE}]+"] * (n - 1)) + rf"[^{SPACE}]"))
+    return F.rlike(text, F.lit(rf"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{n - 1}}}[^{SPACE}]"))
 
 
 def has_ascii_letter(text: Column) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.functions.keys import row_key, text_key, with_keys
+from gleanset.functions.keys import text_key, with_keys, with_value_keys
 from gleanset.operators.ranking import BROADCAST_ROWS
 from gleanset.session import materialized
 
@@ -150,13 +150,11 @@ def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     A null counts as one value. Each row is turned into one key per column, and the keys are
     counted together in a single aggregate.
     """
-    entries = [
-        F.struct(F.lit(c).alias("column"), F.coalesce(text_key(F.col(c).cast("string")), F.lit(b"")).alias("key"))
-        for c in columns
-    ]
-    entries.append(F.struct(F.lit("*").alias("column"), row_key(columns).alias("key")))
+    keyed, names, whole = with_value_keys(df, columns)
+    entries = [F.struct(F.lit(c).alias("column"), F.col(n).alias("key")) for c, n in zip(columns, names)]
+    entries.append(F.struct(F.lit("*").alias("column"), whole.alias("key")))
     return (
-        df.select(F.inline(F.array(*entries)))
+        keyed.select(F.inline(F.array(*entries)))
         .groupBy("column", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("column")

@@ -33,6 +33,13 @@ def detailed_results(df: DataFrame) -> DataFrame:
     return parsed.select(*columns)
 
 
+def with_answers(rows: DataFrame, baseline: DataFrame, finetuned: DataFrame) -> DataFrame:
+    """Examples joined with two tables of (id, raw) answers kept elsewhere; ids are unique."""
+    for name, answers in (("baseline", baseline), ("finetuned", finetuned)):
+        rows = rows.join(answers.select("id", F.col("raw").alias(f"{name}_raw_output")), "id")
+    return rows
+
+
 def melt_predictions(
     df: DataFrame, predictions: Mapping[str, str], truth: str = "ground_truth", group: str = "language"
 ) -> DataFrame:

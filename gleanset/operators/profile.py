@@ -15,6 +15,15 @@ from gleanset import fixed
 from gleanset.functions import text as tx
 
 
+def _attach(table: DataFrame, figures: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Add per-group figures to a frequency table; a null group is a group."""
+    same = F.lit(True)
+    for name in groups:
+        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
+    added = [F.col(f"r.{c}") for c in figures.columns if c not in groups]
+    return table.alias("l").join(figures.alias("r"), same).select("l.*", *added)
+
+
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(column, value, n) for every listed column; null is not counted."""
     entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
@@ -30,11 +39,7 @@ def value_shares(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     """:func:`value_counts` with the share and percentage inside each column."""
     counts = value_counts(df, columns, by)
     groups = [*by, "column"]
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
-    same = F.lit(True)
-    for name in groups:
-        same = same & F.col(f"c.{name}").eqNullSafe(F.col(f"t.{name}"))
-    joined = counts.alias("c").join(totals.alias("t"), same).select("c.*", "t._total")
+    joined = _attach(counts, counts.groupBy(*groups).agg(F.sum("n").alias("_total")), groups)
     share = F.col("n") / F.col("_total")
     return joined.select(*counts.columns, share.alias("share"), (share * 100).alias("percent"))
 
@@ -133,31 +138,31 @@ def length_histogram(freq: DataFrame, by: Sequence[str] = (), bins: int = fixed.
 
     The last bin holds its upper edge. A single length gets a bin range half a unit to each side.
     """
-    edges = freq.groupBy(*by, "measure").agg(F.min("length").alias("lo"), F.max("length").alias("hi"))
-    flat = F.col("lo") == F.col("hi")
+    groups = [*by, "measure"]
+    edges = freq.groupBy(*groups).agg(F.min("length").alias("lo"), F.max("length").alias("hi"))
+    position = F.expr(
+        f"CASE WHEN lo = hi THEN {bins // 2} ELSE least((length - lo) * {bins} div nullif(hi - lo, 0), {bins - 1}) END"
+    )
     counted = (
-        freq.join(edges, [*by, "measure"])
-        .withColumn(
-            "bin",
-            F.when(flat, F.lit(bins // 2)).otherwise(
-                F.least(
-                    F.expr(f"(length - lo) * {bins} div nullif(hi - lo, 0)"), F.lit(bins - 1)
-                )
-            ),
-        )
-        .groupBy(*by, "measure", "bin")
+        _attach(freq, edges, groups)
+        .groupBy(*groups, "lo", "hi", position.alias("bin"))
         .agg(F.sum("n").alias("n"))
     )
+    # At most one entry per bin, so the map of a group has a fixed size.
+    filled = counted.groupBy(*groups, "lo", "hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_filled")
+    )
+    flat = F.col("lo") == F.col("hi")
     start = F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo").cast("double"))
     width = F.when(flat, F.lit(1.0)).otherwise((F.col("hi") - F.col("lo")).cast("double")) / bins
-    every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(
-        *by,
-        "measure",
-        F.col("bin").cast("bigint").alias("bin"),
+    every_bin = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint")))
+    return filled.withColumn("bin", every_bin).select(
+        *groups,
+        "bin",
         (start + F.col("bin") * width).alias("lower"),
         (start + (F.col("bin") + 1) * width).alias("upper"),
+        F.coalesce(F.try_element_at("_filled", F.col("bin")), F.lit(0)).alias("n"),
     )
-    return every.join(counted, [*by, "measure", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def box_figures(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -166,7 +171,7 @@ def box_figures(freq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     reach = 1.5 * (F.col("_q")[2] - F.col("_q")[0])
     inside = F.col("length").between(F.col("_q")[0] - reach, F.col("_q")[2] + reach)
     return (
-        freq.join(stats, [*by, "measure"])
+        _attach(freq, stats, [*by, "measure"])
         .groupBy(*by, "measure")
         .agg(
             F.max(F.col("_q")[0]).alias("q25"),

@@ -48,9 +48,15 @@ def counts_of(answers: DataFrame) -> DataFrame:
     return metrics.confusion_counts(metrics.melt_predictions(metrics.detailed_results(answers), PREDICTIONS))
 
 
-def evaluate(answers: DataFrame) -> dict[str, DataFrame]:
-    """Every result table of an evaluation; all but the first come from one small count table."""
+def evaluate(answers: DataFrame, folder: str | None = None) -> dict[str, DataFrame]:
+    """Every result table of an evaluation.
+
+    All but the details come from the confusion counts; with a ``folder`` those are written there,
+    so that the answers are parsed once for all of them.
+    """
     counts = counts_of(answers)
+    if folder is not None:
+        counts = materialized(counts, f"{folder}/counts")
     return {
         "details": metrics.detailed_results(answers),
         "unparseable": metrics.unparseable_rate(counts),
@@ -65,4 +71,5 @@ def evaluate(answers: DataFrame) -> dict[str, DataFrame]:
 
 def run_models(eval_rows: DataFrame, baseline: Model, finetuned: Model, folder: str) -> dict[str, DataFrame]:
     """Ask both models, keep their answers in ``folder``, and score them."""
-    return evaluate(materialized(answer_all(eval_rows, baseline, finetuned), f"{folder}/answers"))
+    answers = materialized(answer_all(eval_rows, baseline, finetuned), f"{folder}/answers")
+    return evaluate(answers, folder)

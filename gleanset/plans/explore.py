@@ -10,16 +10,26 @@ from pyspark.sql import functions as F
 from gleanset.functions import text as tx
 from gleanset.functions.keys import text_key
 from gleanset.operators import dedup, profile
+from gleanset.session import materialized
 
 
 def explore(
-    df: DataFrame, text: str, labels: Sequence[str], by: Sequence[str] = (), id_col: str = "id", top: int = 20
+    df: DataFrame,
+    text: str,
+    labels: Sequence[str],
+    by: Sequence[str] = (),
+    id_col: str = "id",
+    top: int = 20,
+    folder: str | None = None,
 ) -> dict[str, DataFrame]:
     """Lazy result tables by name; each one is a single scan and its own small aggregate.
 
-    The three length tables share one frequency table, which is as small as there are lengths.
+    The three length tables come from one frequency table. With a ``folder`` that table is written
+    there, and the texts are measured once for all three.
     """
     frequencies = profile.length_frequencies(df, text, by)
+    if folder is not None:
+        frequencies = materialized(frequencies, f"{folder}/lengths")
     narrow = df.select(
         id_col, *labels, text_key(F.col(text)).alias("key"), tx.word_count(F.col(text)).alias("words")
     )

@@ -67,6 +67,14 @@ def test_has_min_words_agrees_with_word_count(spark, n):
     check(spark, [(v, len(v.split()) >= n) for v in values], lambda c: tx.has_min_words(c, n))
 
 
+def test_one_endless_word_is_read_once(spark):
+    df = spark.range(1).select(F.repeat(F.lit("x"), 3_000_000).alias("t"))
+    row = df.select(
+        tx.has_min_words(F.col("t"), 3), tx.has_min_words(F.col("t"), 1), tx.word_count(F.col("t")), F.length(tx.clean_text(F.col("t")))
+    ).first()
+    assert tuple(row) == (False, True, 1, 3_000_000)
+
+
 def test_tokens_and_lengths(spark):
     assert apply(spark, ["Don't stop, Été 2x_y"], tx.alphabetic_tokens) == [["don", "t", "stop", "été", "x", "y"]]
     check(spark, [("né 🙂", 4), (None, None)], tx.char_length)
@@ -168,8 +176,9 @@ def test_prompts(spark):
 
 def test_keys(spark):
     df = spark.createDataFrame([("a", None), ("a", ""), ("a", "x"), (None, "a")], "p string, q string")
-    got = [r[0] for r in df.select(keys.row_key(["p", "q"])).collect()]
-    assert len(set(map(bytes, got))) == 4 and all(len(k) == 32 for k in got)
+    table, names, whole = keys.with_value_keys(df, ["p", "q"])
+    got = [bytes(r[0]) for r in table.select(whole).collect()]
+    assert len(set(got)) == 4 and all(len(k) == 32 for k in got) and len(names) == 2
     assert df.select(keys.text_key(F.col("q"))).first()[0] is None
 
 

@@ -53,6 +53,15 @@ def test_histogram(freq, texts):
         assert got[-1].upper == pytest.approx(edges[-1])
 
 
+def test_a_null_group_is_a_group(spark):
+    df = spark.createDataFrame([(1, None, "a b"), (2, None, "a"), (3, "g", "a")], "id long, g string, t string")
+    freq = profile.length_frequencies(df, "t", ["g"]).filter("measure = 'word'")
+    for table in (profile.describe_lengths, profile.length_histogram, profile.box_figures):
+        assert {r.g for r in table(freq, ["g"]).collect()} == {None, "g"}
+    shares = {(r.g, r.value): r.share for r in profile.value_shares(df, ["t"], ["g"]).collect()}
+    assert shares == {(None, "a b"): 0.5, (None, "a"): 0.5, ("g", "a"): 1.0}
+
+
 def test_box_figures(spark):
     values = [1, 2, 2, 3, 3, 3, 4, 4, 30, 40]
     df = spark.createDataFrame([(i, "w " * v) for i, v in enumerate(values)], "id long, text string")
@@ -142,10 +151,11 @@ def test_dedup_comes_before_cleaning(spark):
     assert datasets.english_rows(raw).count() == 2
 
 
-def test_explore(spark):
+def test_explore(spark, tmp_path):
     rows = [(i, f"text number {i % 7}", "a" if i % 3 else "b", "train") for i in range(20)]
     df = spark.createDataFrame(rows, "id long, t string, l string, split string")
-    tables = explore.explore(df, "t", ["l"], ["split"])
+    tables = explore.explore(df, "t", ["l"], ["split"], folder=str(tmp_path))
+    assert (tmp_path / "lengths").exists()
     assert {name: table.count() for name, table in tables.items()} == {
         "columns": 3,
         "head": 5,
