@@ -378,7 +378,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = documents(spark, sf).select("id", "lang")
-    return sampling.remaining(rows, sampling.random_n(rows, 100))
+    return sampling.remaining(rows, sampling.random_n(rows, 100), bound=100)
 
 
 @query(

@@ -17,9 +17,12 @@ from gleanset import fixed
 from gleanset.operators import ranking as rk
 
 
-def remaining(df: DataFrame, taken: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows whose id was not taken."""
-    return df.join(taken.select(id_col), id_col, "left_anti")
+def remaining(df: DataFrame, taken: DataFrame, id_col: str = "id", bound: int | None = None) -> DataFrame:
+    """Rows whose id was not taken; ``bound`` is the most rows ``taken`` can have."""
+    ids = taken.select(id_col)
+    if bound is not None and bound <= rk.BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return df.join(ids, id_col, "left_anti")
 
 
 def random_n(df: DataFrame, n: int, id_col: str = "id", seed: int = fixed.SEED) -> DataFrame:

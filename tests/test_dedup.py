@@ -104,3 +104,17 @@ def test_row_order_and_partitioning_do_not_matter(df):
 def test_keep_first_plans_as_hash_aggregate(df):
     plan = dedup.dedup_keep_first(df, ["text"])._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan and "Window" not in plan
+
+
+def test_a_table_bucketed_by_id_is_not_shuffled_again(spark, df):
+    df.write.bucketBy(4, "id").mode("overwrite").saveAsTable("bucketed_rows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = dedup.dedup_keep_first(spark.table("bucketed_rows"), ["text"])
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Both shuffles are of narrow rows: the text keys, and their first ids.
+    assert plan.count("Exchange") == 2
+    assert all("text#" not in line for line in plan.splitlines() if "Exchange" in line)
+    assert "Bucketed: true" in plan
