@@ -28,16 +28,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 
 
-def _without_markers(text: Column) -> Column:
-    # Byte searches for what every match must hold spare most rows the three regexes.
-    marked = F.contains(text, F.lit("@")) | F.contains(text, F.lit("$")) | F.contains(text, F.lit("://"))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, URL, ""), HANDLE, ""), TICKER, "")
-    return F.when(marked, bare).otherwise(text)
+def has_markers(text: Column) -> Column:
+    """Whether a URL, handle or ticker can be there: byte searches for what each of them must hold."""
+    return F.contains(text, F.lit("@")) | F.contains(text, F.lit("$")) | F.contains(text, F.lit("://"))
+
+
+def remove_markers(text: Column) -> Column:
+    """Remove URLs, then handles, then tickers."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, URL, ""), HANDLE, ""), TICKER, "")
 
 
 def clean_text(text: Column) -> Column:
-    """Remove URLs, then handles, then tickers, then edge whitespace; null becomes empty."""
-    return strip(_without_markers(F.coalesce(text.cast("string"), F.lit(""))))
+    """Remove URLs, handles and tickers, then edge whitespace; null becomes empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return strip(F.when(has_markers(text), remove_markers(text)).otherwise(text))
 
 
 def char_length(text: Column) -> Column:

@@ -22,9 +22,15 @@ from gleanset.sources.writers import write_jsonl
 
 
 def english_text_ok(text: Column, min_words: int = fixed.EN_MIN_WORDS) -> Column:
-    """Enough words and an ASCII letter left after cleaning."""
-    cleaned = tx.clean_text(text)
-    return tx.has_min_words(cleaned, min_words) & tx.has_ascii_letter(cleaned)
+    """Enough words and an ASCII letter left after cleaning.
+
+    Edge whitespace changes neither, and a text without markers is tested as it is.
+    """
+
+    def ok(x: Column) -> Column:
+        return tx.has_min_words(x, min_words) & tx.has_ascii_letter(x)
+
+    return F.when(tx.has_markers(text), ok(tx.remove_markers(text))).otherwise(ok(text))
 
 
 def second_text_ok(text: Column, min_words: int = fixed.VI_MIN_WORDS) -> Column:
