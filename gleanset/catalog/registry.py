@@ -358,7 +358,10 @@ def _(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY label ORDER BY {sq.draw()}) <= 40""",
 )
 def _(spark, sf):
-    return sampling.sample_per_class(datasets.english_clean(fx.en_raw(spark, sf)), "label", 40)
+    raw = fx.en_raw(spark, sf)
+    picked = sampling.sample_per_class(datasets.english_rows(raw), "label", 40)
+    texts = raw.select("id", tx.clean_text(F.col("input")).alias("input"))
+    return rk.fetch(texts, picked, "id", 40 * len(fixed.LABELS))
 
 
 @query(

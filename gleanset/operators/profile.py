@@ -243,22 +243,24 @@ def findings(rows: DataFrame, label: str, words: str, key: str) -> DataFrame:
 
 
 def stage_funnel(
-    rows: DataFrame, stages: Mapping[str, Column], loaded: Column | None = None, by: Sequence[str] = ()
+    rows: DataFrame,
+    stages: Mapping[str, Column],
+    weights: Mapping[str, Column] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Rows left after each stage, from one aggregate.
 
     ``stages`` maps a stage to the condition a row must meet there; later stages see only rows
-    that met the earlier ones. ``loaded`` weighs a row by the raw rows it stands for.
+    that met the earlier ones. ``weights`` says, per stage (the first one is ``loaded``), how many
+    raw rows a row stands for where that is not one.
     """
-    loaded = loaded if loaded is not None else F.lit(1)
+    weights = weights or {}
     passed, tallies = F.lit(True), []
-    for condition in stages.values():
+    for name, condition in [("loaded", F.lit(True)), *stages.items()]:
         passed = passed & F.coalesce(condition, F.lit(False))
-        tallies.append(F.count_if(passed))
-    counted = rows.groupBy(*by).agg(
-        F.coalesce(F.sum(loaded), F.lit(0)).cast("bigint").alias("_s0"),
-        *[t.alias(f"_s{i}") for i, t in enumerate(tallies, 1)],
-    )
+        left = F.sum(F.when(passed, weights.get(name, F.lit(1))))
+        tallies.append(F.coalesce(left, F.lit(0)).cast("bigint"))
+    counted = rows.groupBy(*by).agg(*[t.alias(f"_s{i}") for i, t in enumerate(tallies)])
     entries = [
         F.struct(F.lit(i).cast("bigint").alias("step"), F.lit(name).alias("stage"), F.col(f"_s{i}").alias("rows_left"))
         for i, name in enumerate(["loaded", *stages])

@@ -83,7 +83,7 @@ def english_funnel(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS) -> DataF
         },
     )
     stages = {"deduplicated": F.lit(True), "cleaned": F.col("text_ok"), "mapped": F.col("class") >= 0}
-    return stage_funnel(firsts, stages, loaded=F.col("copies"))
+    return stage_funnel(firsts, stages, {"loaded": F.col("copies")})
 
 
 def second_funnel(
@@ -102,15 +102,13 @@ def second_funnel(
             "class": _class_or_none(lb.map_codes(F.col("sentiment"))),
         },
     )
-    unlisted = F.when(~F.col("listed"), F.col("copies")).otherwise(0)
-    kept = firsts.agg(F.coalesce(F.sum(unlisted), F.lit(0)).alias("n")).scalar()
-    stages = {"deduplicated": ~F.col("listed"), "long_enough": F.col("text_ok"), "mapped": F.col("class") >= 0}
-    counted = stage_funnel(firsts, stages, loaded=F.col("copies"))
-    shifted = counted.withColumn("step", F.when(F.col("step") > 0, F.col("step") + 1).otherwise(F.col("step")))
-    listed = counted.filter("step = 0").select(
-        F.lit(1).cast("bigint").alias("step"), F.lit("unlisted").alias("stage"), kept.cast("bigint").alias("rows_left")
-    )
-    return shifted.unionByName(listed)
+    stages = {
+        "unlisted": ~F.col("listed"),
+        "deduplicated": F.lit(True),
+        "long_enough": F.col("text_ok"),
+        "mapped": F.col("class") >= 0,
+    }
+    return stage_funnel(firsts, stages, {"loaded": F.col("copies"), "unlisted": F.col("copies")})
 
 
 def build_dataset(

@@ -71,4 +71,4 @@ def synthetic_funnel(labelled: DataFrame) -> DataFrame:
         carry={"label_ok": F.col("label_is_valid"), "length_ok": F.col("input_length_ok")},
     )
     stages = {"deduplicated": F.lit(True), "label_valid": F.col("label_ok"), "length_ok": F.col("length_ok")}
-    return stage_funnel(firsts, stages, loaded=F.col("copies"))
+    return stage_funnel(firsts, stages, {"loaded": F.col("copies")})
