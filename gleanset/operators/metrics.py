@@ -54,6 +54,8 @@ def confusion_counts(melted: DataFrame, classes: Sequence[str] = fixed.LABELS) -
     """Rows per (model, language, truth, pred), with ``language`` = ``overall`` added.
 
     Predictions outside the class list count as unparseable, truths outside it as ``other``.
+    The metrics below select with conditions inside aggregates, not with filters that would move
+    below this aggregate, so that all of them can share it.
     """
     known = list(classes)
     cells = melted.groupBy(
@@ -61,15 +63,12 @@ def confusion_counts(melted: DataFrame, classes: Sequence[str] = fixed.LABELS) -
         "language",
         F.when(F.col("truth").isin(known), F.col("truth")).otherwise(F.lit("other")).alias("truth"),
         F.when(F.col("pred").isin(known), F.col("pred")).otherwise(F.lit(fixed.UNPARSEABLE)).alias("pred"),
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("pred") == F.col("truth")).alias("hits"),
-    )
+    ).agg(F.count(F.lit(1)).alias("n"))
     both = F.explode(F.array(F.col("language"), F.lit(OVERALL)))
     return (
         cells.withColumn("language", both)
         .groupBy("model", "language", "truth", "pred")
-        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -77,8 +76,18 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(0.0))
 
 
-def _sum_if(condition: Column, value: str = "n") -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0))
+def _sum_if(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+
+def _per_group(counts: DataFrame, entries: Sequence[Column]) -> DataFrame:
+    """One row per entry for every group that has a parseable row."""
+    return (
+        counts.groupBy(*KEYS)
+        .agg(F.array(*entries).alias("_cells"), _sum_if(F.col("pred") != fixed.UNPARSEABLE).alias("_parseable"))
+        .filter("_parseable > 0")
+        .select(*KEYS, F.inline("_cells"))
+    )
 
 
 def unparseable_rate(counts: DataFrame) -> DataFrame:
@@ -97,9 +106,9 @@ def accuracies(counts: DataFrame) -> DataFrame:
     Without parseable rows the reported value is 0.
     """
     parseable = F.col("pred") != fixed.UNPARSEABLE
-    parsed, hits = _sum_if(parseable), _sum_if(parseable, "hits")
+    parsed, hits = _sum_if(parseable), _sum_if(F.col("pred") == F.col("truth"))
     other = _sum_if(parseable & (F.col("truth") == "other"))
-    overall = _ratio(F.sum("hits"), F.sum("n"))
+    overall = _ratio(hits, F.sum("n"))
     return counts.groupBy(*KEYS).agg(
         F.sum("n").alias("rows"),
         parsed.alias("parseable"),
@@ -122,16 +131,11 @@ def class_report(counts: DataFrame, classes: Sequence[str] = fixed.LABELS) -> Da
             F.lit(c).alias("class"),
             _sum_if((F.col("truth") == c) & (F.col("pred") == c)).alias("tp"),
             _sum_if(F.col("pred") == c).alias("predicted"),
-            _sum_if(F.col("truth") == c).alias("support"),
+            _sum_if((F.col("truth") == c) & (F.col("pred") != fixed.UNPARSEABLE)).alias("support"),
         )
         for c in classes
     ]
-    tallies = (
-        counts.filter(F.col("pred") != fixed.UNPARSEABLE)
-        .groupBy(*KEYS)
-        .agg(F.array(*entries).alias("_cells"))
-        .select(*KEYS, F.inline("_cells"))
-    )
+    tallies = _per_group(counts, entries)
     return (
         tallies.withColumn("precision", _ratio(F.col("tp"), F.col("predicted")))
         .withColumn("recall", _ratio(F.col("tp"), F.col("support")))
@@ -182,12 +186,7 @@ def confusion_dense(counts: DataFrame, classes: Sequence[str] = fixed.LABELS) ->
         for t in classes
         for p in classes
     ]
-    return (
-        counts.filter(F.col("pred") != fixed.UNPARSEABLE)
-        .groupBy(*KEYS)
-        .agg(F.array(*cells).alias("_cells"))
-        .select(*KEYS, F.inline("_cells"))
-    )
+    return _per_group(counts, cells)
 
 
 def metric_table(counts: DataFrame, classes: Sequence[str] = fixed.LABELS) -> DataFrame:

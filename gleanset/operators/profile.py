@@ -139,7 +139,8 @@ def length_histogram(freq: DataFrame, by: Sequence[str] = (), bins: int = fixed.
     The last bin holds its upper edge. A single length gets a bin range half a unit to each side.
     """
     groups = [*by, "measure"]
-    edges = freq.groupBy(*groups).agg(F.min("length").alias("lo"), F.max("length").alias("hi"))
+    # Naming n keeps this branch on the same aggregate, so the texts are measured once for both.
+    edges = freq.filter("n > 0").groupBy(*groups).agg(F.min("length").alias("lo"), F.max("length").alias("hi"))
     position = F.expr(
         f"CASE WHEN lo = hi THEN {bins // 2} ELSE least((length - lo) * {bins} div nullif(hi - lo, 0), {bins - 1}) END"
     )
@@ -217,29 +218,32 @@ def findings(rows: DataFrame, label: str, words: str, key: str) -> DataFrame:
     ``rows`` is narrow: a label, a word count and a text key per row. Class share below the floor,
     texts over and under the length thresholds, and surplus copies of a text.
     """
-    per_class = rows.groupBy(label).agg(
-        F.count(F.lit(1)).alias("n"), F.max(words).alias("longest"), F.min(words).alias("shortest")
+    # A row counts once for its class and once for its text, in one aggregate.
+    entries = F.array(
+        F.struct(F.lit("class").alias("kind"), F.col(label).cast("string").cast("binary").alias("value"), F.col(words).alias("words")),
+        F.struct(F.lit("text").alias("kind"), F.col(key).alias("value"), F.lit(None).cast("bigint").alias("words")),
+    )
+    counted = rows.select(F.inline(entries)).groupBy("kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.max("words").alias("longest"), F.min("words").alias("shortest")
     )
-    labelled = F.when(F.col(label).isNotNull(), F.col("n"))
-    surplus = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.coalesce(F.sum("n") - F.count(F.lit(1)), F.lit(0)).alias("surplus")
+    facts = counted.selectExpr(
+        "min(n) FILTER (WHERE kind = 'class' AND value IS NOT NULL)"
+        " / sum(n) FILTER (WHERE kind = 'class' AND value IS NOT NULL) AS share",
+        "double(max(longest)) AS longest",
+        "double(min(shortest)) AS shortest",
+        "double(coalesce(sum(n - 1) FILTER (WHERE kind = 'text'), 0)) AS surplus",
     )
-    facts = per_class.agg(
-        (F.min(labelled) / F.sum(labelled)).alias("share"),
-        F.max("longest").cast("double").alias("longest"),
-        F.min("shortest").cast("double").alias("shortest"),
-    ).withColumn("surplus", surplus.select(F.col("surplus").cast("double")).scalar())
     checks = [
         ("class_share", "share", F.col("share") < fixed.SHARE_FLOOR),
         ("longest_words", "longest", F.col("longest") > fixed.LONG_TEXT_WORDS),
         ("shortest_words", "shortest", F.col("shortest") < fixed.SHORT_TEXT_WORDS),
         ("duplicate_texts", "surplus", F.col("surplus") > 0),
     ]
-    entries = [
+    rows = [
         F.struct(F.lit(name).alias("finding"), F.col(col).alias("value"), test.alias("flagged"))
         for name, col, test in checks
     ]
-    return facts.select(F.inline(F.array(*entries)))
+    return facts.select(F.inline(F.array(*rows)))
 
 
 def stage_funnel(

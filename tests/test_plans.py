@@ -45,3 +45,31 @@ def test_the_dedup_shuffle_serves_every_branch_of_a_split(spark):
     final = plan_of(df).split("== Initial Plan ==")[0]
     assert final.count("Exchange hashpartitioning(_key0#") - final.count("ReusedExchange [_key0#") == 1
     assert final.count("ReusedExchange") >= 2
+
+
+@pytest.mark.parametrize(
+    "name,scans",
+    [
+        ("length_histogram", 1),
+        ("boxplot_stats", 1),
+        ("stage_funnel", 1),
+        ("stage_funnel_second", 1),
+        ("balanced_split", 1),
+        ("proportional_sample", 1),
+        ("split_overlap", 1),
+        ("dedup_keep_first", 2),
+        ("eda_findings", 2),
+        ("dataset_build", 4),
+    ],
+)
+def test_texts_are_scanned_no_more_than_needed(spark, name, scans):
+    df = entry.queries()[name](spark, SF_DIR)
+    df.collect()
+    final = plan_of(df).split("\n+- == Initial Plan ==")[0]
+    assert sum("FileScan" in line and "text#" in line for line in final.splitlines()) == scans
+
+
+def test_all_metrics_share_one_scan(spark):
+    df = entry.queries()["metric_table"](spark, SF_DIR)
+    df.collect()
+    assert plan_of(df).split("\n+- == Initial Plan ==")[0].count("FileScan") == 1
