@@ -106,14 +106,14 @@ def _candidates(rows: DataFrame, bound: int, classes: Sequence[str], seed: int):
 def scarce_first_quotas(
     sizes: DataFrame, classes: Sequence[str], scarce: str, eval_rows: int, train_rows: int
 ) -> DataFrame:
-    """Quotas per class when one class is scarce: half of what it lacks goes to each other class."""
+    """Quotas per class when one class is scarce: the others share evenly what it lacks."""
     numbers, first = range(len(classes)), list(classes).index(scarce)
-    e_goal, t_goal = eval_rows // 3, train_rows // 3
+    e_goal, t_goal, others = eval_rows // len(classes), train_rows // len(classes), max(len(classes) - 1, 1)
     steps = [f"least(n{first}, {e_goal}) AS e{first}", f"least(n{first} - e{first}, {t_goal}) AS t{first}"]
     for i in numbers:
         if i != first:
-            steps.append(f"least(n{i}, {e_goal} + ({e_goal} - e{first}) div 2) AS e{i}")
-            steps.append(f"least(n{i} - e{i}, {t_goal} + ({t_goal} - t{first}) div 2) AS t{i}")
+            steps.append(f"least(n{i}, {e_goal} + ({e_goal} - e{first}) div {others}) AS e{i}")
+            steps.append(f"least(n{i} - e{i}, {t_goal} + ({t_goal} - t{first}) div {others}) AS t{i}")
     steps += [
         f"{eval_rows} - {' - '.join(f'e{i}' for i in numbers)} AS need_e",
         f"{train_rows} - {' - '.join(f't{i}' for i in numbers)} AS need_t",
@@ -164,7 +164,7 @@ def balanced_split(
     Both top-ups are all or nothing; :func:`shortfall` shows what is missing.
     """
     bound = eval_rows + train_rows
-    e_goal, t_goal = eval_rows // 3, train_rows // 3
+    e_goal, t_goal = eval_rows // len(classes), train_rows // len(classes)
     ranked, sizes = _candidates(rows, bound, classes, seed)
 
     numbers = range(len(classes))
@@ -256,11 +256,11 @@ def shortfall(
 ) -> DataFrame:
     """What each split wanted and got, per class and for the whole split (class ``*``).
 
-    ``wanted`` maps a split to its row target; a class is meant to give a third of it.
+    ``wanted`` maps a split to its row target; every class is meant to give the same part of it.
     """
     got = splits.groupBy("split", "label").agg(F.count(F.lit(1)).alias("got"))
     goals = [
-        F.struct(F.lit(s).alias("split"), F.lit(c).alias("label"), F.lit(v // 3).cast("bigint").alias("wanted"))
+        F.struct(F.lit(s).alias("split"), F.lit(c).alias("label"), F.lit(v // len(classes)).cast("bigint").alias("wanted"))
         for s, v in wanted.items()
         for c in classes
     ]
