@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gleanset import fixed
 from gleanset.functions import chat, labels as lb, text as tx
+from gleanset.operators import dedup
 from gleanset.operators import ranking as rk
 
 
@@ -95,13 +96,19 @@ def snippets(attempts: DataFrame, prompt_col: str = "prompt", raw_col: str = "ra
 
 
 def collect_unique(attempts: DataFrame, cap: int, text_col: str = "text", order_col: str = "attempt") -> DataFrame:
-    """The first ``cap`` distinct texts in attempt order."""
-    firsts = attempts.groupBy(text_col).agg(F.min(order_col).alias(order_col))
+    """The first ``cap`` distinct texts in attempt order, as (text, attempt) rows.
+
+    Texts are compared by key, and only the chosen ones are fetched. ``attempts`` is read twice, so
+    it should be a written table when it comes from a model.
+    """
+    firsts = dedup.first_of_each(attempts, [text_col], order_col).select(order_col)
     if cap <= rk.ONE_TASK_ROWS:
-        return firsts.orderBy(order_col).limit(cap)
-    slotted = firsts.withColumn("_slot", rk.id_slot(order_col))
-    ranked = rk.rank_by_slots(slotted, rk.slot_counts(slotted), upto=cap, order=(order_col,))
-    return ranked.select(text_col, order_col)
+        picked = firsts.orderBy(order_col).limit(cap)
+    else:
+        slotted = firsts.withColumn("_slot", rk.id_slot(order_col))
+        ranked = rk.rank_by_slots(slotted, rk.slot_counts(slotted), upto=cap, order=(order_col,))
+        picked = ranked.select(order_col)
+    return rk.fetch(attempts.select(text_col, order_col), picked, order_col, cap).select(text_col, order_col)
 
 
 def labelled_rows(answers: DataFrame, text_col: str = "text", raw_col: str = "raw") -> DataFrame:

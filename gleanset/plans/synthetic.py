@@ -23,13 +23,15 @@ Model = Callable[[], Callable[[Sequence[str]], Sequence[str]]]
 def generate_snippets(
     prompts: DataFrame,
     load_model: Model,
+    folder: str,
     target: int = fixed.SYNTHETIC_ATTEMPT_TARGET,
     per_prompt: int = fixed.ATTEMPTS_PER_PROMPT,
 ) -> DataFrame:
     """The first ``target`` distinct texts generated from the prompts, with their attempt number."""
     attempts = generation.prompt_schedule(prompts, target, per_prompt)
     answers = generation.answered(generation.batch_infer(attempts, "prompt", load_model))
-    return generation.collect_unique(generation.snippets(answers), target)
+    written = materialized(generation.snippets(answers), f"{folder}/attempts")
+    return generation.collect_unique(written, target)
 
 
 def label_snippets(snippets: DataFrame, load_model: Model) -> DataFrame:
@@ -58,7 +60,7 @@ def build_synthetic(
     seed: int = fixed.SEED,
 ) -> DataFrame:
     """(id, instruction, input, output) rows from prompts; both models' answers go to ``folder``."""
-    texts = materialized(generate_snippets(prompts, load_writer, target, per_prompt), f"{folder}/snippets")
+    texts = generate_snippets(prompts, load_writer, folder, target, per_prompt)
     labelled = materialized(label_snippets(texts, load_labeller), f"{folder}/labelled")
     return finish(labelled, n, seed)
 
