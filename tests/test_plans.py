@@ -21,7 +21,16 @@ def test_no_cross_join_and_no_row_by_row_python(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["en_clean_counts", "stage_funnel", "balanced_split", "scarce_first_split", "dataset_build", "split_overlap", "collect_unique"]
+    "name",
+    [
+        "en_clean_counts",
+        "stage_funnel",
+        "balanced_split",
+        "scarce_first_split",
+        "dataset_build",
+        "split_overlap",
+        "collect_unique",
+    ],
 )
 def test_text_is_not_shuffled(spark, name):
     """Only narrow rows travel: exchanges name keys, ids, classes and slots, never the text."""
