@@ -15,9 +15,11 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    """Those of the training-data operators that SQL cannot express are tested in their own folder."""
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.queries()) - set(entry.oracle_sql()) <= set(entry.LLM_QUERIES)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     assert difference(entry.queries()[name], entry.oracle_sql()[name], spark, SF_DIR) is None
