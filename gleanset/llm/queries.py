@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from gleanset.llm import (
     decontaminate,
     exact_dedup,
+    html_main,
+    html_pages,
+    license_scan,
     packing,
+    pii,
     quality_crf,
     simhash_vptree,
     token_counts,
@@ -19,6 +23,10 @@ from gleanset.llm import (
 from gleanset.session import scratch_path
 
 
+#: The key of the registered query only; whoever pseudonymises real data passes a secret one.
+PSEUDONYM_KEY = "registered-query"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +35,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PSEUDONYM_KEY).select(
+        "doc_id", "text", F.size("found").cast("long").alias("n_found"), "found"
+    )
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), "licenses")
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_main.extract_main_text(pages, html_pages.trained()).select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars")
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     token_files.write_store(_table(spark, sf_dir, "documents"), path)
@@ -78,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_pseudonyms,
+        op3_licenses,
+        op4_main_text,
         op5_token_files,
         op6_packing,
         op7_decontamination,
