@@ -116,7 +116,7 @@ def _windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     inside = range(width - size + 1)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "_item": [item] * len(starts),
+                            "_item": pa.array([item] * len(starts), pa.string()),
                             "_words": [b" ".join(words[s : s + width]).decode() for s in starts],
                             "_width": pa.array([width] * len(starts), pa.int32()),
                             "_grams": pa.array(

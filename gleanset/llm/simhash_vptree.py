@@ -160,7 +160,8 @@ def forest(prints: np.ndarray, distance: int, block: np.ndarray | None = None) -
                 near = np.bitwise_count(prints[rows][:, None] ^ prints[columns][None, :]) <= distance
                 if block is not None:
                     near &= block[rows][:, None] != block[columns][None, :]
-                if near.sum() > (len(rows) if at == start else 0):
+                selves = len(rows) if at == start and block is None else 0
+                if near.sum() > selves:
                     i, j = np.nonzero(near)
                     _join(labels, rows[i], columns[j])
     return labels

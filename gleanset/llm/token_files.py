@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanset.llm.pretokens import IdEncoder, load
 from gleanset.llm.rows import parts
@@ -232,6 +233,7 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
     listed = shards(spark, path)
     n = max(1, listed.count())
     key = listed.schema["first_key"].dataType
+    key_type = to_arrow_type(key)
     schema = T.StructType(
         [T.StructField("id", key), T.StructField("start", T.LongType())]
         + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
@@ -241,7 +243,6 @@ def read_store(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFr
         for batch in batches:
             for number, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(path, number)
-                key_type = pa.array(shard.keys).type
                 for a in range(0, len(shard.keys), 1000):
                     keys = shard.keys[a : a + 1000]
                     at, lengths, payload = [], [], []
