@@ -17,7 +17,7 @@ from gleanset.functions.keys import text_key
 from gleanset.operators import combine, dedup, generation, metrics, profile, sampling
 from gleanset.operators import ranking as rk
 from gleanset.plans import datasets, evaluation, synthetic
-from gleanset.session import scratch_path
+from gleanset.session import materialized, scratch_path
 from gleanset.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,7 @@ def _(spark, sf):
 
 @query("english_clean_rows", f"WITH {sq.EN_CLEAN} SELECT id, input, label FROM en")
 def _(spark, sf):
-    return datasets.english_clean(fx.en_raw(spark, sf))
+    return datasets.english_clean(fx.en_raw(spark, sf), folder=scratch_path(spark, "surplus"))
 
 
 @query(
@@ -111,7 +111,7 @@ def _(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY input ORDER BY id) = 1""",
 )
 def _(spark, sf):
-    return dedup.dedup_keep_first(fx.en_raw(spark, sf), ["input"])
+    return dedup.dedup_keep_first(fx.en_raw(spark, sf), ["input"], folder=scratch_path(spark, "surplus"))
 
 
 @query(
@@ -120,7 +120,8 @@ def _(spark, sf):
     QUALIFY count(*) OVER (PARTITION BY sentence) = 1""",
 )
 def _(spark, sf):
-    return dedup.dedup_drop_all(fx.vi_raw(spark, sf).select("id", "sentence", "sentiment"), ["sentence"])
+    rows = fx.vi_raw(spark, sf).select("id", "sentence", "sentiment")
+    return dedup.dedup_drop_all(rows, ["sentence"], folder=scratch_path(spark, "surplus"))
 
 
 @query(
@@ -129,7 +130,7 @@ def _(spark, sf):
     QUALIFY count(*) OVER (PARTITION BY input) > 1 ORDER BY input, id""",
 )
 def _(spark, sf):
-    rows = dedup.duplicate_rows(fx.en_raw(spark, sf), ["input"])
+    rows = dedup.duplicate_rows(fx.en_raw(spark, sf), ["input"], folder=scratch_path(spark, "surplus"))
     return rows.select("input", "id", "output").orderBy("input", "id")
 
 
@@ -182,7 +183,19 @@ def _(spark, sf):
 
 @query("distinct_sorted", "SELECT DISTINCT text FROM documents ORDER BY text")
 def _(spark, sf):
-    return dedup.distinct_sorted(documents(spark, sf), "text")
+    return dedup.distinct_sorted(documents(spark, sf), "text", folder=scratch_path(spark, "surplus"))
+
+
+@query(
+    "duplicate_counts_by_split",
+    f"""WITH {sq.VI_RAW},
+    d AS (SELECT split, 'sentence' AS "column", count(*) AS rows, count(DISTINCT sentence) AS distinct_rows FROM vi_raw GROUP BY 1
+      UNION ALL SELECT split, 'topic', count(*), count(DISTINCT topic) FROM vi_raw GROUP BY 1
+      UNION ALL SELECT split, '*', count(*), count(DISTINCT (sentence, topic)) FROM vi_raw GROUP BY 1)
+    SELECT *, rows - distinct_rows AS duplicates FROM d""",
+)
+def _(spark, sf):
+    return dedup.duplicate_counts(fx.vi_raw(spark, sf), ["sentence", "topic"], ["split"])
 
 
 # --- profiles -------------------------------------------------------------------------------
@@ -309,6 +322,25 @@ def _(spark, sf):
     return six(profile.findings(dedup.dedup_keep_first(narrow, ["key"]), "output", "words", "key"), "value")
 
 
+@query(
+    "findings_by_split",
+    f"""WITH {sq.VI_RAW},
+    s AS (SELECT split, min(c) / sum(c) AS share FROM (SELECT split, count(*) AS c FROM vi_raw GROUP BY split, sentiment) GROUP BY 1),
+    t AS (SELECT split, min(c) / sum(c) AS share FROM (SELECT split, count(*) AS c FROM vi_raw GROUP BY split, topic) GROUP BY 1),
+    w AS (SELECT split, max({sq.words('sentence')}) AS hi, min({sq.words('sentence')}) AS lo,
+      count(*) - count(DISTINCT sentence) AS surplus FROM vi_raw GROUP BY 1)
+    SELECT split, 'class_share_sentiment' AS finding, round(share, 6) AS value, share < 0.1 AS flagged FROM s
+    UNION ALL SELECT split, 'class_share_topic', round(share, 6), share < 0.1 FROM t
+    UNION ALL SELECT split, 'longest_words', hi, hi > 500 FROM w UNION ALL SELECT split, 'shortest_words', lo, lo < 5 FROM w
+    UNION ALL SELECT split, 'duplicate_texts', surplus, surplus > 0 FROM w""",
+)
+def _(spark, sf):
+    narrow = fx.vi_raw(spark, sf).select(
+        "split", "sentiment", "topic", text_key(F.col("sentence")).alias("key"), tx.word_count(F.col("sentence")).alias("words")
+    )
+    return six(profile.findings(narrow, ["sentiment", "topic"], "words", "key", ["split"]), "value")
+
+
 @query(
     "stage_funnel",
     f"""WITH {sq.EN_CLEAN} SELECT CAST(0 AS BIGINT) AS step, 'loaded' AS stage, (SELECT count(*) FROM en_raw) AS rows_left
@@ -371,7 +403,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = documents(spark, sf).select("id", "source")
-    return sampling.sample_per_class(rows, "source", 7, classes=None)
+    return sampling.sample_per_class(rows, "source", 7)
 
 
 @query(
@@ -401,7 +433,8 @@ def _(spark, sf):
     WHERE r <= 100 - (SELECT count(*) FROM s) AND (SELECT count(*) FROM p) >= 100 - (SELECT count(*) FROM s)""",
 )
 def _(spark, sf):
-    rows = datasets.english_rows(fx.en_raw(spark, sf))
+    # The narrow rows are read by several steps; written once, the texts are scanned once.
+    rows = materialized(datasets.english_rows(fx.en_raw(spark, sf)), scratch_path(spark, "rows"))
     sample = sampling.sample_per_class(rows, "label", 30, classes=["neutral"])
     return sampling.top_up(sample.select("id", "label"), rows.filter("label <> 'neutral'"), 100)
 
@@ -457,6 +490,26 @@ def _(spark, sf):
     return sampling.shortfall(splits, {"eval": VI_SHORT_QUOTA[0], "train": VI_SHORT_QUOTA[1]})
 
 
+EN_SHORT_QUOTA = (60, 2_000_000)
+
+
+@query(
+    "shortfall_english",
+    f"""WITH {sq.EN_CLEAN}, {sq.balanced('en', 's', *EN_SHORT_QUOTA)},
+    goals AS (SELECT split, label, n // 3 AS wanted FROM (VALUES ('eval', {EN_SHORT_QUOTA[0]}), ('train', {EN_SHORT_QUOTA[1]})) g(split, n),
+      (SELECT unnest(['negative', 'neutral', 'positive']) AS label)),
+    whole AS (SELECT * FROM goals
+      UNION ALL SELECT * FROM (VALUES ('eval', '*', {EN_SHORT_QUOTA[0]}), ('train', '*', {EN_SHORT_QUOTA[1]}))),
+    got AS (SELECT split, label, count(*) AS got FROM s GROUP BY 1, 2
+      UNION ALL SELECT split, '*', count(*) FROM s GROUP BY 1)
+    SELECT split, label, CAST(wanted AS BIGINT) AS wanted, coalesce(got, 0) AS got, greatest(wanted - coalesce(got, 0), 0) AS missing
+    FROM whole LEFT JOIN got USING (split, label)""",
+)
+def _(spark, sf):
+    splits = sampling.balanced_split(datasets.english_rows(fx.en_raw(spark, sf)), *EN_SHORT_QUOTA)
+    return sampling.shortfall(splits, {"eval": EN_SHORT_QUOTA[0], "train": EN_SHORT_QUOTA[1]})
+
+
 @query(
     "split_overlap",
     """WITH s AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 5 = 0 THEN 'eval' ELSE 'train' END AS split
@@ -499,6 +552,46 @@ def dataset_build(spark, sf):
     return datasets.build_dataset(fx.en_raw(spark, sf), fx.vi_raw(spark, sf), EN_QUOTA, VI_QUOTA)
 
 
+_BUILT = SQL["dataset_build"].replace("SELECT 'EN' AS language", "built AS (SELECT 'EN' AS language", 1).replace(
+    f"{sq.scarce_first('vi', 'vs', *VI_QUOTA)}\n", f"{sq.scarce_first('vi', 'vs', *VI_QUOTA)},\n", 1
+) + ")"
+
+
+@query(
+    "dataset_overlap",
+    _BUILT
+    + """, v AS (SELECT 'id' AS measure, split, concat(language, ':', id) AS value FROM built
+      UNION ALL SELECT 'text', split, input FROM built),
+    g AS (SELECT measure, value, count(*) FILTER (split = 'eval') AS e, count(*) FILTER (split = 'train') AS t
+      FROM v GROUP BY 1, 2)
+    SELECT measure, count(*) FILTER (e > 0 AND t > 0) AS shared_values,
+      CAST(coalesce(sum(e) FILTER (t > 0), 0) AS BIGINT) AS eval_rows_shared,
+      CAST(coalesce(sum(t) FILTER (e > 0), 0) AS BIGINT) AS train_rows_shared
+    FROM g GROUP BY measure""",
+)
+def _(spark, sf):
+    return datasets.dataset_overlap(dataset_build(spark, sf))
+
+
+@query(
+    "dataset_shortfall",
+    _BUILT
+    + f""", goals AS (SELECT language, split, label, n // 3 AS wanted FROM (VALUES ('EN', 'eval', {EN_QUOTA[0]}), ('EN', 'train', {EN_QUOTA[1]}),
+        ('VI', 'eval', {VI_QUOTA[0]}), ('VI', 'train', {VI_QUOTA[1]})) g(language, split, n),
+      (SELECT unnest(['negative', 'neutral', 'positive']) AS label)),
+    whole AS (SELECT * FROM goals UNION ALL SELECT * FROM (VALUES ('EN', 'eval', '*', {EN_QUOTA[0]}), ('EN', 'train', '*', {EN_QUOTA[1]}),
+        ('VI', 'eval', '*', {VI_QUOTA[0]}), ('VI', 'train', '*', {VI_QUOTA[1]}))),
+    got AS (SELECT language, split, output AS label, count(*) AS got FROM built GROUP BY 1, 2, 3
+      UNION ALL SELECT language, split, '*', count(*) FROM built GROUP BY 1, 2)
+    SELECT language, split, label, CAST(wanted AS BIGINT) AS wanted, coalesce(got, 0) AS got,
+      greatest(wanted - coalesce(got, 0), 0) AS missing
+    FROM whole LEFT JOIN got USING (language, split, label)""",
+)
+def _(spark, sf):
+    wanted = {"EN": dict(zip(("eval", "train"), EN_QUOTA)), "VI": dict(zip(("eval", "train"), VI_QUOTA))}
+    return datasets.dataset_shortfall(dataset_build(spark, sf), wanted)
+
+
 @query(
     "train_union_synthetic",
     f"""WITH {sq.EN_CLEAN}, {sq.ANSWERED}
@@ -506,7 +599,7 @@ def dataset_build(spark, sf):
     UNION ALL SELECT 'synthetic', instruction, input_text, ground_truth FROM answers""",
 )
 def _(spark, sf):
-    train = combine.to_instructions(datasets.english_clean(fx.en_raw(spark, sf)), "input", "label")
+    train = combine.to_instructions(datasets.english_clean(fx.en_raw(spark, sf), folder=scratch_path(spark, "surplus")), "input", "label")
     made = fx.answers(spark, sf).select(
         "instruction", F.col("input_text").alias("input"), F.col("ground_truth").alias("output")
     )
@@ -550,7 +643,7 @@ def _sql_chat(text: str, answer: str | None) -> str:
     SELECT id, CAST(m.turn AS BIGINT) AS turn, m.role AS role, m.content AS content FROM t""",
 )
 def _(spark, sf):
-    rows = combine.to_instructions(datasets.english_clean(fx.en_raw(spark, sf)), "input", "label", ("id",))
+    rows = combine.to_instructions(datasets.english_clean(fx.en_raw(spark, sf), folder=scratch_path(spark, "surplus")), "input", "label", ("id",))
     rows = rows.filter(chat.require_fields(F.col("instruction"), F.col("input"), F.col("output")))
     messages = chat.to_messages(F.col("instruction"), F.col("input"), F.col("output"))
     return rows.select("id", F.posexplode(messages).alias("turn", "m")).select(
@@ -560,7 +653,7 @@ def _(spark, sf):
 
 @query("chat_train_text", f"WITH {sq.EN_CLEAN} SELECT id, {_sql_chat('input', 'label')} AS text FROM en")
 def _(spark, sf):
-    rows = combine.to_instructions(datasets.english_clean(fx.en_raw(spark, sf)), "input", "label", ("id",))
+    rows = combine.to_instructions(datasets.english_clean(fx.en_raw(spark, sf), folder=scratch_path(spark, "surplus")), "input", "label", ("id",))
     messages = chat.to_messages(F.col("instruction"), F.col("input"), F.col("output"))
     return rows.select("id", chat.render_chat(messages).alias("text"))
 
@@ -653,21 +746,27 @@ def _(spark, sf):
     return _checked(spark, sf)
 
 
-@query(
-    "synthetic_finish",
-    f"""WITH {_MADE}, f AS (SELECT * FROM checked QUALIFY row_number() OVER (PARTITION BY input ORDER BY id) = 1),
-    en AS (SELECT id, instruction, input, output AS label FROM f WHERE label_is_valid AND input_length_ok),
+def _proportional_ids(n: int) -> str:
+    """``ids``: what a sample of ``n`` rows by class share takes from ``en`` (id, label)."""
+    return f"""
     c AS (SELECT label, count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, label) AS o FROM en GROUP BY label),
-    q AS (SELECT *, CAST(round_even(c / (SELECT sum(c) FROM c) * 20, 0) AS BIGINT) AS q FROM c),
-    d AS (SELECT *, 20 - (SELECT sum(q) FROM q) AS d, row_number() OVER (ORDER BY q, o) AS small FROM q),
-    k AS (SELECT label, CASE WHEN (SELECT count(*) FROM en) <= 20 THEN c
+    q AS (SELECT *, CAST(round_even(c / (SELECT sum(c) FROM c) * {n}, 0) AS BIGINT) AS q FROM c),
+    d AS (SELECT *, {n} - (SELECT sum(q) FROM q) AS d, row_number() OVER (ORDER BY q, o) AS small FROM q),
+    k AS (SELECT label, CASE WHEN (SELECT count(*) FROM en) <= {n} THEN c
       ELSE least(c, CASE WHEN d > 0 AND o = 1 THEN q + d WHEN d < 0 AND small = 1 THEN greatest(q + d, 0) ELSE q END)
       END AS k FROM d),
     r AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY {sq.draw()}) AS r FROM en),
     taken AS (SELECT id FROM r JOIN k USING (label) WHERE r <= k),
-    capped AS (SELECT id FROM taken QUALIFY row_number() OVER (ORDER BY {sq.draw()}) <= 20),
+    capped AS (SELECT id FROM taken QUALIFY row_number() OVER (ORDER BY {sq.draw()}) <= {n}),
     more AS (SELECT id, row_number() OVER (ORDER BY {sq.draw()}) AS r FROM en WHERE id NOT IN (SELECT id FROM taken)),
-    ids AS (SELECT id FROM capped UNION ALL SELECT id FROM more WHERE r <= 20 - (SELECT count(*) FROM capped))
+    ids AS (SELECT id FROM capped UNION ALL SELECT id FROM more WHERE r <= {n} - (SELECT count(*) FROM capped))"""
+
+
+@query(
+    "synthetic_finish",
+    f"""WITH {_MADE}, f AS (SELECT * FROM checked QUALIFY row_number() OVER (PARTITION BY input ORDER BY id) = 1),
+    en AS (SELECT id, instruction, input, output AS label FROM f WHERE label_is_valid AND input_length_ok),
+    {_proportional_ids(20)}
     SELECT id, instruction, input, label AS output FROM en WHERE id IN (SELECT id FROM ids)""",
 )
 def _(spark, sf):
@@ -725,8 +824,8 @@ def labeller_model():
 
 _WRITTEN = f"""w AS (
   SELECT item_id, array_to_string(list_slice(regexp_extract_all(text, '[^{sq.SPACE}]+'), 1, 3 + length(text) % 40), ' ')
-    AS text FROM benchmark WHERE item_id < 160 + (SELECT count(*) FROM benchmark)),
-u AS (SELECT text, min(item_id) * 5 AS id FROM w WHERE {sq.words('text')} > 3 GROUP BY text ORDER BY id LIMIT 800),
+    AS text FROM benchmark WHERE item_id < 6 + (SELECT count(*) FROM benchmark)),
+u AS (SELECT text, min(item_id) * 5 AS id FROM w WHERE {sq.words('text')} > 3 GROUP BY text ORDER BY id LIMIT 30),
 l AS (SELECT id, text AS input, ['Positive.', 'negative, clearly', 'neutral', 'unsure'][
     length(concat('Instruction: {fixed.INSTRUCTION}', chr(10), 'News: ', text, chr(10), 'Sentiment:')) % 4 + 1] AS raw
   FROM u),
@@ -734,10 +833,24 @@ lab AS (SELECT id, input, translate(lower(regexp_extract(raw, '[^{sq.SPACE}]+'))
 en AS (SELECT * FROM lab WHERE label IN ('negative', 'neutral', 'positive') AND {sq.words('input')} BETWEEN 4 AND 80)"""
 
 
-@query("synthetic_build", f"WITH {_WRITTEN} SELECT id, '{fixed.INSTRUCTION}' AS instruction, input, label AS output FROM en")
+@query(
+    "synthetic_build",
+    f"""WITH {_WRITTEN}, {_proportional_ids(10)}
+    SELECT id, '{fixed.INSTRUCTION}' AS instruction, input, label AS output FROM en WHERE id IN (SELECT id FROM ids)""",
+)
 def _(spark, sf):
     folder = scratch_path(spark, "synthetic")
-    return synthetic.build_synthetic(fx.prompts(spark, sf), writer_model(), labeller_model(), folder)
+    return synthetic.build_synthetic(fx.prompts(spark, sf), writer_model(), labeller_model(), folder, n=10, target=30)
+
+
+@query(
+    "synthetic_checks",
+    f"""WITH {_MADE} SELECT count(*) AS rows, count(*) FILTER (NOT label_is_valid) AS invalid_labels,
+      count(*) FILTER (NOT input_length_ok) AS invalid_lengths, count(*) - count(DISTINCT input) AS removed_by_dedup
+    FROM checked""",
+)
+def _(spark, sf):
+    return synthetic.synthetic_checks(_checked(spark, sf))
 
 
 @query(
@@ -787,12 +900,23 @@ def _(spark, sf):
     return metrics.detailed_results(fx.answers(spark, sf))
 
 
-@query("detailed_results_joined", SQL["detailed_results"])
+@query(
+    "detailed_results_joined",
+    f"""WITH {sq.ANSWERED}, told AS (SELECT * REPLACE (CASE WHEN id % 10 <> 3 THEN baseline_raw_output END AS baseline_raw_output)
+      FROM answers),
+    p AS (SELECT *, {sq.parse("coalesce(baseline_raw_output, '')")} AS baseline_prediction,
+      {sq.parse('finetuned_raw_output')} AS finetuned_prediction FROM told)
+    SELECT id, language, instruction, input_text, ground_truth, baseline_prediction, baseline_raw_output,
+      baseline_prediction = ground_truth AS baseline_correct, finetuned_prediction, finetuned_raw_output,
+      finetuned_prediction = ground_truth AS finetuned_correct FROM p""",
+)
 def _(spark, sf):
+    """One model has no answer to some of the examples."""
     told = fx.answers(spark, sf)
-    parts = [told.select("id", F.col(f"{m}_raw_output").alias("raw")) for m in ("baseline", "finetuned")]
+    baseline = told.filter("id % 10 <> 3").select("id", F.col("baseline_raw_output").alias("raw"))
+    finetuned = told.select("id", F.col("finetuned_raw_output").alias("raw"))
     rows = told.select("id", "language", "instruction", "input_text", "ground_truth")
-    return metrics.detailed_results(metrics.with_answers(rows, *parts))
+    return metrics.detailed_results(metrics.with_answers(rows, baseline, finetuned, missing="unparseable"))
 
 
 @query(
@@ -813,6 +937,30 @@ def _(spark, sf):
     return six(metrics.accuracies(_counts(spark, sf)), "accuracy_all", "accuracy_parseable", "accuracy_reported")
 
 
+@query(
+    "accuracy_odd",
+    f"""WITH {sq.ANSWERED}, odd AS (SELECT language, CASE WHEN language = 'de' AND id % 17 = 0 THEN 'mixed' ELSE ground_truth END AS truth,
+      CASE WHEN language = 'es' THEN 'unparseable' ELSE {sq.parse('baseline_raw_output')} END AS pred FROM answers),
+    every AS (SELECT * FROM odd UNION ALL SELECT 'overall', truth, pred FROM odd),
+    n AS (SELECT language, count(*) AS rows, count(*) FILTER (pred <> 'unparseable') AS parseable,
+      count(*) FILTER (pred = truth) AS hits, count(*) FILTER (pred <> 'unparseable' AND truth = 'mixed') AS mixed
+      FROM every GROUP BY 1)
+    SELECT 'baseline' AS model, language, rows, parseable, round(hits / rows, 6) AS accuracy_all,
+      round(CASE WHEN parseable = 0 THEN 0 ELSE hits / parseable END, 6) AS accuracy_parseable,
+      round(CASE WHEN parseable = 0 THEN 0 WHEN mixed > 0 THEN hits / rows ELSE hits / parseable END, 6) AS accuracy_reported
+    FROM n""",
+)
+def _(spark, sf):
+    """One language has no parseable answer, another has truths outside the classes."""
+    rows = fx.answers(spark, sf)
+    mixed = (F.col("language") == "de") & (F.col("id") % 17 == 0)
+    rows = rows.withColumn("ground_truth", F.when(mixed, "mixed").otherwise(F.col("ground_truth")))
+    mute = F.when(F.col("language") == "es", "unsure").otherwise(F.col("baseline_raw_output"))
+    details = metrics.detailed_results(rows.withColumn("baseline_raw_output", mute))
+    counts = metrics.confusion_counts(metrics.melt_predictions(details, {"baseline": "baseline_prediction"}))
+    return six(metrics.accuracies(counts), "accuracy_all", "accuracy_parseable", "accuracy_reported")
+
+
 @query(
     "class_report",
     f"""WITH {sq.MELTED} SELECT model, language, class, tp, predicted, support, round(precision, 6) AS precision,
@@ -970,9 +1118,39 @@ def _(spark, sf):
     return readers.read_all_splits(spark, {s: f"{path}/split={s}" for s in ("train", "validation", "test")})
 
 
-@query("results_roundtrip", SQL["detailed_results"] + " WHERE language = 'en'")
+@query("results_roundtrip", SQL["detailed_results"])
 def _(spark, sf):
     path = scratch_path(spark, "results")
     writers.write_results(metrics.detailed_results(fx.answers(spark, sf)), path)
     columns = metrics.detailed_results(fx.answers(spark, sf)).columns
-    return spark.read.parquet(path).filter("language = 'en'").select(columns)
+    return spark.read.parquet(path).select(columns)
+
+
+# --- whole runs from written files ----------------------------------------------------------
+
+
+@query(
+    "training_files",
+    _BUILT
+    + f""", {sq.ANSWERED}
+    SELECT split, 'original' AS source, {_sql_chat('input', 'output')} AS text FROM built
+    UNION ALL SELECT 'train', 'synthetic', {_sql_chat('input_text', 'ground_truth').replace(fixed.INSTRUCTION, 'label it')} FROM answers""",
+)
+def _(spark, sf):
+    """Write a dataset and synthetic rows, read both back and render them as chat texts."""
+    dataset, made = scratch_path(spark, "dataset"), scratch_path(spark, "synthetic-csv")
+    datasets.write_dataset(dataset_build(spark, sf), dataset)
+    rows = fx.answers(spark, sf)
+    writers.write_csv(
+        rows.select("instruction", F.col("input_text").alias("input"), F.col("ground_truth").alias("output")), made
+    )
+    return datasets.prepare_training(spark, dataset, made)
+
+
+@query("evaluation_files", SQL["model_run"])
+def _(spark, sf):
+    """Write a dataset and score both models on its eval files."""
+    path = scratch_path(spark, "dataset")
+    datasets.write_dataset(dataset_build(spark, sf), path)
+    tables = evaluation.evaluate_files(spark, path, answer_model(0), answer_model(1), scratch_path(spark, "evaluation"))
+    return six(tables["accuracy"], "accuracy_all", "accuracy_parseable", "accuracy_reported")

@@ -28,8 +28,11 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df, names
 
 
-def with_value_keys(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str], Column]:
-    """One 32-byte key per column and one for the whole row; a null is a value of its own.
+def with_value_keys(
+    df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()
+) -> tuple[DataFrame, list[str], Column]:
+    """One 32-byte key per column and one for the whole row; a null is a value of its own. Columns to
+    ``keep`` stay as they are.
 
     Returns the table of column keys, their names, and the row key as an expression on them.
     """
@@ -39,4 +42,4 @@ def with_value_keys(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, l
     ]
     # A null has no bytes and every other key has 32, so the lengths keep the parts apart.
     parts = [F.concat(F.length(n).cast("string"), F.hex(n)) for n in names]
-    return df.select(*keys), names, F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
+    return df.select(*keep, *keys), names, F.unhex(F.sha2(F.concat_ws("|", *parts), 256))

@@ -29,13 +29,14 @@ def tagged_union(parts: dict[str, DataFrame], tag: str) -> DataFrame:
 def position_language(df: DataFrame, id_col: str = "id", first: str = "EN", second: str = "VI") -> DataFrame:
     """Add each row's position in id order and the language its half of the table stands for.
 
-    The row count and the positions come from one table of rows per id slot, so no task sees
-    more than the ids of one slot.
+    Only ids are ranked, slot by slot, and joined back; the row count and the positions come from one
+    table of rows per slot, so no task sees more than the ids of one slot.
     """
-    rows = df.withColumn("_slot", rk.id_slot(id_col))
-    slots = rk.slot_counts(rows)
+    ids = rk.with_id_slot(df.select(id_col), id_col)
+    slots = rk.slot_counts(ids)
     total = slots.agg(F.sum("_n").alias("n")).scalar()
-    placed = rk.rank_by_slots(rows, slots, order=(id_col,), out="position").drop("_slot")
+    ranked = rk.rank_by_slots(ids, slots, order=(id_col,), out="position").drop("_slot")
+    placed = df.join(ranked, id_col)
     return placed.withColumn("position", F.col("position") - 1).withColumn(
         "language", F.when(F.col("position") < total / 2, first).otherwise(second)
     )

@@ -51,25 +51,44 @@ def _groups(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     return keyed.groupBy(*names).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n"))
 
 
-def dedup_keep_first(df: DataFrame, keys: Sequence[str], order_col: str = "id") -> DataFrame:
-    """Keep the first row of every key, by ``order_col``, which must be unique."""
-    return df.join(_groups(df, keys, order_col).select(order_col), order_col, "left_semi")
+def _split_off(df: DataFrame, kept: DataFrame, id_col: str, folder: str | None, inside: bool) -> DataFrame:
+    """The rows of ``df`` whose id is in ``kept`` (or, not ``inside``, is not in it).
+
+    With a ``folder`` the ids that are not kept are worked out on ids alone, written there and counted.
+    Few of them are broadcast, and ``df`` is not shuffled; with many, or without a folder, the join is
+    a shuffle of ``df`` on the unique id. The rows are the same.
+    """
+    if folder is not None:
+        surplus = materialized(df.select(id_col).join(kept, id_col, "left_anti"), folder)
+        if surplus.count() <= BROADCAST_ROWS:
+            return df.join(F.broadcast(surplus), id_col, "left_anti" if inside else "left_semi")
+    return df.join(kept, id_col, "left_semi" if inside else "left_anti")
+
+
+def dedup_keep_first(
+    df: DataFrame, keys: Sequence[str], order_col: str = "id", folder: str | None = None
+) -> DataFrame:
+    """Keep the first row of every key, by ``order_col``, which must be unique.
+
+    For ``folder`` see :func:`_split_off`.
+    """
+    return _split_off(df, _groups(df, keys, order_col).select(order_col), order_col, folder, True)
 
 
-def dedup_drop_all(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Drop every row whose key occurs more than once."""
+def dedup_drop_all(df: DataFrame, keys: Sequence[str], id_col: str = "id", folder: str | None = None) -> DataFrame:
+    """Drop every row whose key occurs more than once. For ``folder`` see :func:`_split_off`."""
     singles = _groups(df, keys, id_col).filter("_n = 1").select(id_col)
-    return df.join(singles, id_col, "left_semi")
+    return _split_off(df, singles, id_col, folder, True)
 
 
-def duplicate_rows(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Every row whose key occurs more than once.
+def duplicate_rows(df: DataFrame, keys: Sequence[str], id_col: str = "id", folder: str | None = None) -> DataFrame:
+    """Every row whose key occurs more than once. For ``folder`` see :func:`_split_off`.
 
     These are the rows that are not the only one of their key, so the join is on the id and a
     key with any number of copies stays spread. Sort the result where it is shown or written.
     """
     singles = _groups(df, keys, id_col).filter("_n = 1").select(id_col)
-    return df.join(singles, id_col, "left_anti")
+    return _split_off(df, singles, id_col, folder, False)
 
 
 def drop_listed(
@@ -82,7 +101,8 @@ def drop_listed(
     if isinstance(texts, DataFrame):
         listed = texts.select(text_key(F.col(texts.columns[0])).alias("_key0")).dropna().distinct()
         keyed, names = with_keys(df, [text_col])
-        return _drop_keys(keyed, listed, names, F.xxhash64(*df.columns), folder).select(*df.columns)
+        # Equal rows get different parts too, unlike with a hash of the row.
+        return _drop_keys(keyed, listed, names, F.monotonically_increasing_id(), folder).select(*df.columns)
     return df.filter(F.coalesce(~F.col(text_col).isin(list(texts)), F.lit(True)))
 
 
@@ -144,25 +164,27 @@ def drop_conflicting(
     return _drop_keys(keyed, conflicts, names, F.xxhash64(F.col(id_col)), folder).select(*columns)
 
 
-def duplicate_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Surplus rows per column and for whole rows (``*``): rows minus distinct values.
+def duplicate_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Surplus rows per column and for whole rows (``*``), in each group of ``by``: rows minus distinct
+    values.
 
     A null counts as one value. Each row is turned into one key per column, and the keys are
     counted together in a single aggregate.
     """
-    keyed, names, whole = with_value_keys(df, columns)
+    keyed, names, whole = with_value_keys(df, columns, by)
     entries = [F.struct(F.lit(c).alias("column"), F.col(n).alias("key")) for c, n in zip(columns, names)]
     entries.append(F.struct(F.lit("*").alias("column"), whole.alias("key")))
     return (
-        keyed.select(F.inline(F.array(*entries)))
-        .groupBy("column", "key")
+        keyed.select(*by, F.inline(F.array(*entries)))
+        .groupBy(*by, "column", "key")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("column")
+        .groupBy(*by, "column")
         .agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"))
         .withColumn("duplicates", F.col("rows") - F.col("distinct_rows"))
     )
 
 
-def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values in order."""
-    return df.select(col).distinct().orderBy(col)
+def distinct_sorted(df: DataFrame, col: str, id_col: str = "id", folder: str | None = None) -> DataFrame:
+    """Distinct values in order. Copies are dropped by id, so a text travels for the sort only; for
+    ``folder`` see :func:`_split_off`."""
+    return dedup_keep_first(df.select(id_col, col), [col], id_col, folder).select(col).orderBy(col)

@@ -22,12 +22,17 @@ def prompt_schedule(
 ) -> DataFrame:
     """Attempts in order: ``target // per_prompt + number of prompts`` rounds that cycle the prompts.
 
-    ``prompts`` has ``prompt_no`` (0, 1, ..) and ``prompt``. The attempts are a range that Spark
-    splits over its tasks; only the number of prompts is fetched.
+    ``prompts`` has ``prompt_no`` (0, 1, .., each once, or this fails) and ``prompt``. The attempts are
+    a range that Spark splits over its tasks; only the extent of the numbers is fetched.
     """
-    n = prompts.count()
+    number = F.col("prompt_no")
+    n, low, high, different = prompts.agg(
+        F.count(F.lit(1)), F.min(number), F.max(number), F.count_distinct(number)
+    ).first()
     if n == 0:
         raise ValueError("no prompts")
+    if (low, high, different) != (0, n - 1, n):
+        raise ValueError(f"prompts are numbered 0 to {n - 1}; found {low} to {high}, {different} different")
     rounds = target // per_prompt + n
     attempts = prompts.sparkSession.range(rounds * per_prompt).select(
         F.col("id").alias("attempt"),
@@ -52,7 +57,7 @@ def batch_infer(
     def answers(model, prompts):
         try:
             together = list(model(prompts))
-            if len(together) == len(prompts):
+            if len(together) == len(prompts) and all(a is None or isinstance(a, str) for a in together):
                 return together, [None] * len(prompts)
         except Exception:  # noqa: BLE001 - whatever user code raised, look for the failing prompt
             pass
@@ -60,6 +65,8 @@ def batch_infer(
         for prompt in prompts:
             try:
                 (answer,) = model([prompt])
+                if not (answer is None or isinstance(answer, str)):
+                    raise TypeError(f"the answer is {type(answer).__name__}, not str")
                 raw.append(answer)
                 errors.append(None)
             except Exception as failure:  # noqa: BLE001
@@ -105,7 +112,7 @@ def collect_unique(attempts: DataFrame, cap: int, text_col: str = "text", order_
     if cap <= rk.ONE_TASK_ROWS:
         picked = firsts.orderBy(order_col).limit(cap)
     else:
-        slotted = firsts.withColumn("_slot", rk.id_slot(order_col))
+        slotted = rk.with_id_slot(firsts, order_col)
         ranked = rk.rank_by_slots(slotted, rk.slot_counts(slotted), upto=cap, order=(order_col,))
         picked = ranked.select(order_col)
     return rk.fetch(attempts.select(text_col, order_col), picked, order_col, cap).select(text_col, order_col)

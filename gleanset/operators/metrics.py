@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from gleanset import fixed
 from gleanset.functions import labels as lb
 
-OVERALL = "overall"
+#: Marks among languages and truths; data that uses them as names of its own is refused.
+OVERALL, OTHER = "overall", "other"
 KEYS = ("model", "language")
 
 
@@ -33,10 +34,24 @@ def detailed_results(df: DataFrame) -> DataFrame:
     return parsed.select(*columns)
 
 
-def with_answers(rows: DataFrame, baseline: DataFrame, finetuned: DataFrame) -> DataFrame:
-    """Examples joined with two tables of (id, raw) answers kept elsewhere; ids are unique."""
+def with_answers(
+    rows: DataFrame, baseline: DataFrame, finetuned: DataFrame, missing: str = "fail"
+) -> DataFrame:
+    """Every example joined with two tables of (id, raw) answers kept elsewhere; ids are unique.
+
+    An example without an answer of a model fails the run, or with ``missing="unparseable"`` keeps a
+    null answer, which counts as unparseable; it never leaves the metrics.
+    """
+    if missing not in ("fail", "unparseable"):
+        raise ValueError(f"missing is fail or unparseable, not {missing!r}")
     for name, answers in (("baseline", baseline), ("finetuned", finetuned)):
-        rows = rows.join(answers.select("id", F.col("raw").alias(f"{name}_raw_output")), "id")
+        answers = answers.select("id", F.col("raw").alias(f"{name}_raw_output"), F.lit(True).alias("_told"))
+        rows = rows.join(answers, "id", "left")
+        if missing == "fail":
+            untold = F.concat(F.lit(f"no {name} answer for example "), F.col("id").cast("string"))
+            raw = F.when(F.col("_told").isNull(), F.raise_error(untold)).otherwise(F.col(f"{name}_raw_output"))
+            rows = rows.withColumn(f"{name}_raw_output", raw)
+        rows = rows.drop("_told")
     return rows
 
 
@@ -58,10 +73,13 @@ def confusion_counts(melted: DataFrame, classes: Sequence[str] = fixed.LABELS) -
     below this aggregate, so that all of them can share it.
     """
     known = list(classes)
+    if {OTHER, fixed.UNPARSEABLE} & set(known):
+        raise ValueError(f"classes may not be called {OTHER} or {fixed.UNPARSEABLE}")
+    taken = F.raise_error(F.lit(f"a language may not be called {OVERALL}"))
     cells = melted.groupBy(
         "model",
-        "language",
-        F.when(F.col("truth").isin(known), F.col("truth")).otherwise(F.lit("other")).alias("truth"),
+        F.when(F.col("language") == OVERALL, taken).otherwise(F.col("language")).alias("language"),
+        F.when(F.col("truth").isin(known), F.col("truth")).otherwise(F.lit(OTHER)).alias("truth"),
         F.when(F.col("pred").isin(known), F.col("pred")).otherwise(F.lit(fixed.UNPARSEABLE)).alias("pred"),
     ).agg(F.count(F.lit(1)).alias("n"))
     both = F.explode(F.array(F.col("language"), F.lit(OVERALL)))
@@ -107,7 +125,7 @@ def accuracies(counts: DataFrame) -> DataFrame:
     """
     parseable = F.col("pred") != fixed.UNPARSEABLE
     parsed, hits = _sum_if(parseable), _sum_if(F.col("pred") == F.col("truth"))
-    other = _sum_if(parseable & (F.col("truth") == "other"))
+    other = _sum_if(parseable & (F.col("truth") == OTHER))
     overall = _ratio(hits, F.sum("n"))
     return counts.groupBy(*KEYS).agg(
         F.sum("n").alias("rows"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset import fixed
@@ -207,34 +207,49 @@ def word_counts(df: DataFrame, text_col: str, by: Sequence[str] = ()) -> DataFra
     )
 
 
-def top_words(df: DataFrame, text_col: str, n: int = 20) -> DataFrame:
-    """The ``n`` most common tokens; equal counts by word."""
-    return word_counts(df, text_col).orderBy(F.col("n").desc(), "word").limit(n)
+def top_words(df: DataFrame, text_col: str, n: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` most common tokens (of each group of ``by``); equal counts by word."""
+    counts, order = word_counts(df, text_col, by), [F.col("n").desc(), F.col("word")]
+    if not by:
+        return counts.orderBy(*order).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return counts.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def findings(rows: DataFrame, label: str, words: str, key: str) -> DataFrame:
-    """Warnings about a dataset as (finding, value, flagged).
+def findings(
+    rows: DataFrame, labels: str | Sequence[str], words: str, key: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Warnings about a dataset (about each group of ``by``) as (finding, value, flagged).
 
-    ``rows`` is narrow: a label, a word count and a text key per row. Class share below the floor,
-    texts over and under the length thresholds, and surplus copies of a text.
+    ``rows`` is narrow: labels, a word count and a text key per row. Class share below the floor
+    (``class_share``, or ``class_share_<label>`` for each of a list), texts over and under the length
+    thresholds, and surplus copies of a text.
     """
-    # A row counts once for its class and once for its text, in one aggregate.
-    entries = F.array(
-        F.struct(F.lit("class").alias("kind"), F.col(label).cast("string").cast("binary").alias("value"), F.col(words).alias("words")),
-        F.struct(F.lit("text").alias("kind"), F.col(key).alias("value"), F.lit(None).cast("bigint").alias("words")),
+    named = {"class_share": labels} if isinstance(labels, str) else {f"class_share_{c}": c for c in labels}
+    # A row counts once for each of its classes and once for its text, in one aggregate.
+    unmeasured = F.lit(None).cast("bigint").alias("words")
+    entries = [
+        F.struct(F.lit(name).alias("kind"), F.col(c).cast("string").cast("binary").alias("value"), unmeasured)
+        for name, c in named.items()
+    ]
+    entries.append(
+        F.struct(F.lit("text").alias("kind"), F.col(key).alias("value"), F.col(words).cast("bigint").alias("words"))
     )
-    counted = rows.select(F.inline(entries)).groupBy("kind", "value").agg(
+    counted = rows.select(*by, F.inline(F.array(*entries))).groupBy(*by, "kind", "value").agg(
         F.count(F.lit(1)).alias("n"), F.max("words").alias("longest"), F.min("words").alias("shortest")
     )
-    facts = counted.selectExpr(
-        "min(n) FILTER (WHERE kind = 'class' AND value IS NOT NULL)"
-        " / sum(n) FILTER (WHERE kind = 'class' AND value IS NOT NULL) AS share",
-        "double(max(longest)) AS longest",
-        "double(min(shortest)) AS shortest",
-        "double(coalesce(sum(n - 1) FILTER (WHERE kind = 'text'), 0)) AS surplus",
+    shares = {}
+    for i, name in enumerate(named):
+        size = F.when((F.col("kind") == name) & F.col("value").isNotNull(), F.col("n"))
+        shares[f"share{i}"] = F.min(size) / F.sum(size)
+    facts = counted.groupBy(*by).agg(
+        *[share.alias(column) for column, share in shares.items()],
+        F.max("longest").cast("double").alias("longest"),
+        F.min("shortest").cast("double").alias("shortest"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "text", F.col("n") - 1)), F.lit(0)).cast("double").alias("surplus"),
     )
     checks = [
-        ("class_share", "share", F.col("share") < fixed.SHARE_FLOOR),
+        *[(name, c, F.col(c) < fixed.SHARE_FLOOR) for name, c in zip(named, shares)],
         ("longest_words", "longest", F.col("longest") > fixed.LONG_TEXT_WORDS),
         ("shortest_words", "shortest", F.col("shortest") < fixed.SHORT_TEXT_WORDS),
         ("duplicate_texts", "surplus", F.col("surplus") > 0),
@@ -243,7 +258,7 @@ def findings(rows: DataFrame, label: str, words: str, key: str) -> DataFrame:
         F.struct(F.lit(name).alias("finding"), F.col(col).alias("value"), test.alias("flagged"))
         for name, col, test in checks
     ]
-    return facts.select(F.inline(F.array(*rows)))
+    return facts.select(*by, F.inline(F.array(*rows)))
 
 
 def stage_funnel(

@@ -20,8 +20,8 @@ from gleanset import fixed
 ONE_TASK_ROWS = 100_000
 #: A side of at most this many (id, label)-sized rows may be broadcast.
 BROADCAST_ROWS = 500_000
-#: Ids covered by one slot of :func:`id_slot`; ids are unique, so also its largest row count.
-IDS_PER_SLOT = 1_000_000
+#: Slots of :func:`with_id_slot`, each with about as many rows.
+ID_SLOTS = 256
 
 
 def with_draw(df: DataFrame, id_col: str = "id", seed: int = fixed.SEED) -> DataFrame:
@@ -50,14 +50,15 @@ def rank_by_slots(
     """Rank rows inside each group; keep ranks up to ``upto``.
 
     ``slots`` holds the rows per (group, slot) of ``df``. When the number of groups is known, the
-    table of slot starts has a size bound and is broadcast; otherwise Spark picks the join, and a
-    shuffle on (group, slot) serves the join and the window alike.
+    table of slot starts has a size bound (no more slots than ranks below ``upto``) and is broadcast
+    if that is small; otherwise Spark picks the join, and a shuffle on (group, slot) serves the join
+    and the window alike.
     """
     earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = slots.select(*by, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     if upto is not None:
         starts = starts.filter(F.col("_start") < upto)
-    if groups is not None and groups * 65_536 <= BROADCAST_ROWS:
+    if groups is not None and groups * min(65_536, upto or 65_536) <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     inside = Window.partitionBy(*by, "_slot").orderBy(*order)
     ranked = df.join(starts, [*by, "_slot"]).withColumn(out, F.col("_start") + F.row_number().over(inside))
@@ -73,9 +74,13 @@ def rank_drawn(df: DataFrame, by: Sequence[str], bound: int, out: str, groups: i
     return rank_by_slots(df, slot_counts(df, by), by, out=out, groups=groups)
 
 
-def id_slot(id_col: str = "id"):
-    """Slot expression that keeps integer ids in order, :data:`IDS_PER_SLOT` ids to a slot."""
-    return F.floor(F.col(id_col) / F.lit(IDS_PER_SLOT))
+def with_id_slot(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Add ``_slot``, which keeps integer ids in order and cuts them at quantiles, so that slots are
+    even however far the ids are spread. ``df`` is narrow: it is read once more for the quantiles."""
+    cuts = [k / ID_SLOTS for k in range(1, ID_SLOTS)]
+    bounds = df.agg(F.percentile_approx(F.col(id_col), cuts, 100_000).alias("bounds")).scalar()
+    below = F.size(F.filter("_bounds", lambda bound: bound <= F.col(id_col)))
+    return df.withColumn("_bounds", bounds).withColumn("_slot", below).drop("_bounds")
 
 
 def fetch(df: DataFrame, picked: DataFrame, id_col: str, bound: int | None) -> DataFrame:

@@ -38,13 +38,20 @@ def shuffled(df: DataFrame, id_col: str = "id", seed: int = fixed.SEED) -> DataF
 
 
 def top_up(sample: DataFrame, pool: DataFrame, target: int, id_col: str = "id", seed: int = fixed.SEED) -> DataFrame:
-    """Fill a sample up to ``target`` rows from the pool, whatever the class; all or nothing."""
-    drawn = rk.with_draw(pool.select(F.col(id_col).alias("id")), "id", seed)
-    counts = sample.agg(F.count(F.lit(1)).alias("have"))
-    need = F.lit(target) - counts.scalar()
-    size = pool.agg(F.count(F.lit(1)).alias("size"))
-    ranked = rk.rank_by_slots(drawn, rk.slot_counts(drawn), upto=target, groups=1)
-    picked = ranked.filter((F.col("rank") <= need) & (size.scalar() >= need)).select(F.col("id").alias(id_col))
+    """Fill a sample up to ``target`` rows from the pool, whatever the class; all or nothing.
+
+    Both counts and the draw come from the ids alone; the rows are fetched once at the end.
+    """
+    ids = sample.select(F.col(id_col).alias("id"), F.lit(True).alias("_have")).unionByName(
+        pool.select(F.col(id_col).alias("id"), F.lit(False).alias("_have"))
+    )
+    drawn = rk.with_draw(ids, "id", seed)
+    slots = rk.slot_counts(drawn, ["_have"])
+    need = F.greatest(F.lit(target) - F.coalesce(F.sum(F.when(F.col("_have"), F.col("_n"))), F.lit(0)), F.lit(0))
+    size = F.coalesce(F.sum(F.when(~F.col("_have"), F.col("_n"))), F.lit(0))
+    grant = slots.agg(F.when(size >= need, need).otherwise(0).alias("grant")).scalar()
+    ranked = rk.rank_by_slots(drawn, slots, ["_have"], upto=target, groups=2)
+    picked = ranked.filter(~F.col("_have") & (F.col("rank") <= grant)).select(F.col("id").alias(id_col))
     return sample.unionByName(rk.fetch(pool, picked, id_col, target))
 
 
@@ -54,9 +61,12 @@ def sample_per_class(
     n: int,
     id_col: str = "id",
     seed: int = fixed.SEED,
-    classes: Sequence[str] | None = fixed.LABELS,
+    classes: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``min(available, n)`` rows of every class. ``classes=None`` takes the labels as they come."""
+    """``min(available, n)`` rows of every class, as the labels come or of the given ``classes``.
+
+    A null label is no class. :func:`outside_classes` counts what given classes leave out.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(label).alias("label")).filter(F.col("label").isNotNull())
     if classes is not None:
         rows = rows.filter(F.col("label").isin(list(classes)))
@@ -231,24 +241,49 @@ def proportional_quotas(counts: DataFrame, n: int) -> DataFrame:
     )
 
 
+def outside_classes(df: DataFrame, label: str, classes: Sequence[str] = fixed.LABELS) -> DataFrame:
+    """(label, n) of the rows whose label is null or not one of ``classes``."""
+    other = F.col(label).isNull() | ~F.col(label).isin(list(classes))
+    return df.filter(other).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _proportional_ids(rows: DataFrame, n: int, seed: int, classes: Sequence[str] | None) -> DataFrame:
+    """Ids that a proportional sample of narrow (id, label) rows takes."""
+    rows = rows.filter(F.col("label").isNotNull())
+    if classes is not None:
+        rows = rows.filter(F.col("label").isin(list(classes)))
+    drawn = rk.with_draw(rows, "id", seed)
+    slots = rk.slot_counts(drawn, ["label"])
+    quotas = proportional_quotas(slots.groupBy("label").agg(F.sum("_n").alias("c")), n)
+    groups = len(classes) if classes is not None else None
+    ranked = rk.rank_by_slots(drawn, slots, ["label"], upto=n, groups=groups)
+    placed = ranked.join(quotas, "label").withColumn("_in", F.col("rank") <= F.col("take"))
+    if groups is not None:
+        placed = rk.rank_drawn(placed, ["_in"], n * groups, "_turn")
+    else:  # any number of classes: ranked over the slots of the draw
+        placed = rk.rank_by_slots(placed, rk.slot_counts(placed, ["_in"]), ["_in"], out="_turn", groups=2)
+    wanted = F.when(F.col("_in"), F.col("_turn") <= n).otherwise(F.col("_turn") <= F.col("more"))
+    return placed.filter(wanted).select("id")
+
+
 def proportional_sample(
     df: DataFrame,
     label: str,
     n: int,
     id_col: str = "id",
     seed: int = fixed.SEED,
-    classes: Sequence[str] = fixed.LABELS,
+    classes: Sequence[str] | None = None,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
-    """At most ``n`` rows with the class shares of the table; all rows when there are no more."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"))
-    drawn = rk.with_draw(rows.filter(F.col("label").isin(list(classes))), "id", seed)
-    slots = rk.slot_counts(drawn, ["label"])
-    quotas = proportional_quotas(slots.groupBy("label").agg(F.sum("_n").alias("c")), n)
-    ranked = rk.rank_by_slots(drawn, slots, ["label"], upto=n, groups=len(classes))
-    placed = ranked.join(F.broadcast(quotas), "label").withColumn("_in", F.col("rank") <= F.col("take"))
-    placed = rk.rank_drawn(placed, ["_in"], n * len(classes), "_turn")
-    wanted = F.when(F.col("_in"), F.col("_turn") <= n).otherwise(F.col("_turn") <= F.col("more"))
-    return rk.fetch(df, placed.filter(wanted).select(F.col("id").alias(id_col)), id_col, n)
+    """At most ``n`` rows with the class shares of the table; all rows when there are no more.
+
+    Labels are taken as they come, or only the given ``classes``; a null label is no class.
+    :func:`outside_classes` counts what that leaves out. ``narrow`` has the (id, label) rows to draw
+    from where they are cheaper to get than from ``df``, which is then only read for the chosen ids.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(label).alias("label")) if narrow is None else narrow
+    picked = _proportional_ids(rows, n, seed, classes).select(F.col("id").alias(id_col))
+    return rk.fetch(df, picked, id_col, n)
 
 
 def shortfall(

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanset import fixed
+from gleanset.functions import chat
 from gleanset.functions import labels as lb
+from gleanset.functions.keys import text_key
 from gleanset.functions import text as tx
 from gleanset.operators import combine, dedup, ranking, sampling
 from gleanset.operators.profile import stage_funnel
+from gleanset.sources.readers import read_csv, read_dataset
 from gleanset.sources.writers import write_jsonl
 
 
@@ -61,10 +64,13 @@ def second_rows(
     return firsts.filter("class >= 0").select("id", lb.class_name(F.col("class")).alias("label"))
 
 
-def english_clean(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS) -> DataFrame:
-    """All usable English rows with their cleaned text, for uses that need every one of them."""
+def english_clean(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS, folder: str | None = None) -> DataFrame:
+    """All usable English rows with their cleaned text, for uses that need every one of them.
+
+    With a ``folder`` the ids of surplus copies are written there, so that the texts need not travel.
+    """
     usable = raw.filter(english_text_ok(F.col("input"), min_words))
-    kept = dedup.dedup_keep_first(usable, ["input"])
+    kept = dedup.dedup_keep_first(usable, ["input"], folder=folder)
     return (
         kept.withColumn("label", lb.map_terms(F.col("output")))
         .dropna(subset=["label"])
@@ -146,3 +152,46 @@ def add_synthetic(train: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Training rows of both origins, with a ``source`` column."""
     columns = ["instruction", "input", "output"]
     return combine.tagged_union({"original": train.select(columns), "synthetic": synthetic.select(columns)}, "source")
+
+
+def prepare_training(
+    spark: SparkSession,
+    dataset_path: str,
+    synthetic_path: str | None = None,
+    template: chat.ChatTemplate = chat.ChatTemplate(),
+) -> DataFrame:
+    """Chat texts for training from written files: (split, source, text).
+
+    The train split of a written dataset (JSON lines), with the synthetic rows of a CSV folder added
+    to it, and its eval split. A record without instruction, input or output fails the run.
+    """
+    rows = read_dataset(spark, dataset_path)
+    columns = ["split", "source", "instruction", "input", "output"]
+    rows = rows.withColumn("source", F.lit("original")).select(columns)
+    if synthetic_path is not None:
+        made = read_csv(spark, synthetic_path).withColumns({"split": F.lit("train"), "source": F.lit("synthetic")})
+        rows = rows.unionByName(made.select(columns))
+    checked = rows.filter(chat.require_fields(F.col("instruction"), F.col("input"), F.col("output")))
+    messages = chat.to_messages(F.col("instruction"), F.col("input"), F.col("output"))
+    return checked.select("split", "source", chat.render_chat(messages, template).alias("text"))
+
+
+def dataset_shortfall(dataset: DataFrame, wanted: dict[str, dict[str, int]]) -> DataFrame:
+    """What each language's splits wanted and got; ``wanted`` maps a language to rows per split."""
+    got = dataset.select("language", "split", F.col("output").alias("label"))
+    return combine.tagged_union(
+        {
+            language: sampling.shortfall(got.filter(F.col("language") == language).drop("language"), goals)
+            for language, goals in wanted.items()
+        },
+        "language",
+    )
+
+
+def dataset_overlap(dataset: DataFrame) -> DataFrame:
+    """How far the built splits share rows (language and id) and final texts."""
+    return sampling.split_overlap(
+        dataset.select(
+            "split", F.concat_ws(":", "language", "id").alias("id"), text_key(F.col("input")).alias("key")
+        )
+    )

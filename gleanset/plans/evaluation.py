@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanset import fixed
@@ -10,6 +10,7 @@ from gleanset.functions import chat
 from gleanset.operators import generation, metrics
 from gleanset.plans.synthetic import Model
 from gleanset.session import materialized
+from gleanset.sources.readers import read_dataset
 
 PREDICTIONS = {"baseline": "baseline_prediction", "finetuned": "finetuned_prediction"}
 
@@ -73,3 +74,10 @@ def run_models(eval_rows: DataFrame, baseline: Model, finetuned: Model, folder:
     """Ask both models, keep their answers in ``folder``, and score them."""
     answers = materialized(answer_all(eval_rows, baseline, finetuned), f"{folder}/answers")
     return evaluate(answers, folder)
+
+
+def evaluate_files(
+    spark: SparkSession, dataset_path: str, baseline: Model, finetuned: Model, folder: str
+) -> dict[str, DataFrame]:
+    """Score two models on the eval split of a written dataset, with its ids and languages."""
+    return run_models(read_dataset(spark, dataset_path, "eval"), baseline, finetuned, folder)

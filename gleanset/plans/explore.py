@@ -22,28 +22,34 @@ def explore(
     top: int = 20,
     folder: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Lazy result tables by name; each one is a single scan and its own small aggregate.
+    """Lazy result tables by name, per group of ``by``; each one is a single scan and its own small
+    aggregate.
 
-    The three length tables come from one frequency table. With a ``folder`` that table is written
-    there, and the texts are measured once for all three.
+    The three length tables come from one frequency table. With a ``folder`` that table, the narrow
+    table for the findings and the ids of duplicates are written there, so that texts are measured
+    once and do not travel.
     """
     frequencies = profile.length_frequencies(df, text, by)
     if folder is not None:
         frequencies = materialized(frequencies, f"{folder}/lengths")
     narrow = df.select(
-        id_col, *labels, text_key(F.col(text)).alias("key"), tx.word_count(F.col(text)).alias("words")
+        id_col, *by, *labels, text_key(F.col(text)).alias("key"), tx.word_count(F.col(text)).alias("words")
     )
-    firsts = dedup.dedup_keep_first(narrow, ["key"], id_col)
+    if folder is not None:
+        narrow = materialized(narrow, f"{folder}/narrow")
+    firsts = dedup.dedup_keep_first(narrow, [*by, "key"], id_col)
     return {
         "columns": profile.table_profile(df, by),
         "head": profile.first_rows(df, order_col=id_col),
         "values": profile.distinct_values(df, labels, by),
         "shares": profile.value_shares(df, labels, by),
-        "surplus": dedup.duplicate_counts(df, [c for c in df.columns if c != id_col]),
-        "duplicates": dedup.duplicate_rows(df, [text], id_col),
+        "surplus": dedup.duplicate_counts(df, [c for c in df.columns if c not in (id_col, *by)], by),
+        "duplicates": dedup.duplicate_rows(
+            df, [*by, text], id_col, None if folder is None else f"{folder}/duplicates"
+        ),
         "lengths": profile.describe_lengths(frequencies, by),
         "histogram": profile.length_histogram(frequencies, by),
         "box": profile.box_figures(frequencies, by),
-        "words": profile.top_words(df, text, top),
-        "findings": profile.findings(firsts, labels[0], "words", "key"),
+        "words": profile.top_words(df, text, top, by),
+        "findings": profile.findings(firsts, labels, "words", "key", by),
     }

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from gleanset import fixed
 from gleanset.functions import chat
+from gleanset.functions import labels as lb
+from gleanset.functions.keys import with_keys
 from gleanset.operators import dedup, generation, sampling
 from gleanset.operators.profile import stage_funnel
 from gleanset.session import materialized
@@ -44,9 +46,19 @@ def label_snippets(snippets: DataFrame, load_model: Model) -> DataFrame:
 
 
 def finish(rows: DataFrame, n: int = fixed.SYNTHETIC_ROWS, seed: int = fixed.SEED) -> DataFrame:
-    """First copy of each input, rows that pass the checks, sampled down by class share."""
-    kept = generation.passing(dedup.dedup_keep_first(rows, ["input"]))
-    return sampling.proportional_sample(kept, "output", n, seed=seed).select("id", "instruction", "input", "output")
+    """First copy of each input, rows that pass the checks, sampled down by class share.
+
+    The draw works on narrow first copies that carry the flags and the class; texts are fetched once.
+    """
+    passed = F.col("label_is_valid") & F.col("input_length_ok")
+    firsts = dedup.first_of_each(
+        rows, ["input"], carry={"_passed": passed, "_class": F.coalesce(lb.class_index(F.col("output")), F.lit(-1))}
+    )
+    narrow = firsts.filter(F.col("_passed") & (F.col("_class") >= 0)).select(
+        "id", lb.class_name(F.col("_class")).alias("label")
+    )
+    sampled = sampling.proportional_sample(rows, "output", n, seed=seed, classes=fixed.LABELS, narrow=narrow)
+    return sampled.select("id", "instruction", "input", "output")
 
 
 def build_synthetic(
@@ -65,8 +77,29 @@ def build_synthetic(
     return finish(labelled, n, seed)
 
 
+def synthetic_checks(labelled: DataFrame) -> DataFrame:
+    """What the checks report over all rows, before any is dropped: rows, invalid labels, inputs of
+    invalid length, and rows that dedup removes; one row."""
+    keyed, names = with_keys(labelled, ["input"])
+    return (
+        keyed.groupBy(*names)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(~F.col("label_is_valid")).alias("label"),
+            F.count_if(~F.col("input_length_ok")).alias("length"),
+        )
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum("label"), F.lit(0)).alias("invalid_labels"),
+            F.coalesce(F.sum("length"), F.lit(0)).alias("invalid_lengths"),
+            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("removed_by_dedup"),
+        )
+    )
+
+
 def synthetic_funnel(labelled: DataFrame) -> DataFrame:
-    """Rows left after the label check, the length check and dedup, as the checks are reported."""
+    """Rows left after dedup, then after the label check, then after the length check; what the checks
+    find before dedup is in :func:`synthetic_checks`."""
     firsts = dedup.first_of_each(
         labelled,
         ["input"],

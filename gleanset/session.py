@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,12 @@ def build_session(app: str = "gleanset", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """Scratch of a local session without a shared folder, removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="gleanset-", ignore_cleanup_errors=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -40,7 +47,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="gleanset-")
+        shared = _local_folder().name
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -36,16 +36,34 @@ def read_instructions(spark: SparkSession, path: str, schema: T.StructType = INS
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+#: What :func:`gleanset.plans.datasets.write_dataset` writes.
+DATASET_SCHEMA = T.StructType(
+    [T.StructField("id", T.LongType()), *INSTRUCTION_SCHEMA.fields]
+    + [T.StructField(name, T.StringType()) for name in ("split", "language")]
+)
+
+
+def read_dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A written dataset with its ids, splits and languages; a filter on either prunes folders."""
+    df = read_instructions(spark, path, DATASET_SCHEMA)
+    return df if split is None else df.filter(F.col("split") == split)
+
+
 def read_csv(
     spark: SparkSession, path: str, required: Sequence[str] = ("instruction", "input", "output")
 ) -> DataFrame:
     """A headed CSV with quoted quotes and line breaks; fails when a required column is missing.
 
-    All columns are strings. Quoted line breaks keep one file in one task, so write CSV in many files.
+    All columns are strings. Reading fails on a file whose header differs from the first one's and on
+    a row with more or fewer fields. Quoted line breaks keep one file in one task, so write CSV in
+    many files.
     """
     df = (
         spark.read.option("header", True)
         .option("inferSchema", False)
+        .option("enforceSchema", False)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
@@ -14,11 +15,14 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "error") -> bool:
-    """Headed CSV without an index column; nothing is written for an empty table."""
-    if df.isEmpty():
-        return False
+    """Headed CSV without an index column; nothing is left for an empty table.
+
+    The table is computed once: its rows are counted while they are written.
+    """
+    seen = Observation()
     (
-        df.write.mode(mode)
+        df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        .write.mode(mode)
         .option("header", True)
         .option("quote", '"')
         .option("escape", '"')
@@ -27,7 +31,13 @@ def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: st
         .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
-    return True
+    if seen.get["rows"]:
+        return True
+    if mode != "append":
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    return False
 
 
 def write_results(df: DataFrame, path: str, partition_by: Sequence[str] = ("language",), mode: str = "error") -> None:

@@ -118,3 +118,24 @@ def test_a_table_bucketed_by_id_is_not_shuffled_again(spark, df):
     assert plan.count("Exchange") == 2
     assert all("text#" not in line for line in plan.splitlines() if "Exchange" in line)
     assert "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_written_surplus_gives_the_same_rows(df, tmp_path, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    for name in ("dedup_keep_first", "dedup_drop_all", "duplicate_rows"):
+        function = getattr(dedup, name)
+        assert ids(function(df, ["text"], folder=str(tmp_path / name))) == ids(function(df, ["text"])) != []
+
+
+def test_distinct_sorted_keeps_null(df, tmp_path):
+    want = [r.text for r in df.select("text").distinct().orderBy("text").collect()]
+    assert [r.text for r in dedup.distinct_sorted(df, "text", folder=str(tmp_path / "d")).collect()] == want
+
+
+def test_duplicate_counts_by_group(df, rows):
+    got = {(r.topic, r["column"]): r.duplicates for r in dedup.duplicate_counts(df, ["text"], ["topic"]).collect()}
+    for topic in (0, 1):
+        own = [r[1] for r in rows if r[3] == topic]
+        assert got[(topic, "text")] == len(own) - len(set(own))

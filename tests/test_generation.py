@@ -17,6 +17,31 @@ def test_schedule_cycles_the_prompts(spark):
         generation.prompt_schedule(prompts.limit(0))
 
 
+@pytest.mark.parametrize("numbers", [(0, 1, 5), (1, 2, 3), (0, 1, 1), (0, None, 1)])
+def test_schedule_refuses_gaps_offsets_and_repeats(spark, numbers):
+    prompts = spark.createDataFrame([(i, "p") for i in numbers], "prompt_no long, prompt string")
+    with pytest.raises(ValueError, match="numbered 0 to 2"):
+        generation.prompt_schedule(prompts)
+
+
+def test_an_answer_that_is_no_text_is_a_row_error(spark):
+    def load():
+        return lambda prompts: [7 if p == "odd" else p for p in prompts]
+
+    df = spark.createDataFrame([(0, "odd"), (1, "x")], "id long, prompt string").coalesce(1)
+    got = {r["id"]: (r.raw, r.error) for r in generation.batch_infer(df, "prompt", load).collect()}
+    assert got == {0: (None, "TypeError: the answer is int, not str"), 1: ("x", None)}
+
+
+def test_finish_takes_first_copies_that_pass(spark):
+    rows = [(i, "ins", f"one two three text {i % 4}", "raw", "neutral" if i % 4 else "odd", bool(i % 4), 5, True) for i in range(20)]
+    df = spark.createDataFrame(
+        rows, "id long, instruction string, input string, output_raw_llm string, output string, label_is_valid boolean, word_count long, input_length_ok boolean"
+    )
+    assert sorted(r["id"] for r in synthetic.finish(df, 10).collect()) == [1, 2, 3]
+    assert tuple(synthetic.synthetic_checks(df).first()) == (20, 5, 0, 16)
+
+
 def test_schedule_size_of_the_default_run(spark):
     prompts = spark.range(47).select(F.col("id").alias("prompt_no"), F.lit("p").alias("prompt"))
     assert generation.prompt_schedule(prompts).count() == 1035

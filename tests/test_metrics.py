@@ -165,3 +165,21 @@ def test_a_failing_model_stops_the_evaluation(spark):
     )
     with pytest.raises(Exception, match="no device"):
         evaluation.answer_all(df, broken, broken).collect()
+
+
+def test_missing_answers_stay_in_the_metrics(spark):
+    rows = spark.createDataFrame([(i, "EN", "ins", "t", "positive") for i in range(10)], "id long, language string, instruction string, input_text string, ground_truth string")
+    full = spark.createDataFrame([(i, "positive") for i in range(10)], "id long, raw string")
+    joined = metrics.with_answers(rows, full.filter("id < 7"), full, missing="unparseable")
+    details = metrics.detailed_results(joined).collect()
+    assert len(details) == 10 and sum(r.baseline_prediction == "unparseable" for r in details) == 3
+    with pytest.raises(Exception, match="no baseline answer for example"):
+        metrics.with_answers(rows, full.filter("id < 7"), full).collect()
+    assert metrics.with_answers(rows, full, full).count() == 10
+
+
+def test_marks_cannot_be_taken_for_names(spark):
+    with pytest.raises(Exception, match="may not be called overall"):
+        metrics.confusion_counts(melted(spark, [(1, "overall", "m", "positive", "positive")])).collect()
+    with pytest.raises(ValueError):
+        metrics.confusion_counts(melted(spark, []), ["other", "positive"])

@@ -114,6 +114,15 @@ def test_findings(spark):
     }
 
 
+def test_findings_per_group_and_label(spark):
+    rows = [("x", "a", 1, f"t{i}", 9) for i in range(19)] + [("x", "b", 1, "t0", 9), ("y", "b", 2, "t0", 600)]
+    df = spark.createDataFrame(rows, "s string, l string, m int, key string, words long")
+    got = {(r.s, r.finding): (r.value, r.flagged) for r in profile.findings(df, ["l", "m"], "words", "key", ["s"]).collect()}
+    assert got[("x", "class_share_l")] == (0.05, True) and got[("x", "class_share_m")] == (1.0, False)
+    assert got[("x", "duplicate_texts")] == (1.0, True) and got[("y", "duplicate_texts")] == (0.0, False)
+    assert got[("y", "longest_words")] == (600.0, True) and len(got) == 10
+
+
 def test_english_funnel(spark):
     rows = [
         (1, "a good day", "positive"),
@@ -153,19 +162,20 @@ def test_dedup_comes_before_cleaning(spark):
 
 def test_explore(spark, tmp_path):
     rows = [(i, f"text number {i % 7}", "a" if i % 3 else "b", "train") for i in range(20)]
+    rows += [(100, "text number 0", "a", "eval")]
     df = spark.createDataFrame(rows, "id long, t string, l string, split string")
     tables = explore.explore(df, "t", ["l"], ["split"], folder=str(tmp_path))
     assert (tmp_path / "lengths").exists()
     assert {name: table.count() for name, table in tables.items()} == {
-        "columns": 3,
+        "columns": 6,
         "head": 5,
-        "values": 2,
-        "shares": 2,
-        "surplus": 4,
+        "values": 3,
+        "shares": 3,
+        "surplus": 6,
         "duplicates": 20,
-        "lengths": 2,
-        "histogram": 100,
-        "box": 2,
-        "words": 2,
-        "findings": 4,
+        "lengths": 4,
+        "histogram": 200,
+        "box": 4,
+        "words": 4,
+        "findings": 8,
     }

@@ -124,6 +124,15 @@ def test_sample_per_class(spark):
         assert {r["id"] for r in got if r.label == c} == set(drawn([i for i, label in rows if label == c])[:n])
 
 
+def test_unknown_labels_stay(spark):
+    df = frame(spark, make({"mildly positive": 20, "neutral": 4}))
+    for sample in (sampling.sample_per_class(df, "label", 50), sampling.proportional_sample(df, "label", 50)):
+        assert sample.groupBy("label").count().count() == 2 and sample.count() == 24
+    assert {r.label: r.n for r in sampling.outside_classes(df, "label").collect()} == {"mildly positive": 20}
+    few = sampling.proportional_sample(df, "label", 12).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in few} == {"mildly positive": 10, "neutral": 2}
+
+
 def test_top_up_is_all_or_nothing(spark):
     rows = make({"negative": 5, "neutral": 0, "positive": 10})
     df = frame(spark, rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gleanset import session
 from gleanset.operators import combine
+from gleanset.operators import ranking as rk
 from gleanset.plans import datasets
 from gleanset.sources import readers, writers
 
@@ -54,6 +55,39 @@ def test_csv_checks_columns_and_skips_empty(spark, df, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def test_csv_with_another_header_or_a_broken_row_fails(spark, tmp_path):
+    turned = tmp_path / "turned"
+    turned.mkdir()
+    (turned / "a.csv").write_text("instruction,input,output\ni,x,y\n")
+    (turned / "b.csv").write_text("input,instruction,output\nx,i,y\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, str(turned)).collect()
+    for name, row in (("long", "i,x,y,z"), ("short", "i,x")):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "a.csv").write_text(f"instruction,input,output\n{row}\n")
+        with pytest.raises(Exception):
+            readers.read_csv(spark, str(folder)).select("input").collect()
+
+
+def test_dataset_keeps_ids_and_languages(spark, tmp_path):
+    rows = [("EN", "train", 1, "i", "x", "positive"), ("VI", "eval", 2, "i", "y", "neutral")]
+    df = spark.createDataFrame(rows, "language string, split string, id long, instruction string, input string, output string")
+    datasets.write_dataset(df, str(tmp_path / "d"))
+    got = readers.read_dataset(spark, str(tmp_path / "d"), "eval")
+    assert [(r["id"], r.language, r.input) for r in got.collect()] == [(2, "VI", "y")]
+    assert "PartitionFilters: [isnotnull(split" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_position_language_with_spread_ids(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("id"))
+    got = {r["id"]: (r.position, r.language) for r in combine.position_language(df).collect()}
+    want = sorted(got)
+    assert [got[i] for i in want] == [(p, "EN" if p < 1500 else "VI") for p in range(3000)]
+    slots = rk.with_id_slot(df, "id").groupBy("_slot").count().collect()
+    assert len(slots) > 200 and max(r["count"] for r in slots) < 40
+
+
 def test_labelled_and_splits(spark, df, tmp_path):
     for name in ("train", "test"):
         df.withColumn("n", F.lit(name)).write.parquet(str(tmp_path / name))
