@@ -39,7 +39,9 @@ def value_shares(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     """:func:`value_counts` with the share and percentage inside each column."""
     counts = value_counts(df, columns, by)
     groups = [*by, "column"]
-    joined = _attach(counts, counts.groupBy(*groups).agg(F.sum("n").alias("_total")), groups)
+    totals = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
+    # Without groups there is one total per listed column, so the values are not shuffled for them.
+    joined = _attach(counts, totals if by else F.broadcast(totals), groups)
     share = F.col("n") / F.col("_total")
     return joined.select(*counts.columns, share.alias("share"), (share * 100).alias("percent"))
 

@@ -1,10 +1,10 @@
 """Exact ranks in a seeded draw order, without sending a group to one task.
 
-Random draws are made reproducible by ordering rows on ``md5(seed:id)``. The first four hex
-digits of that hash (the *slot*) split every group into up to 65,536 evenly filled parts, so a
-rank is ``rows in earlier slots + row number inside the slot``. Rows per slot are counted with
-map-side combine; a class that holds most of the table is still ranked by many tasks, and slots
-that start beyond the wanted rank are dropped before anything is shuffled.
+Random draws are made reproducible by ordering rows on ``md5(seed:id)``. The first three hex
+digits of that hash (the *slot*) split every group into up to 4,096 evenly filled parts, few enough
+that a task combines its rows per slot before the shuffle. A rank is then ``rows in earlier slots +
+row number inside the slot``: a class that holds most of the table is still ranked by many tasks, and
+slots that start beyond the wanted rank are dropped before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from gleanset import fixed
 
+#: Hex digits of a draw that name its slot, and the slots they make.
+SLOT_DIGITS = 3
+SLOTS = 16**SLOT_DIGITS
 #: A window group of at most this many narrow rows may be ranked by one task.
 ONE_TASK_ROWS = 100_000
 #: A side of at most this many (id, label)-sized rows may be broadcast.
@@ -27,7 +30,7 @@ ID_SLOTS = 256
 def with_draw(df: DataFrame, id_col: str = "id", seed: int = fixed.SEED) -> DataFrame:
     """Add the draw order ``_draw`` and its slot ``_slot``."""
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
-    return df.withColumn("_draw", draw).withColumn("_slot", F.substring(F.col("_draw"), 1, 4))
+    return df.withColumn("_draw", draw).withColumn("_slot", F.substring(F.col("_draw"), 1, SLOT_DIGITS))
 
 
 def slot_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +61,7 @@ def rank_by_slots(
     starts = slots.select(*by, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     if upto is not None:
         starts = starts.filter(F.col("_start") < upto)
-    if groups is not None and groups * min(65_536, upto or 65_536) <= BROADCAST_ROWS:
+    if groups is not None and groups * min(SLOTS, upto or SLOTS) <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     inside = Window.partitionBy(*by, "_slot").orderBy(*order)
     ranked = df.join(starts, [*by, "_slot"]).withColumn(out, F.col("_start") + F.row_number().over(inside))
