@@ -12,7 +12,7 @@ on in memory. A shard gives the links of a spanning forest, not all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log2
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,11 @@ from gleanset.llm.components import components
 from gleanset.llm.rows import numbered, parts, stored, without_rows
 
 #: Fingerprints wanted in a shard; a shard with more is dealt over pairs of blocks of this size.
-SHARD = 16_384
+SHARD = 65_536
 #: Fingerprints that choose vantage points (about), and the levels of the tree at most.
-SAMPLE, LEVELS = 20_000, 14
+SAMPLE, LEVELS = 100_000, 16
+#: The share of a node's fingerprints that each side gets about, those sent to both sides included.
+SHRINK = 0.65
 #: Below so many fingerprints all pairs are compared.
 LEAF = 1024
 #: Shingles whose bits are counted at a time.
@@ -74,10 +76,10 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 class VantageTree:
     """Nodes in an array: vantage point, radius (below 0: a shard), and the two children."""
 
-    def __init__(self, sample: np.ndarray, shards: int, distance: int, seed: int = 42):
+    def __init__(self, sample: np.ndarray, shards: float, distance: int, seed: int = 42):
         self.distance = distance
         self.points, self.radii, self.inside, self.outside = [], [], [], []
-        self._grow(sample, min(LEVELS, ceil(log2(max(1, shards)))), np.random.default_rng(seed))
+        self._grow(sample, min(LEVELS, ceil(log(max(1.0, shards)) / -log(SHRINK))), np.random.default_rng(seed))
         self.points = np.array(self.points, np.uint64)
         self.radii, self.inside, self.outside = (np.array(x) for x in (self.radii, self.inside, self.outside))
 
@@ -175,7 +177,7 @@ def links(prints: DataFrame, distance: int = 3, shard: int = SHARD) -> DataFrame
     every = max(1, ceil(total / SAMPLE))
     sample = prints.filter(F.pmod(F.xxhash64("_print"), F.lit(every)) == 0).toPandas()["_print"]
     tree = spark.sparkContext.broadcast(
-        VantageTree(np.sort(sample.to_numpy(np.int64)).view(np.uint64), ceil(total / shard), distance)
+        VantageTree(np.sort(sample.to_numpy(np.int64)).view(np.uint64), total / shard, distance)
     )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
