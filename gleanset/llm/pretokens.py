@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -26,7 +25,7 @@ BYTE_SPLIT = (
 )
 
 #: Known pre-tokens are forgotten when there are more, so that a worker's memory stays bounded.
-KNOWN = 400_000
+KNOWN = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,6 +44,14 @@ def load(name: str):
     return Tokenizer.from_file(tokenizer_path(name))
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones are
+    themselves, the others follow 255 in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = [b for b in range(256) if b not in set(plain)]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(moved)}}
+
+
 class PreTokens:
     """Splits texts as a word-level (``WORD_SPLIT``, lower case) or byte-level tokenizer does."""
 
@@ -55,6 +62,8 @@ class PreTokens:
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in self.special) or "(?!)")
         self.lower = self.library.normalizer is not None
         self.split = re.compile(WORD_SPLIT if self.lower else BYTE_SPLIT).findall
+        self.alphabet = byte_alphabet()
+        self.tokenize = self.library.model.tokenize
 
     def sections(self, text: str):
         """The text between added tokens, and the added tokens' ids in place."""
@@ -78,31 +87,44 @@ class PreTokens:
             return None
         return self.split(text.lower() if self.lower else text)
 
+    def merge(self, word: str) -> list:
+        """The library's tokens of one pre-token."""
+        if not (word.isascii() and word.isalnum()):
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return self.tokenize(word)
+
+
+class Known(dict):
+    """A pre-token's value, worked out when it is first met and forgotten when there are too many."""
+
+    def __init__(self, work, start: dict | None = None):
+        super().__init__(start or {})
+        self.work, self.start = work, start or {}
+
+    def __missing__(self, word: str):
+        if len(self) > KNOWN + len(self.start):
+            self.clear()
+            self.update(self.start)
+        self[word] = value = self.work(word)
+        return value
+
 
 class IdEncoder(PreTokens):
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, name: str):
         super().__init__(name)
-        self.known: dict[str, bytes] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        coded = [i.to_bytes(4, "little") for i in range(size)]
+        self.known = Known(lambda word: b"".join([coded[t.id] for t in self.merge(word)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[self._words(s) for s in self.sections(t)] for t in texts]
-        if len(self.known) > KNOWN:
-            self.known = {}
-        known = self.known
-        new = list({w for t in split for s in t if isinstance(s, list) for w in s if w not in known})
-        for word, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.array(coded.ids, "<u4").tobytes()
-        return [
-            b"".join(chain.from_iterable(map(known.__getitem__, s) if isinstance(s, list) else (s,) for s in t))
-            for t in split
-        ]
-
-    def _words(self, section: str | int) -> list[str] | bytes:
+        return [b"".join(map(self._section, self.sections(t))) for t in texts]
+
+    def _section(self, section: str | int) -> bytes:
         if isinstance(section, int):
-            return np.array([section], "<u4").tobytes()
+            return section.to_bytes(4, "little")
         words = self.latin(section)
         if words is None:
             return np.array(self.library.encode(section, add_special_tokens=False).ids, "<u4").tobytes()
-        return words
+        return b"".join(map(self.known.__getitem__, words))

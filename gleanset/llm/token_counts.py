@@ -8,13 +8,14 @@ merge, because merging sees a pre-token alone. All other pre-tokens are merged b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanset.llm.pretokens import KNOWN, PreTokens, load
+from gleanset.llm.pretokens import Known, PreTokens, byte_alphabet, load
 from gleanset.llm.rows import parts
 
 
@@ -24,10 +25,7 @@ def whole_tokens(vocabulary: str) -> list[str]:
     Bounded by the vocabulary. Strings that are cut, or that normalisation changes, are left out.
     """
     library = load(vocabulary)
-    to_byte = {}
-    for code in range(256):  # the byte-level alphabet: printable bytes are themselves, the rest follow 255
-        plain = 33 <= code <= 126 or 161 <= code <= 172 or 174 <= code <= 255
-        to_byte[chr(code) if plain else chr(256 + sum(1 for c in to_byte if ord(c) > 255))] = code
+    to_byte = {c: b for b, c in byte_alphabet().items()}
     suffix = getattr(library.model, "end_of_word_suffix", None) or ""
     proven = []
     for entry in library.get_vocab(with_added_tokens=False):
@@ -51,34 +49,27 @@ class Counter(PreTokens):
 
     def __init__(self, vocabulary: str, proven: list[str]):
         super().__init__(vocabulary)
-        self.proven = dict.fromkeys(proven, 1)
-        self.merged: dict[str, int] = dict(self.proven)
-        byte_level = self.library.pre_tokenizer.pre_tokenize_str
-        self.proven_pieces = {byte_level(w)[0][0] for w in proven if not w.isascii() or not w.isalnum()}
-        self.proven_pieces |= {w for w in proven if w.isascii() and w.isalnum()}
+        self.counts = Known(lambda word: len(self.merge(word)), dict.fromkeys(proven, 1))
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [[self._words(s) for s in self.sections(t)] for t in texts]
-        if len(self.merged) > KNOWN + len(self.proven):
-            self.merged = dict(self.proven)
-        merged = self.merged
-        rest = list({w for t in split for s in t if isinstance(s, list) for w in s if w not in merged})
-        for word, coded in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            merged[word] = len(coded.ids)
-        return [sum(sum(map(merged.__getitem__, s)) if isinstance(s, list) else s for s in t) for t in split]
-
-    def _words(self, section: str | int) -> list[str] | int:
-        """Pre-tokens of Latin-1 text; for an added token and for other text the count itself."""
+        return [sum(map(self._section, self.sections(t))) for t in texts]
+
+    def _section(self, section: str | int) -> int:
         if isinstance(section, int):
             return 1
         words = self.latin(section)
-        if words is not None:
-            return words
-        normal = self.library.normalizer
-        plain = normal.normalize_str(section) if normal is not None else section
-        pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
-        rest = [p for p in pieces if p not in self.proven_pieces]
-        return len(pieces) - len(rest) + sum(len(self.library.model.tokenize(p)) for p in rest)
+        if words is None:
+            normal = self.library.normalizer
+            plain = normal.normalize_str(section) if normal is not None else section
+            # Pieces come in the byte alphabet; a proven string is found by what it stands for.
+            pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+            words = [bytes(map(self.byte_of.__getitem__, p)).decode(errors="surrogateescape") for p in pieces]
+            return sum(1 if w in self.counts.start else len(self.tokenize(p)) for w, p in zip(words, pieces))
+        return sum(map(self.counts.__getitem__, words))
+
+    @cached_property
+    def byte_of(self) -> dict[str, int]:
+        return {c: b for b, c in self.alphabet.items()}
 
 
 def count_tokens(
