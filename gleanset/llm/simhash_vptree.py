@@ -210,6 +210,20 @@ def links(prints: DataFrame, distance: int = 3, shard: int = SHARD) -> DataFrame
     return spread.groupBy("_shard", "_i", "_j").applyInArrow(link, "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
+    """``_row``, ``_id``, ``_print``, ``component_id`` and ``_root``, the key of the component: its smallest
+    fingerprint, which no two components share, as they may share an id or have none."""
+    rows = stored(with_fingerprints(docs, id_col, text_col), "fingerprints")
+    prints = stored(rows.groupBy("_print").agg(F.min("_id").alias("_least")), "different-fingerprints")
+    found = stored(components(links(prints, distance)), "components")
+    grouped = prints.join(found, prints._print == found.node, "left").select(
+        "_print", "_least", F.coalesce("root", "_print").alias("_root")
+    )
+    least = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    of_print = stored(grouped.join(least, "_root").select("_print", "component_id", "_root"), "components-of-fingerprints")
+    return rows.join(of_print, "_print")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """One row per row of ``docs``: ``_row``, id, ``fingerprint`` (hexadecimal), ``component_id``.
 
@@ -219,15 +233,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     any other. Repeated rows and ids come back as often as they came, an empty table gives no rows,
     other columns are not read. ``docs`` is a table, see :func:`rows.numbered`.
     """
-    rows = stored(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = stored(rows.groupBy("_print").agg(F.min("_id").alias("_least")), "different-fingerprints")
-    found = stored(components(links(prints, distance)), "components")
-    grouped = prints.join(found, prints._print == found.node, "left").select(
-        "_print", "_least", F.coalesce("root", "_print").alias("_root")
-    )
-    least = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of_print = stored(grouped.join(least, "_root").select("_print", "component_id"), "components-of-fingerprints")
-    return rows.join(of_print, "_print").select(
+    return _grouped(docs, id_col, text_col, distance).select(
         "_row",
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"),
@@ -236,7 +242,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest id, of equal ids the first row."""
-    rows = stored(near_groups(docs, id_col, text_col, distance), "near-groups")
-    first = rows.groupBy("component_id").agg(F.min_by("_row", F.struct(F.col(id_col).isNull(), id_col, "_row")).alias("_row"))
+    """``docs`` with one row of each component: the one with its smallest id, of equal ids the first row.
+    Components whose ids are equal or null are still different ones."""
+    rows = stored(_grouped(docs, id_col, text_col, distance).select("_row", "_id", "_root"), "near-groups")
+    first = rows.groupBy("_root").agg(F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_row"))
     return without_rows(docs, rows.join(first, "_row", "left_anti"))

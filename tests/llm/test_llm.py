@@ -505,3 +505,10 @@ def test_near_groups(spark, tmp_path):
     rows = simhash_vptree.near_groups(repeated).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 0), (4, 4), (4, 4)]
     assert simhash_vptree.near_groups(table(spark, [], tmp_path, "none")).collect() == []
+
+
+def test_near_copies_with_repeated_and_null_ids(spark, tmp_path):
+    unlike = [f"{w} one {w} two {w} three {w} four {w} five" for w in "ant bee cow dog".split()]
+    docs = table(spark, [*unlike, unlike[0], unlike[2]], tmp_path, ids=[None, None, 4, 4, None, 4])
+    kept = simhash_vptree.drop_near_copies(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(zip([0, 0, 4, 4], unlike))
