@@ -30,7 +30,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']
 NAME = re.compile(r"[a-z]+")
 
 #: Elements of HTML by how they are treated.
-UNSEEN = frozenset("script style noscript template svg head title iframe select option object canvas math audio video datalist".split())
+UNSEEN = frozenset("script style noscript template svg head title iframe select option canvas annotation annotation-xml audio video datalist".split())
 RAW = frozenset("script style title textarea noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -88,10 +88,11 @@ def tree(page: str) -> list[Node]:
 
     Character references are decoded and white space inside a run is one space. Inline markup is part of
     the run, ``br`` is white space; a nested block ends a run. Missing end tags are implied as HTML has
-    it; a stray end tag is ignored. Scripts, styles, comments, embedded and hidden parts have no text.
+    it; a stray end tag is ignored. Scripts, styles, comments, embedded media and parts with the attribute
+    ``hidden`` have no text; formulas have theirs, and so does what an ``object`` holds in its place.
     """
     nodes = [Node("html", -1, frozenset())]
-    open_: list[tuple[str, int]] = [("html", 0)]  # (tag, node or -1 for inline)
+    open_: list[tuple[str, int, bool]] = [("html", 0, False)]  # (tag, node or -1 for inline and hidden, unseen)
     owners = [0]  # the nodes among the open elements
     run: list[str] = []
     link = unseen = paragraphs = order = 0
@@ -117,13 +118,13 @@ def tree(page: str) -> list[Node]:
     def pop(down_to: int) -> None:
         nonlocal link, unseen, paragraphs
         while len(open_) > down_to:
-            tag, node = open_[-1]
+            tag, node, dark = open_[-1]
             if node >= 0:
                 flush()
                 owners.pop()
             link -= tag == "a"
             paragraphs -= tag == "p"
-            unseen -= tag in UNSEEN
+            unseen -= dark
             open_.pop()
 
     def nearest(tags: frozenset, beyond: frozenset) -> int:
@@ -149,7 +150,7 @@ def tree(page: str) -> list[Node]:
         if match[1]:
             depth = len(open_) - 1
             while depth and open_[depth][0] != tag:
-                if open_[depth][1] >= 0 and tag not in BLOCK:
+                if (open_[depth][1] >= 0 or open_[depth][0] in BLOCK) and tag not in BLOCK:
                     depth = 0  # an inline end tag closes nothing beyond its block
                     break
                 depth -= 1
@@ -171,7 +172,7 @@ def tree(page: str) -> list[Node]:
             if end is not None:
                 at = end.end()
                 continue
-        if tag == "html" or (tag == "body" and any(t == "body" for t, _ in open_)):
+        if tag == "html" or (tag == "body" and any(t == "body" for t, *_ in open_)):
             continue
         block = tag in BLOCK
         if block:
@@ -181,32 +182,33 @@ def tree(page: str) -> list[Node]:
         if tag in CLOSES:
             while depth := nearest(CLOSES[tag], SCOPE - CLOSES[tag]):
                 pop(depth)
-        groups = NO_GROUPS
+        groups, dark = NO_GROUPS, tag in UNSEEN
         if attributes:
             if not block and attributes.rstrip().endswith("/"):
                 continue
             if "=" in attributes:
                 words = NAME.findall(" ".join((a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(attributes)).lower())
                 groups = frozenset(NAME_GROUP[w] for w in words if w in NAME_GROUP)
-            if HIDDEN.search(attributes):
-                tag = "template"
+            if "hidden" in attributes.lower() and HIDDEN.search(VALUE.sub(" ", attributes)):
+                dark = True
         own = -1
-        if tag not in UNSEEN and (block or groups):
+        if not dark and (block or groups):
             flush()
             nodes.append(Node(tag, owners[-1], groups))
             own = len(nodes) - 1
             owners.append(own)
-        open_.append((tag, own))
+        open_.append((tag, own, dark))
         link += tag == "a"
         paragraphs += tag == "p"
-        unseen += tag in UNSEEN
+        unseen += dark
     pop(1)
     flush()
     return nodes
 
 
 P, NO_GROUPS = frozenset("p"), frozenset()
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)")
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)")
+HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s/]|$)", re.I)
 STOP = re.compile(r"[.!?…](?: |$)")
 BOUNDARY = frozenset("nav header footer aside form control section main article".split())
 N_NODE = len(TAGS) + len(GROUPS) * 2 + 14

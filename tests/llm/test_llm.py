@@ -183,6 +183,23 @@ def test_page_tree():
     ]
 
 
+def test_page_tree_of_hidden_parts():
+    def runs(page):
+        return [(n.tag, t) for n in html_main.tree(page) for _, t in n.texts]
+
+    for hidden in ("hidden", 'hidden=""', "HIDDEN", "hidden=until-found", "id=x hidden class='y'"):
+        assert runs(f"<article><p {hidden}>x</p><p>real</p>more</article>") == [("article", "more"), ("p", "real")]
+        assert runs(f"<section><div><div {hidden}>x<p>y</p></div>real</div>end</section>") == [("section", "end"), ("div", "real")]
+        assert runs(f"<p>a <a {hidden}>x</a>real<p {hidden}>x<p>next") == [("p", "a real"), ("p", "next")]
+    assert runs("<b><div hidden></b>x</div></b>real") == [("html", "real")]
+    shown = ('title="a hidden gem"', "title='the hidden cost'", 'class="x hidden y"', "class= hidden", "data-hidden aria-hidden=true")
+    for attribute in shown:
+        assert runs(f"<article><p>a <a {attribute}>b</a> c</p><p {attribute}>d</p></article>")[-1] == ("p", "d")
+        assert "".join(t for _, t in runs(f"<p>a <a {attribute}>b</a> c")) == "a b c"
+    formula = "<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be <object data=f>one</object>."
+    assert runs(formula) == [("p", "Let x=1 be one.")]
+
+
 def test_messages_give_exact_marginals():
     rng = np.random.default_rng(1)
     parent = np.array([-1, 0, 0, 1, 1, 2])
