@@ -9,6 +9,7 @@ have different ones. Values that fail validation stay as they are.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 #: Steps of a walk to the next value of the format; one in about nine lands outside of it.
 WALK = 24
-#: Days that dates are permuted among (212 x 212), from this one on.
+#: Near days (212 x 212, from this one on) are permuted among themselves.
 FIRST_DAY, HALF_DAYS = "1905-01-01", 212
+NEAR = HALF_DAYS * HALF_DAYS
+#: So are all others from 0000-01-01 (366 days before Python's first) to 9999-12-31; they just fit in the two sizes.
+BEFORE = date.fromisoformat(FIRST_DAY).toordinal() - 1 + 366
+FAR, FAR_LEFT, FAR_RIGHT = date.max.toordinal() + 366 - NEAR, 1899, 1900
 
 #: What a candidate of each kind looks like (Java patterns).
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -36,8 +41,9 @@ PHONE = (
     r"|(?<![0-9A-Za-z+])\+[2-9][0-9]{0,2}(?:[ .-]?[0-9]{1,4}){2,4}(?![0-9A-Za-z]|[.-][0-9])"
 )
 DATE = (
-    r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{4})"
-    r"(?![0-9A-Za-z]|[./-][0-9])"
+    r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?=[Tt][0-9]{2})"
+    r"|(?:[0-9]{4}(?:-[0-9]{1,2}-[0-9]{1,2}|/[0-9]{1,2}/[0-9]{1,2}|\.[0-9]{2}\.[0-9]{2})"
+    r"|[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{4})(?![0-9A-Za-z]|[./-][0-9]))"
 )
 CANDIDATE = "|".join((EMAIL, IBAN, SSN, DATE, IPV4, PHONE, CARD))
 
@@ -180,29 +186,47 @@ def _ssn(key: str, m: Column) -> Column:
     return _let(_digits(m), lambda d: F.when(_ssn_valid(d), _refilled(m, walked(d))))
 
 
+def _day(key: str, number: Column) -> Column:
+    """Permute the days, counted from FIRST_DAY: near ones among themselves, and all others as well, with
+    steps until the result is one of them, of which one in about 5,800 needs a second."""
+    near = number.between(0, NEAR - 1)
+    size = lambda a, b: F.when(near, a).otherwise(b)
+    left, right = size(HALF_DAYS, FAR_LEFT), size(HALF_DAYS, FAR_RIGHT)
+
+    def step(n: Column) -> Column:
+        pair = _feistel(key, size("date", "date/far"), F.floor(n / right), n % right, left, right)
+        return _let(pair, lambda p: p["l"] * right + p["r"])
+
+    # The others are numbered without the near ones between them.
+    start = F.when(near, number).when(number < 0, number + BEFORE).otherwise(number + BEFORE - NEAR).cast("long")
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)), step(start), lambda n, _: F.when(near | (n < FAR), n).otherwise(step(n))
+    )
+    return _let(walked, lambda n: F.when(near, n).otherwise(n - BEFORE + F.when(n < BEFORE, 0).otherwise(NEAR)).cast("int"))
+
+
 def _date(key: str, m: Column) -> Column:
-    """A day of the calendar within the range of days; 1/2/1990 is read day first where that is one."""
+    """A day of the calendar, years 0000 to 9999; 1/2/1990 is read day first where that is one. A day of
+    1905-01-01 to 2028-01-19 becomes another one of these, any other becomes another of the others."""
     plain = F.regexp_replace(m, "[./]", "-")
-    iso = m.rlike("^[0-9]{4}")
+    year_first = m.rlike("^[0-9]{4}")
     read = lambda form: F.try_to_timestamp(plain, F.lit(form)).cast("date")
     day_first = read("d-M-yyyy")
-    day = F.when(iso, read("yyyy-MM-dd")).otherwise(F.coalesce(day_first, read("M-d-yyyy")))
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    pair = _feistel(
-        key, F.lit("date"), F.floor(number / HALF_DAYS), number % HALF_DAYS, F.lit(HALF_DAYS), F.lit(HALF_DAYS)
-    )
-    new = _let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["l"] * HALF_DAYS + p["r"]).cast("int")))
+    day = F.when(year_first, read("yyyy-M-d")).otherwise(F.coalesce(day_first, read("M-d-yyyy")))
+    start = F.lit(FIRST_DAY).cast("date")
 
     def written(d: Column) -> Column:
         mark = F.regexp_extract(m, "[./-]", 0)
-        padded = m.rlike("^[0-9]{2}.[0-9]{2}.")
+        padded = m.rlike("^(?:[0-9]{4}.)?[0-9]{2}.[0-9]{2}(?:.[0-9]{4})?$")
         form = lambda f: F.date_format(d, f)
         first = F.when(padded, form("dd")).otherwise(form("d"))
         second = F.when(padded, form("MM")).otherwise(form("M"))
-        turned = F.when(day_first.isNull(), F.concat_ws("-", second, first)).otherwise(F.concat_ws("-", first, second))
-        return F.when(iso, form("yyyy-MM-dd")).otherwise(F.replace(F.concat_ws("-", turned, form("yyyy")), F.lit("-"), mark))
+        turned = F.when(year_first | day_first.isNull(), F.concat_ws("-", second, first)).otherwise(F.concat_ws("-", first, second))
+        whole = F.when(year_first, F.concat_ws("-", form("yyyy"), turned)).otherwise(F.concat_ws("-", turned, form("yyyy")))
+        return F.replace(whole, F.lit("-"), mark)
 
-    return F.when(number.between(0, HALF_DAYS * HALF_DAYS - 1), _let(new, written))
+    made = lambda n: F.when(n.isNotNull(), _let(F.date_add(start, _day(key, n)), written))
+    return _let(F.datediff(day, start), made)
 
 
 def _iban(key: str, m: Column) -> Column:

@@ -144,6 +144,35 @@ def test_pseudonyms_are_a_permutation(spark):
     assert days.select(pii._date("k", F.col("d")).alias("p")).filter("p IS NOT NULL").distinct().count() == 212 * 212
 
 
+def test_pseudonyms_of_dates_of_all_years_and_forms(spark):
+    forms = {
+        r"\d{4}-\d\d-\d\d": ["1899-12-31", "2035-06-01", "0000-02-29", "0001-01-01", "9999-12-31", "2028-01-20", "1904-12-31"],
+        r"\d{4}-\d\d-\d\dT12:00:00Z": ["2024-05-01T12:00:00Z", "1899-12-31T12:00:00Z"],
+        r"\d{4}/\d\d/\d\d": ["2024/05/01", "1899/12/31"],
+        r"\d{4}\.\d\d\.\d\d": ["2024.05.01", "2035.06.01"],
+        r"\d{4}/\d{1,2}/\d{1,2}": ["2024/5/1"],
+        r"\d{1,2}\.\d{1,2}\.\d{4}": ["31.12.1899", "1.6.2035"],
+    }
+    texts = [(f"on {t}, yes", f"on {form}, yes") for form, own in forms.items() for t in own]
+    kept = ["0001-02-29", "2035-02-30", "2024-05-01x", "2024.5.1", "2024/05/01/2"]
+    rows = [(t,) for t, _ in texts] + [(t,) for t in kept]
+    got = {r.old: r for r in pii.pseudonymise(spark.createDataFrame(rows, "text string").selectExpr("text AS old", "text"), "k").collect()}
+    new = {}
+    for old, form in texts:
+        assert got[old].text != old and re.fullmatch(form, got[old].text)
+        new[old[3:-5]] = [f.pseudonym for f in got[old].found if f.kind == "date"][0]
+    assert all(got[t].text == t and got[t].found == [] for t in kept)
+    day = lambda t: tuple(map(int, re.findall(r"\d+", t)))
+    assert day(new["2024-05-01T12:00:00Z"]) == day(new["2024/05/01"]) == day(new["2024.05.01"]) == day(new["2024/5/1"])
+    assert day(new["1899-12-31"]) == day(new["1899/12/31"]) == day(new["31.12.1899"])[::-1]
+    assert day(new["2035-06-01"]) == day(new["2035.06.01"])
+    # A permutation of all days beyond the near ones too.
+    far = spark.range(0, 200_000).select(F.when(F.col("id") < 100_000, -1 - F.col("id")).otherwise(F.col("id")).cast("int").alias("n"))
+    days = far.select(pii._day("k", F.col("n")).alias("d"))
+    found = days.agg(F.count_distinct("d"), F.min("d"), F.max("d"), F.count_if(F.col("d").between(0, 212 * 212 - 1))).first()
+    assert found[0] == 200_000 and found[1] >= -pii.BEFORE and found[2] < 3_652_425 - pii.BEFORE and found[3] == 0
+
+
 def test_pseudonyms_use_no_python(spark):
     plan = queries.op2_pseudonyms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
