@@ -57,7 +57,18 @@ class OpenWindows:
                 node *= 2
                 if not tree[node]:
                     node += 1
-        room = node - self.leaves
+        return self._take(node - self.leaves)
+
+    def loosest(self):
+        """Take out the window with the most room: (room, window), or None."""
+        if not self.count:
+            return None
+        node = 1
+        while node < self.leaves:
+            node = 2 * node + (self.tree[2 * node + 1] > 0)
+        return self._take(node - self.leaves)
+
+    def _take(self, room: int):
         self._change(room, -1)
         return room, self.by_room[room].pop()
 
@@ -87,15 +98,33 @@ class Packer:
         self.waiting.sort(key=lambda p: -len(p[3]))
         for piece in self.waiting:
             need = len(piece[3]) // 4
-            room, window = self.windows.tightest(need) or (self.capacity, [])
-            window.append(piece)
-            if room == need:
-                yield window
-            else:
-                self.windows.put(room - need, window)
+            yield from self._put(piece, *(self.windows.tightest(need) or (self.capacity, [])))
         self.waiting, self.held = [], 0
-        while self.windows.count > self.most_open:  # the fullest ones, which hardly anything fits
-            yield self.windows.tightest(1)[1]
+        yield from self._close()
+
+    def _put(self, piece: tuple, room: int, window: list[tuple]) -> Iterator[list[tuple]]:
+        window.append(piece)
+        if room > (need := len(piece[3]) // 4):
+            self.windows.put(room - need, window)
+        else:
+            yield window
+
+    def _close(self) -> Iterator[list[tuple]]:
+        """Leave ``most_open`` windows, one at least. Those within ``slack`` are given as they are, the fullest
+        first. Then the emptiest are taken apart: a piece that fits nowhere is cut to fill the largest rooms."""
+        while self.windows.count > self.most_open:
+            room, window = self.windows.tightest(1)
+            if room > self.slack:
+                self.windows.put(room, window)
+                break
+            yield window
+        while self.windows.count > max(1, self.most_open):
+            for doc, start, total, ids in sorted(self.windows.loosest()[1], key=lambda p: -len(p[3])):
+                while (found := self.windows.tightest(len(ids) // 4)) is None and self.windows.count:
+                    room, window = self.windows.loosest()
+                    yield from self._put((doc, start, total, ids[: 4 * room]), room, window)
+                    start, ids = start + room, ids[4 * room :]
+                yield from self._put((doc, start, total, ids), *(found or (self.capacity, [])))
 
     def finish(self) -> Iterator[list[tuple]]:
         """The windows still open. One with more room than ``slack`` is cut at powers of two, which
@@ -144,7 +173,8 @@ def pack_documents(
     stays null, an empty table gives no pieces, other columns are not read. There is no shuffle: each
     task packs what it reads in blocks of ``block`` ids with at most ``open_windows`` windows carried
     on, so its memory is bounded whatever it reads, and a lost task repeats alone. A window is closed
-    short by at most ``slack`` ids, except those that give way when too many are open.
+    short by at most ``slack`` ids or, at the end of a task, at a power of two; when too many are open,
+    the emptiest are cut to fill others.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = end_id.to_bytes(4, "little")

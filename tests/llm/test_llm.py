@@ -363,6 +363,23 @@ def test_packing(spark, tmp_path):
     assert packing.pack_documents(table(spark, [], tmp_path, "none")).collect() == []
 
 
+@pytest.mark.parametrize("open_windows", [0, 1, 8])
+@pytest.mark.parametrize("sizes", [[51], [34], [51, 60, 99], [51, 130, 7, 45]])
+def test_windows_that_give_way_are_full(sizes, open_windows):
+    packer = packing.Packer(100, 2000, 4, open_windows)
+    docs = {i: np.full(sizes[i % len(sizes)], i, "<u4") + 1000 * np.arange(sizes[i % len(sizes)], dtype="<u4") for i in range(1000)}
+    closed = [w for i, ids in docs.items() for w in packer.add(i, ids.tobytes())]
+    assert packer.windows.count <= max(1, open_windows)
+    filled = [sum(len(p[3]) // 4 for p in w) for w in closed]
+    assert len(filled) > 300 and all(96 <= f <= 100 for f in filled)
+    closed += packer.finish()
+    pieces = sorted((doc, start, total, ids) for w in closed for doc, start, total, ids in w)
+    for doc, ids in docs.items():
+        own = [p for p in pieces if p[0] == doc]
+        assert b"".join(p[3] for p in own) == ids.tobytes() and all(p[2] == len(ids) and p[3] for p in own)
+        assert [p[1] for p in own] == np.cumsum([0, *[len(p[3]) // 4 for p in own]])[:-1].tolist()
+
+
 def hits(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places, found = set(), set()
