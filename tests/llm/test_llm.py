@@ -204,6 +204,29 @@ def test_licenses(spark, tmp_path):
     assert [h.name for h in got[n + 3]] == ["Apache-2.0"] and got[n + 4] == []
 
 
+def test_reservations_and_short_notices(spark, tmp_path):
+    names = license_scan.TEMPLATES
+    own = ["All-rights-reserved", "BSD", "ISC", "LGPL-3.0", "LGPL-text", "AGPL-3.0", "AGPL-text", "CC0-1.0", "CC0-1.0-short"]
+    wanted = [(f"Before it. {text} After it.", [name]) for name, text in names.items() if name in own or name.startswith("GPL")]
+    wanted += [
+        ("(c) 2020 A. Author. All Rights Reserved.", ["All-rights-reserved"]),
+        ("Released under the MIT License. All rights reserved.", ["MIT", "All-rights-reserved"]),
+        ("Released under the BSD License.", ["BSD"]),
+        ("Distributed under the BSD 2-Clause License.", ["BSD-clause"]),
+        ("To the extent possible under law, Jo Doe has waived all copyright and related or neighboring rights to Notes.", ["CC0-1.0"]),
+        ("all rights are reserved; all seats reserved; rights reserved", []),
+        ("under the GNU General Public License, version 2", []),
+        ("under the licence of the BSD people", []),
+    ]
+    docs = table(spark, [t for t, _ in wanted], tmp_path)
+    got = {r.doc_id: [h.name for h in r.licenses] for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(wanted))] == [names for _, names in wanted]
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    reserved = {r.doc_id for r in documents.filter("text LIKE '%All rights reserved.%'").collect()}
+    found = license_scan.scan_licenses(documents).filter("exists(licenses, x -> x.name = 'All-rights-reserved')").collect()
+    assert reserved and reserved <= {r.doc_id for r in found}
+
+
 def test_page_tree():
     nodes = html_main.tree("<p>a<b>b&amp;c</b> <br>d<p>e<script>x<p></script><!-- <p>no --><ul><li>f<li>g</ul>h</div>i")
     assert [(n.tag, n.parent, n.texts) for n in nodes] == [
