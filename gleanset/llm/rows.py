@@ -15,6 +15,14 @@ BROADCAST_BYTES = 16_000_000
 PART_CHARS = 1_000_000
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` is called so (case aside)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     """Number the rows. The same numbers come out of every read of the same files, so ``docs`` is a
     table (or a narrow selection of one), not the result of a shuffle."""
@@ -27,11 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose :func:`numbered` number is in ``dropped._row``."""
-    gone = stored(dropped.select("_row"), "dropped")
+    """``docs`` without the rows whose :func:`numbered` number is in ``dropped._row``. The columns of
+    ``docs`` come back as they are, whatever they are called."""
+    row = free_name(docs, "_row")
+    gone = stored(dropped.select(F.col("_row").alias(row)), "dropped")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return numbered(docs).join(gone, "_row", "left_anti").select(*docs.columns)
+    return numbered(docs, row).join(gone, row, "left_anti").drop(row)
 
 
 def lower_ascii(text: Column) -> Column:
