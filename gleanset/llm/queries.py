@@ -19,6 +19,7 @@ from gleanset.llm import (
     pii,
     quality_crf,
     simhash_vptree,
+    suffix_dedup,
     token_counts,
     token_files,
 )
@@ -117,6 +118,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     seen = F.when(tampered, lower_ascii(F.col("text"))).otherwise(F.col("text"))
@@ -138,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_exact_dedup,
         op10_simhash,
         op11_fill_in_middle,
+        op12_repeated_bytes,
         op13_merkle_manifest,
     )
 }
