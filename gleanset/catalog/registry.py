@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanset import fixed
@@ -16,6 +16,7 @@ from gleanset.functions import text as tx
 from gleanset.functions.keys import text_key
 from gleanset.operators import combine, dedup, generation, metrics, profile, sampling
 from gleanset.operators import ranking as rk
+from gleanset.operators.observed import Dropped, StageCounts, all_stages
 from gleanset.plans import datasets, evaluation, synthetic
 from gleanset.session import materialized, scratch_path
 from gleanset.sources import readers, writers
@@ -145,6 +146,22 @@ def _(spark, sf):
     return dedup.drop_listed(fx.en_raw(spark, sf).select("id", "input"), "input", listed, scratch_path(spark, "listed"))
 
 
+@query(
+    "drop_listed_counts",
+    f"""WITH {sq.EN_RAW}, t AS (SELECT text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1)
+    SELECT count(*) FILTER (input IN (SELECT text FROM t)) AS removed,
+      count(*) FILTER (input NOT IN (SELECT text FROM t)) AS kept FROM en_raw""",
+)
+def _(spark, sf):
+    """What a listed table drops, counted by the run that writes what it keeps."""
+    toxic = fx.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    listed = fx.table(spark, sf, "documents").join(toxic, "doc_id").select("text")
+    rows, dropped = fx.en_raw(spark, sf).select("id", "input"), Dropped()
+    kept = dedup.drop_listed(rows, "input", listed, scratch_path(spark, "listed"), dropped)
+    materialized(kept, scratch_path(spark, "kept"))
+    return dropped.table(spark)
+
+
 @query(
     "drop_conflicting",
     f"""WITH {sq.EN_RAW}, m AS (SELECT *, coalesce({sq.map_terms('output')}, 'none') AS label FROM en_raw)
@@ -253,6 +270,27 @@ def _(spark, sf):
     return six(profile.length_histogram(freq, ["lang"]), "lower", "upper")
 
 
+# The middle of all lengths that share their eight leading bits.
+SKETCHED = f"""{FREQ}, wide AS (SELECT *, CAST(1 AS BIGINT) << greatest(length(bin(length)) - 8, 0) AS w FROM lengths),
+  sketched AS (SELECT lang, measure, length - length % w + (w - 1) // 2 AS length FROM wide)"""
+
+
+@query(
+    "length_sketch",
+    f"""WITH {SKETCHED} SELECT lang, measure, count(*) AS count, round(avg(length), 6) AS mean,
+      round(stddev_samp(length), 6) AS std, CAST(min(length) AS BIGINT) AS min, round(quantile_cont(length, 0.25), 6) AS q25,
+      round(quantile_cont(length, 0.5), 6) AS q50, round(quantile_cont(length, 0.75), 6) AS q75,
+      CAST(max(length) AS BIGINT) AS max
+    FROM sketched GROUP BY lang, measure""",
+)
+def _(spark, sf):
+    """Sketches of each language and source, written, then merged over the sources."""
+    sketch = profile.length_sketch(documents(spark, sf), "text", ["lang", "source"])
+    parts = materialized(sketch, scratch_path(spark, "sketches"))
+    merged = profile.merge_sketches([parts], ["lang"])
+    return six(profile.describe_lengths(merged, ["lang"]), "mean", "std", "q25", "q50", "q75")
+
+
 @query(
     "boxplot_stats",
     f"""WITH {FREQ}, q AS (SELECT lang, measure, quantile_cont(length, 0.25) AS a, quantile_cont(length, 0.5) AS b,
@@ -283,7 +321,8 @@ def _(spark, sf):
     named = fx.vi_raw(spark, sf).select(
         "split", lb.map_codes(F.col("sentiment")).alias("sentiment"), lb.map_topics(F.col("topic")).alias("topic")
     )
-    return six(profile.value_shares(named, ["sentiment", "topic"], ["split"]), "share", "percent")
+    shares = profile.value_shares(named, ["sentiment", "topic"], ["split"], scratch_path(spark, "shares"))
+    return six(shares, "share", "percent")
 
 
 @query(
@@ -341,6 +380,15 @@ def _(spark, sf):
     return six(profile.findings(narrow, ["sentiment", "topic"], "words", "key", ["split"]), "value")
 
 
+@query(
+    "first_rows_by_language",
+    """SELECT doc_id AS id, lang, text FROM documents
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 5""",
+)
+def _(spark, sf):
+    return profile.first_rows(documents(spark, sf).select("id", "lang", "text"), by=["lang"])
+
+
 @query(
     "stage_funnel",
     f"""WITH {sq.EN_CLEAN} SELECT CAST(0 AS BIGINT) AS step, 'loaded' AS stage, (SELECT count(*) FROM en_raw) AS rows_left
@@ -364,6 +412,27 @@ def _(spark, sf):
     return datasets.second_funnel(fx.vi_raw(spark, sf))
 
 
+@query(
+    "dataset_funnel",
+    f"""WITH {sq.EN_CLEAN}, {sq.VI_CLEAN}
+    SELECT 'EN' AS language, CAST(0 AS BIGINT) AS step, 'loaded' AS stage, (SELECT count(*) FROM en_raw) AS rows_left
+    UNION ALL SELECT 'EN', 1, 'deduplicated', (SELECT count(*) FROM en_first)
+    UNION ALL SELECT 'EN', 2, 'cleaned', (SELECT count(*) FROM en_long)
+    UNION ALL SELECT 'EN', 3, 'mapped', (SELECT count(*) FROM en)
+    UNION ALL SELECT 'VI', 0, 'loaded', (SELECT count(*) FROM vi_raw)
+    UNION ALL SELECT 'VI', 1, 'unlisted', (SELECT count(*) FROM vi_unlisted)
+    UNION ALL SELECT 'VI', 2, 'deduplicated', (SELECT count(*) FROM vi_first)
+    UNION ALL SELECT 'VI', 3, 'long_enough', (SELECT count(*) FROM vi_long)
+    UNION ALL SELECT 'VI', 4, 'mapped', (SELECT count(*) FROM vi)""",
+)
+def _(spark, sf):
+    """The rows left after each stage of a build, counted by the run that writes the dataset."""
+    counts = {"EN": StageCounts(), "VI": StageCounts()}
+    built = datasets.build_dataset(fx.en_raw(spark, sf), fx.vi_raw(spark, sf), EN_QUOTA, VI_QUOTA, counts=counts)
+    datasets.write_dataset(built, scratch_path(spark, "dataset"))
+    return all_stages(counts, spark, "language")
+
+
 @query(
     "word_length_lookup",
     f"SELECT doc_id AS id, text, {sq.words('text')} AS word_length FROM documents WHERE {sq.words('text')} IN (1, 5, 303)",
@@ -916,7 +985,37 @@ def _(spark, sf):
     baseline = told.filter("id % 10 <> 3").select("id", F.col("baseline_raw_output").alias("raw"))
     finetuned = told.select("id", F.col("finetuned_raw_output").alias("raw"))
     rows = told.select("id", "language", "instruction", "input_text", "ground_truth")
-    return metrics.detailed_results(metrics.with_answers(rows, baseline, finetuned, missing="unparseable"))
+    folder, buckets = scratch_path(spark, "by-id"), 16
+    tables = [
+        evaluation.stored_by_id(df, folder, name, buckets)
+        for name, df in (("examples", rows), ("baseline", baseline), ("finetuned", finetuned))
+    ]
+    return metrics.detailed_results(evaluation.joined_answers(*tables, missing="unparseable"))
+
+
+@query(
+    "accuracy_joined",
+    f"""WITH {sq.ANSWERED}, told AS (SELECT * REPLACE (CASE WHEN id % 10 <> 3 THEN baseline_raw_output END AS baseline_raw_output)
+      FROM answers),
+    p AS (SELECT language, ground_truth, {sq.parse("coalesce(baseline_raw_output, '')")} AS baseline,
+      {sq.parse('finetuned_raw_output')} AS finetuned FROM told),
+    m AS (SELECT language, ground_truth, 'baseline' AS model, baseline AS pred FROM p
+      UNION ALL SELECT language, ground_truth, 'finetuned', finetuned FROM p),
+    e AS (SELECT * FROM m UNION ALL SELECT 'overall', ground_truth, model, pred FROM m)
+    SELECT model, language, count(*) AS rows, count(*) FILTER (pred <> 'unparseable') AS parseable,
+      round(count(*) FILTER (pred = ground_truth) / count(*), 6) AS accuracy_all,
+      round(count(*) FILTER (pred = ground_truth) / count(*) FILTER (pred <> 'unparseable'), 6) AS accuracy_parseable,
+      round(count(*) FILTER (pred = ground_truth) / count(*) FILTER (pred <> 'unparseable'), 6) AS accuracy_reported
+    FROM e GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    """Figures alone: no text and no raw answer is joined."""
+    told = fx.answers(spark, sf)
+    baseline = told.filter("id % 10 <> 3").select("id", F.col("baseline_raw_output").alias("raw"))
+    finetuned = told.select("id", F.col("finetuned_raw_output").alias("raw"))
+    joined = metrics.with_predictions(told, baseline, finetuned, missing="unparseable")
+    counts = metrics.confusion_counts(metrics.melt_predictions(joined, evaluation.PREDICTIONS))
+    return six(metrics.accuracies(counts), "accuracy_all", "accuracy_parseable", "accuracy_reported")
 
 
 @query(
@@ -1111,6 +1210,82 @@ def _(spark, sf):
     return readers.read_csv(spark, path)
 
 
+#: Records by id: not closed, without an input, with nulls, or whole.
+_LINES = """lines AS (SELECT doc_id, concat('{"instruction":"i', doc_id, CASE doc_id % 7
+    WHEN 0 THEN concat('","input":"', sha256(text)) WHEN 1 THEN concat('","output":"', lang, '"}')
+    WHEN 2 THEN '","input":null,"output":null}' ELSE concat('","input":"', sha256(text), '","output":"', lang, '"}') END) AS line
+  FROM documents)"""
+
+
+@query(
+    "instruction_rejects",
+    f"""WITH {_LINES} SELECT CASE doc_id % 7 WHEN 0 THEN 'malformed' WHEN 1 THEN 'lacks input' WHEN 2 THEN 'lacks input, output' END AS reason,
+      CASE doc_id % 7 WHEN 0 THEN line WHEN 1 THEN concat('{{"instruction":"i', doc_id, '","input":null,"output":"', lang, '"}}')
+      ELSE line END AS record
+    FROM lines JOIN documents USING (doc_id)""",
+)
+def _(spark, sf):
+    """Good records (without a reason) and rejects of JSON lines, a part of which is broken."""
+    path = scratch_path(spark, "lines")
+    number, digest = F.col("doc_id").cast("string"), F.sha2("text", 256)
+    rest = (
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('","input":"'), digest))
+        .when(F.col("doc_id") % 7 == 1, F.concat(F.lit('","output":"'), "lang", F.lit('"}')))
+        .when(F.col("doc_id") % 7 == 2, F.lit('","input":null,"output":null}'))
+        .otherwise(F.concat(F.lit('","input":"'), digest, F.lit('","output":"'), "lang", F.lit('"}')))
+    )
+    line = F.concat(F.lit('{"instruction":"i'), number, rest)
+    fx.table(spark, sf, "documents").select(line.alias("value")).write.text(path)
+    read = readers.check_instructions(spark, path, scratch_path(spark, "checked"))
+    good = read.good.select(F.lit(None).cast("string").alias("reason"), F.to_json(F.struct("*")).alias("record"))
+    return good.unionByName(read.rejects.select("reason", "record"))
+
+
+@query(
+    "csv_rejects",
+    """SELECT CASE doc_id % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'lacks output' END AS reason, count(*) AS rows,
+      CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY 1""",
+)
+def _(spark, sf):
+    """Good rows and rejects of a CSV file, a part of whose rows has a field too many or an empty one."""
+    path = scratch_path(spark, "csv-lines")
+    number = F.col("doc_id").cast("string")
+    more = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(",x,"), "lang")).when(F.col("doc_id") % 5 == 1, F.lit(",")).otherwise(
+        F.concat(F.lit(","), "lang")
+    )
+    rows = fx.table(spark, sf, "documents").select(
+        "doc_id", F.concat(number, F.lit(','), F.lit('"a ""quoted"" text"'), more).alias("value")
+    )
+    # Files of at most 500 rows, each with the header.
+    body = F.array_join(F.collect_list("value"), "\n")
+    files = rows.groupBy(F.floor(F.col("doc_id") / 500).alias("file")).agg(
+        F.concat(F.lit("instruction,input,output\n"), body).alias("value")
+    )
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    read = readers.check_csv(spark, path, scratch_path(spark, "checked"))
+    good = read.good.select(F.lit(None).cast("string").alias("reason"), F.col("instruction").cast("bigint").alias("id"))
+    bad = read.rejects.select("reason", F.regexp_extract("record", "[0-9]+", 0).cast("bigint").alias("id"))
+    counted = good.unionByName(bad).groupBy("reason")
+    return counted.agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"))
+
+
+@query(
+    "shuffled_files",
+    _BUILT
+    + """ SELECT split, row_number() OVER (PARTITION BY split ORDER BY md5(concat('42:', language, ':', id)), concat(language, ':', id))
+      AS position, language, id FROM built""",
+)
+def _(spark, sf):
+    """Where each row of a dataset stands when the files of its split are read in the order of their names."""
+    path = scratch_path(spark, "dataset")
+    datasets.write_dataset(dataset_build(spark, sf), path, files=4)
+    rows = readers.read_dataset(spark, path).select("split", "language", "id", "_metadata.file_name", "_metadata.file_block_start")
+    # A file this small is one block, read in one task; the window is over the quota's narrow rows.
+    at = rows.withColumn("_at", F.monotonically_increasing_id())
+    order = Window.partitionBy("split").orderBy("file_name", "file_block_start", "_at")
+    return at.select("split", F.row_number().over(order).cast("bigint").alias("position"), "language", "id")
+
+
 @query("splits_roundtrip", f"WITH {sq.VI_RAW} SELECT id, sentence, sentiment, topic, split FROM vi_raw")
 def _(spark, sf):
     path = scratch_path(spark, "splits")

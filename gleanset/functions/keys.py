@@ -18,11 +18,20 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Add one grouping column per key: strings as :func:`text_key`, the rest as they are."""
+    """Add one grouping column per key: strings as :func:`text_key`, the rest as they are. Their names are
+    ``_key0``, ``_key1``, .. or longer ones where the table has these."""
     names = []
     for i, key in enumerate(keys):
-        names.append(f"_key{i}")
+        names.append(free_name(df, f"_key{i}"))
         is_text = isinstance(df.schema[key].dataType, T.StringType)
         df = df.withColumn(names[-1], text_key(F.col(key)) if is_text else F.col(key))
     return df, names

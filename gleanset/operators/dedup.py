@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanset.functions.keys import text_key, with_keys, with_value_keys
+from gleanset.functions.keys import free_name, text_key, with_keys, with_value_keys
+from gleanset.operators.observed import Dropped
 from gleanset.operators.ranking import BROADCAST_ROWS
 from gleanset.session import materialized
 
@@ -22,33 +23,40 @@ from gleanset.session import materialized
 SALTS = 64
 
 
+def _present(id_col: str) -> Column:
+    """The id, which says which row is meant; a row without one fails the run."""
+    absent = F.raise_error(F.lit(f"a row has no {id_col}, which tells rows apart and puts them in order"))
+    return F.when(F.col(id_col).isNull(), absent).otherwise(F.col(id_col))
+
+
 def first_of_each(
-    df: DataFrame, keys: Sequence[str], order_col: str = "id", carry: Mapping[str, Column] | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order_col: str = "id",
+    carry: Mapping[str, Column] | None = None,
+    keep_keys: bool = False,
 ) -> DataFrame:
     """Narrow keep-first: one row per key with the smallest ``order_col``.
 
     ``carry`` names fixed-width expressions to take from that first row; ``copies`` counts the
-    rows of the key. One shuffle of narrow rows, no join back to the table.
+    rows of the key. One shuffle of narrow rows, no join back to the table. ``keep_keys`` leaves the
+    grouping columns (``_key0``, ..) in. A null ``order_col`` fails the run.
     """
     carry = dict(carry or {})
     keyed, names = with_keys(df, keys)
     # Digests and carried values are computed before the aggregate, so the text stops here.
-    narrow = keyed.select(*names, F.col(order_col), *[e.alias(n) for n, e in carry.items()])
-    return (
-        narrow.groupBy(*names)
-        .agg(
-            F.min(order_col).alias("_first"),
-            F.count(F.lit(1)).alias("copies"),
-            *[F.min_by(n, order_col).alias(n) for n in carry],
-        )
-        .drop(*names)
-        .withColumnRenamed("_first", order_col)
+    narrow = keyed.select(*names, _present(order_col).alias(order_col), *[e.alias(n) for n, e in carry.items()])
+    firsts = narrow.groupBy(*names).agg(
+        F.min(order_col).alias("_first"),
+        F.count(F.lit(1)).alias("copies"),
+        *[F.min_by(n, order_col).alias(n) for n in carry],
     )
+    return (firsts if keep_keys else firsts.drop(*names)).withColumnRenamed("_first", order_col)
 
 
 def _groups(df: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
     keyed, names = with_keys(df, keys)
-    return keyed.groupBy(*names).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n"))
+    return keyed.groupBy(*names).agg(F.min(_present(id_col)).alias(id_col), F.count(F.lit(1)).alias("_n"))
 
 
 def _split_off(df: DataFrame, kept: DataFrame, id_col: str, folder: str | None, inside: bool) -> DataFrame:
@@ -56,7 +64,8 @@ def _split_off(df: DataFrame, kept: DataFrame, id_col: str, folder: str | None,
 
     With a ``folder`` the ids that are not kept are worked out on ids alone, written there and counted.
     Few of them are broadcast, and ``df`` is not shuffled; with many, or without a folder, the join is
-    a shuffle of ``df`` on the unique id. The rows are the same.
+    a shuffle of ``df`` on the unique id. The rows are the same: an id is never null here, as a null one
+    fails the run when ``kept`` is worked out, which both ways do.
     """
     if folder is not None:
         surplus = materialized(df.select(id_col).join(kept, id_col, "left_anti"), folder)
@@ -92,18 +101,25 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], id_col: str = "id", folde
 
 
 def drop_listed(
-    df: DataFrame, text_col: str, texts: Sequence[str] | DataFrame, folder: str | None = None
+    df: DataFrame,
+    text_col: str,
+    texts: Sequence[str] | DataFrame,
+    folder: str | None = None,
+    dropped: Dropped | None = None,
 ) -> DataFrame:
     """Drop rows whose text is in a list (or in the first column of a DataFrame).
 
+    ``dropped`` counts what is removed and kept in the run that uses the result, without another scan.
     For ``folder`` see :func:`_drop_keys`; it only matters for a DataFrame.
     """
     if isinstance(texts, DataFrame):
-        listed = texts.select(text_key(F.col(texts.columns[0])).alias("_key0")).dropna().distinct()
         keyed, names = with_keys(df, [text_col])
+        listed = texts.select(text_key(F.col(texts.columns[0])).alias(names[0])).dropna().distinct()
         # Equal rows get different parts too, unlike with a hash of the row.
-        return _drop_keys(keyed, listed, names, F.monotonically_increasing_id(), folder).select(*df.columns)
-    return df.filter(F.coalesce(~F.col(text_col).isin(list(texts)), F.lit(True)))
+        spread = F.monotonically_increasing_id()
+        return _drop_keys(keyed, listed, names, spread, folder, dropped).select(*df.columns)
+    unlisted = F.coalesce(~F.col(text_col).isin(list(texts)), F.lit(True))
+    return df.filter(unlisted) if dropped is None else dropped.keep(df, unlisted)
 
 
 def count_listed(df: DataFrame, text_col: str, texts: Sequence[str]) -> DataFrame:
@@ -120,23 +136,36 @@ def _same_key(names: Sequence[str]) -> Column:
 
 
 def _drop_keys(
-    rows: DataFrame, unwanted: DataFrame, names: Sequence[str], spread_by: Column, folder: str | None
+    rows: DataFrame,
+    unwanted: DataFrame,
+    names: Sequence[str],
+    spread_by: Column,
+    folder: str | None,
+    dropped: Dropped | None = None,
 ) -> DataFrame:
     """``left_anti`` on keys that may repeat without limit in ``rows``; a null key matches a null key.
 
     With a ``folder`` the unwanted keys are written there and counted: a small set is broadcast and
     ``rows`` is not shuffled at all. Otherwise each key of ``rows`` is split into :data:`SALTS`
-    parts and the (narrow, distinct) unwanted keys are repeated for every part.
+    parts and the (narrow, distinct) unwanted keys are repeated for every part. With ``dropped`` the join
+    marks the rows instead, so that they can be counted before the marked ones go.
     """
+    few = False
     if folder is not None:
         unwanted = materialized(unwanted, folder)
-        if unwanted.count() <= BROADCAST_ROWS:
-            kept = rows.alias("l").join(F.broadcast(unwanted).alias("r"), _same_key(names), "left_anti")
-            return kept.select("l.*")
-    salted = rows.withColumn("_salt", F.pmod(spread_by, F.lit(SALTS)).cast("int"))
-    every_salt = unwanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = _same_key(names) & (F.col("l._salt") == F.col("r._salt"))
-    return salted.alias("l").join(every_salt.alias("r"), same, "left_anti").select("l.*")
+        few = unwanted.count() <= BROADCAST_ROWS
+    same, salt, mark = _same_key(names), free_name(rows, "_salt"), free_name(rows, "_listed")
+    right = unwanted.withColumn(mark, F.lit(True))
+    if few:
+        right = F.broadcast(right)
+    else:
+        rows = rows.withColumn(salt, F.pmod(spread_by, F.lit(SALTS)).cast("int"))
+        right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.col(f"l.{salt}") == F.col(f"r.{salt}"))
+    if dropped is None:
+        return rows.alias("l").join(right.alias("r"), same, "left_anti").select("l.*")
+    marked = rows.alias("l").join(right.alias("r"), same, "left").select("l.*", F.col(f"r.{mark}").alias(mark))
+    return dropped.keep(marked, F.col(mark).isNull())
 
 
 def drop_conflicting(

@@ -42,19 +42,36 @@ def with_answers(
     An example without an answer of a model fails the run, or with ``missing="unparseable"`` keeps a
     null answer, which counts as unparseable; it never leaves the metrics.
     """
+    return _joined(rows, baseline, finetuned, missing, "raw_output", F.col("raw"))
+
+
+def _joined(
+    rows: DataFrame, baseline: DataFrame, finetuned: DataFrame, missing: str, name: str, value: Column
+) -> DataFrame:
     if missing not in ("fail", "unparseable"):
         raise ValueError(f"missing is fail or unparseable, not {missing!r}")
-    for name, answers in (("baseline", baseline), ("finetuned", finetuned)):
-        answers = answers.select("id", F.col("raw").alias(f"{name}_raw_output"), F.lit(True).alias("_told"))
-        rows = rows.join(answers, "id", "left")
+    for model, answers in (("baseline", baseline), ("finetuned", finetuned)):
+        column = f"{model}_{name}"
+        rows = rows.join(answers.select("id", value.alias(column), F.lit(True).alias("_told")), "id", "left")
         if missing == "fail":
-            untold = F.concat(F.lit(f"no {name} answer for example "), F.col("id").cast("string"))
-            raw = F.when(F.col("_told").isNull(), F.raise_error(untold)).otherwise(F.col(f"{name}_raw_output"))
-            rows = rows.withColumn(f"{name}_raw_output", raw)
+            untold = F.concat(F.lit(f"no {model} answer for example "), F.col("id").cast("string"))
+            told = F.when(F.col("_told").isNull(), F.raise_error(untold)).otherwise(F.col(column))
+            rows = rows.withColumn(column, told)
         rows = rows.drop("_told")
     return rows
 
 
+def with_predictions(
+    rows: DataFrame, baseline: DataFrame, finetuned: DataFrame, missing: str = "fail"
+) -> DataFrame:
+    """:func:`with_answers` for figures alone: answers are parsed where they lie, so that a label of a few
+    bytes is joined and no raw answer. ``rows`` need id, language and ground_truth."""
+    narrow = rows.select("id", "language", "ground_truth")
+    joined = _joined(narrow, baseline, finetuned, missing, "prediction", lb.parse_sentiment(F.col("raw")))
+    names = ("baseline_prediction", "finetuned_prediction")
+    return joined.withColumns({n: F.coalesce(n, F.lit(fixed.UNPARSEABLE)) for n in names})
+
+
 def melt_predictions(
     df: DataFrame, predictions: Mapping[str, str], truth: str = "ground_truth", group: str = "language"
 ) -> DataFrame:

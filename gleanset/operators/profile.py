@@ -7,12 +7,15 @@ computed from that table. ``by`` lets one run cover all datasets and splits.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanset import fixed
 from gleanset.functions import text as tx
+from gleanset.operators.ranking import BROADCAST_ROWS
+from gleanset.session import materialized
 
 
 def _attach(table: DataFrame, figures: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -35,13 +38,26 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     )
 
 
-def value_shares(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """:func:`value_counts` with the share and percentage inside each column."""
+def value_shares(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), folder: str | None = None
+) -> DataFrame:
+    """:func:`value_counts` with the share and percentage inside each column.
+
+    With groups their totals have to be joined, and one group may have most of the values. With a
+    ``folder`` counts and totals are written there: few totals are broadcast, so that the counts stay
+    where they are, and many are joined as a written table, which lets AQE split a large group.
+    """
     counts = value_counts(df, columns, by)
     groups = [*by, "column"]
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
     # Without groups there is one total per listed column, so the values are not shuffled for them.
-    joined = _attach(counts, totals if by else F.broadcast(totals), groups)
+    few = not by
+    if by and folder is not None:
+        counts = materialized(counts, f"{folder}/counts")
+    totals = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
+    if by and folder is not None:
+        totals = materialized(totals, f"{folder}/totals")
+        few = totals.count() <= BROADCAST_ROWS
+    joined = _attach(counts, F.broadcast(totals) if few else totals, groups)
     share = F.col("n") / F.col("_total")
     return joined.select(*counts.columns, share.alias("share"), (share * 100).alias("percent"))
 
@@ -80,8 +96,12 @@ def null_profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return table_profile(df, by).select(*by, "column", "nulls")
 
 
-def first_rows(df: DataFrame, n: int = 5, order_col: str = "id") -> DataFrame:
-    return df.orderBy(order_col).limit(n)
+def first_rows(df: DataFrame, n: int = 5, order_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows, or those of each group of ``by`` (every task sends on ``n`` rows a group)."""
+    if not by:
+        return df.orderBy(order_col).limit(n)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order_col))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
 def length_frequencies(df: DataFrame, text_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -99,6 +119,49 @@ def length_frequencies(df: DataFrame, text_col: str, by: Sequence[str] = ()) ->
     )
 
 
+#: Leading bits that a sketch keeps of a length.
+SKETCH_BITS = 8
+
+
+def sketch_error(bits: int = SKETCH_BITS) -> float:
+    """By how much, as a part of it, a length of a sketch differs from the true one at most."""
+    return 2.0**-bits
+
+
+def length_sketch(
+    df: DataFrame, text_col: str, by: Sequence[str] = (), bits: int = SKETCH_BITS
+) -> DataFrame:
+    """:func:`length_frequencies` of rounded lengths: a sketch of bounded size that can be merged.
+
+    A length keeps its ``bits`` leading bits and stands in the middle of all lengths that share them, so a
+    group has at most ``2 ** (bits - 1)`` entries for each doubling of the lengths, however many texts and
+    different lengths it has. Lengths below ``2 ** bits`` are exact; all others, and so every quantile,
+    whisker and mean taken from the sketch by :func:`describe_lengths` or :func:`box_figures`, differ by
+    at most :func:`sketch_error` of the true figure. Counts are exact.
+    """
+    text = F.col(text_col)
+    entries = F.array(
+        F.struct(F.lit("char").alias("measure"), tx.char_length(text).alias("length")),
+        F.struct(F.lit("word").alias("measure"), tx.word_count(text).alias("length")),
+    )
+    width = F.expr(f"shiftleft(1L, greatest(length(bin(length)) - {bits}, 0))")
+    return (
+        df.filter(text.isNotNull())
+        .select(*by, F.inline(entries))
+        .withColumn("_width", width)
+        .groupBy(*by, "measure", F.expr("length - length % _width + (_width - 1) div 2").alias("length"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def merge_sketches(sketches: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """The sketch of all texts of several sketches with the same ``bits``, or that of fewer groups: ``by``
+    names the groups to keep."""
+    columns = [*by, "measure", "length"]
+    together = reduce(DataFrame.unionByName, [s.select(*columns, "n") for s in sketches])
+    return together.groupBy(*columns).agg(F.sum("n").alias("n"))
+
+
 def _quartiles() -> Column:
     # Weighted by frequency: the aggregate holds distinct lengths, not rows.
     return F.percentile("length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
@@ -263,6 +326,17 @@ def findings(
     return facts.select(*by, F.inline(F.array(*rows)))
 
 
+def stage_tallies(stages: Mapping[str, Column], weights: Mapping[str, Column] | None = None) -> list[Column]:
+    """Aggregates of the rows left: all of them (``loaded``), then after each stage; see :func:`stage_funnel`."""
+    weights = weights or {}
+    passed, tallies = F.lit(True), []
+    for name, condition in [("loaded", F.lit(True)), *stages.items()]:
+        passed = passed & F.coalesce(condition, F.lit(False))
+        left = F.sum(F.when(passed, weights.get(name, F.lit(1))))
+        tallies.append(F.coalesce(left, F.lit(0)).cast("bigint"))
+    return tallies
+
+
 def stage_funnel(
     rows: DataFrame,
     stages: Mapping[str, Column],
@@ -275,12 +349,7 @@ def stage_funnel(
     that met the earlier ones. ``weights`` says, per stage (the first one is ``loaded``), how many
     raw rows a row stands for where that is not one.
     """
-    weights = weights or {}
-    passed, tallies = F.lit(True), []
-    for name, condition in [("loaded", F.lit(True)), *stages.items()]:
-        passed = passed & F.coalesce(condition, F.lit(False))
-        left = F.sum(F.when(passed, weights.get(name, F.lit(1))))
-        tallies.append(F.coalesce(left, F.lit(0)).cast("bigint"))
+    tallies = stage_tallies(stages, weights)
     counted = rows.groupBy(*by).agg(*[t.alias(f"_s{i}") for i, t in enumerate(tallies)])
     entries = [
         F.struct(F.lit(i).cast("bigint").alias("step"), F.lit(name).alias("stage"), F.col(f"_s{i}").alias("rows_left"))

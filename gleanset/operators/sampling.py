@@ -100,9 +100,14 @@ def _per_class(one_row: DataFrame, classes: Sequence[str], own: Sequence[str], s
     return one_row.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def _grant(need: str, available: str) -> str:
-    """All-or-nothing: the whole need, or zero when it is not covered."""
-    return f"CASE WHEN {need} > 0 AND {available} >= {need} THEN {need} ELSE 0 END"
+def _grant(need: str, available: str, strict: str | None = None) -> str:
+    """All-or-nothing: the whole need, or zero when it is not covered (``strict`` names the split that
+    then fails the run)."""
+    short = "0"
+    if strict is not None:
+        told = f"concat('{strict} lacks ', string({need}), ' rows and the pool has ', string({available}))"
+        short = f"CASE WHEN {need} > 0 THEN bigint(raise_error({told})) ELSE 0 END"
+    return f"CASE WHEN {need} > 0 AND {available} >= {need} THEN {need} ELSE {short} END"
 
 
 def _candidates(rows: DataFrame, bound: int, classes: Sequence[str], seed: int):
@@ -168,10 +173,12 @@ def balanced_split(
     train_rows: int,
     classes: Sequence[str] = fixed.LABELS,
     seed: int = fixed.SEED,
+    strict: bool = False,
 ) -> DataFrame:
     """Split (id, label) rows: equal classes for ``eval`` and its top-up, then ``train`` from the rest.
 
-    Both top-ups are all or nothing; :func:`shortfall` shows what is missing.
+    Both top-ups are all or nothing; :func:`shortfall` shows what is missing. With ``strict`` a run whose
+    ``eval`` cannot be topped up fails; ``train`` may always be short.
     """
     bound = eval_rows + train_rows
     e_goal, t_goal = eval_rows // len(classes), train_rows // len(classes)
@@ -182,7 +189,7 @@ def balanced_split(
     steps += [
         f"{eval_rows} - {' - '.join(f'e{i}' for i in numbers)} AS need_e",
         f"{' + '.join(f'n{i} - e{i}' for i in numbers)} AS pool",
-        f"{_grant('need_e', 'pool')} AS more_e",
+        f"{_grant('need_e', 'pool', 'eval' if strict else None)} AS more_e",
     ]
     eval_quotas = _per_class(sizes.selectExpr("*", *steps), classes, ["n", "e"], ["more_e"])
 

@@ -8,7 +8,7 @@ before it, which leaves the same rows because all copies of a text agree on it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,10 @@ from gleanset.functions import labels as lb
 from gleanset.functions.keys import text_key
 from gleanset.functions import text as tx
 from gleanset.operators import combine, dedup, ranking, sampling
+from gleanset.operators.observed import StageCounts
 from gleanset.operators.profile import stage_funnel
 from gleanset.sources.readers import read_csv, read_dataset
-from gleanset.sources.writers import write_jsonl
+from gleanset.sources.writers import write_shuffled
 
 
 def english_text_ok(text: Column, min_words: int = fixed.EN_MIN_WORDS) -> Column:
@@ -44,10 +45,19 @@ def _class_or_none(label: Column) -> Column:
     return F.coalesce(lb.class_index(label), F.lit(-1))
 
 
-def english_rows(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS) -> DataFrame:
-    """(id, label) of the usable rows of (id, input, output): first copies with text and label."""
-    usable = raw.filter(english_text_ok(F.col("input"), min_words))
-    firsts = dedup.first_of_each(usable, ["input"], carry={"class": _class_or_none(lb.map_terms(F.col("output")))})
+def english_rows(
+    raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS, counts: StageCounts | None = None
+) -> DataFrame:
+    """(id, label) of the usable rows of (id, input, output): first copies with text and label.
+
+    With ``counts`` the same plan also counts the rows of :func:`english_funnel` as it runs; unusable
+    texts then go through the dedup too, as keys, because the funnel counts them there.
+    """
+    if counts is None:
+        raw = raw.filter(english_text_ok(F.col("input"), min_words))
+    firsts = _english_firsts(raw, min_words)
+    if counts is not None:
+        firsts = counts.watch(firsts, *english_stages()).filter("text_ok")
     return firsts.filter("class >= 0").select("id", lb.class_name(F.col("class")).alias("label"))
 
 
@@ -55,12 +65,14 @@ def second_rows(
     raw: DataFrame,
     unwanted: Sequence[str] = fixed.CONTRADICTED_SENTENCES,
     min_words: int = fixed.VI_MIN_WORDS,
+    counts: StageCounts | None = None,
 ) -> DataFrame:
-    """(id, label) of the usable rows of (id, sentence, sentiment)."""
-    usable = dedup.drop_listed(raw, "sentence", unwanted).filter(second_text_ok(F.col("sentence"), min_words))
-    firsts = dedup.first_of_each(
-        usable, ["sentence"], carry={"class": _class_or_none(lb.map_codes(F.col("sentiment")))}
-    )
+    """(id, label) of the usable rows of (id, sentence, sentiment). For ``counts`` see :func:`english_rows`."""
+    if counts is None:
+        raw = dedup.drop_listed(raw, "sentence", unwanted).filter(second_text_ok(F.col("sentence"), min_words))
+    firsts = _second_firsts(raw, unwanted, min_words)
+    if counts is not None:
+        firsts = counts.watch(firsts, *second_stages()).filter("text_ok AND NOT listed")
     return firsts.filter("class >= 0").select("id", lb.class_name(F.col("class")).alias("label"))
 
 
@@ -78,9 +90,8 @@ def english_clean(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS, folder: s
     )
 
 
-def english_funnel(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS) -> DataFrame:
-    """Rows left after dedup, cleaning and mapping, from one narrow aggregate."""
-    firsts = dedup.first_of_each(
+def _english_firsts(raw: DataFrame, min_words: int) -> DataFrame:
+    return dedup.first_of_each(
         raw,
         ["input"],
         carry={
@@ -88,18 +99,22 @@ def english_funnel(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS) -> DataF
             "class": _class_or_none(lb.map_terms(F.col("output"))),
         },
     )
+
+
+def english_stages() -> tuple[dict[str, Column], dict[str, Column]]:
+    """The stages a first copy passes, and what it stands for before them."""
     stages = {"deduplicated": F.lit(True), "cleaned": F.col("text_ok"), "mapped": F.col("class") >= 0}
-    return stage_funnel(firsts, stages, {"loaded": F.col("copies")})
+    return stages, {"loaded": F.col("copies")}
 
 
-def second_funnel(
-    raw: DataFrame,
-    unwanted: Sequence[str] = fixed.CONTRADICTED_SENTENCES,
-    min_words: int = fixed.VI_MIN_WORDS,
-) -> DataFrame:
-    """Rows left after removing listed sentences, dedup, the length filter and mapping."""
+def english_funnel(raw: DataFrame, min_words: int = fixed.EN_MIN_WORDS) -> DataFrame:
+    """Rows left after dedup, cleaning and mapping, from one narrow aggregate."""
+    return stage_funnel(_english_firsts(raw, min_words), *english_stages())
+
+
+def _second_firsts(raw: DataFrame, unwanted: Sequence[str], min_words: int) -> DataFrame:
     text = F.col("sentence")
-    firsts = dedup.first_of_each(
+    return dedup.first_of_each(
         raw,
         ["sentence"],
         carry={
@@ -108,13 +123,26 @@ def second_funnel(
             "class": _class_or_none(lb.map_codes(F.col("sentiment"))),
         },
     )
+
+
+def second_stages() -> tuple[dict[str, Column], dict[str, Column]]:
+    """See :func:`english_stages`."""
     stages = {
         "unlisted": ~F.col("listed"),
         "deduplicated": F.lit(True),
         "long_enough": F.col("text_ok"),
         "mapped": F.col("class") >= 0,
     }
-    return stage_funnel(firsts, stages, {"loaded": F.col("copies"), "unlisted": F.col("copies")})
+    return stages, {"loaded": F.col("copies"), "unlisted": F.col("copies")}
+
+
+def second_funnel(
+    raw: DataFrame,
+    unwanted: Sequence[str] = fixed.CONTRADICTED_SENTENCES,
+    min_words: int = fixed.VI_MIN_WORDS,
+) -> DataFrame:
+    """Rows left after removing listed sentences, dedup, the length filter and mapping."""
+    return stage_funnel(_second_firsts(raw, unwanted, min_words), *second_stages())
 
 
 def build_dataset(
@@ -123,14 +151,19 @@ def build_dataset(
     en_rows: tuple[int, int] = (fixed.EN_EVAL_ROWS, fixed.EN_TRAIN_ROWS),
     vi_rows: tuple[int, int] = (fixed.VI_EVAL_ROWS, fixed.VI_TRAIN_ROWS),
     seed: int = fixed.SEED,
+    counts: Mapping[str, StageCounts] | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """Train and eval rows of both languages: language, split, id, instruction, input, output.
 
     ``english`` has (id, input, output), ``second`` (id, sentence, sentiment); quotas are
-    (eval, train).
+    (eval, train). ``counts`` (for ``EN`` and ``VI``) take the rows left after each stage from the run
+    that writes the result; see :func:`english_rows`. ``strict`` fails a run whose English ``eval``
+    cannot be filled; see :func:`gleanset.operators.sampling.balanced_split`.
     """
-    en_split = sampling.balanced_split(english_rows(english), *en_rows, seed=seed)
-    vi_split = sampling.scarce_first_split(second_rows(second), *vi_rows, seed=seed)
+    counts = counts or {}
+    en_split = sampling.balanced_split(english_rows(english, counts=counts.get("EN")), *en_rows, seed=seed, strict=strict)
+    vi_split = sampling.scarce_first_split(second_rows(second, counts=counts.get("VI")), *vi_rows, seed=seed)
     en = ranking.fetch(english.select("id", F.col("input").alias("text")), en_split, "id", sum(en_rows))
     vi = ranking.fetch(second.select("id", F.col("sentence").alias("text")), vi_split, "id", sum(vi_rows))
     keep = ("split", "id")
@@ -143,9 +176,13 @@ def build_dataset(
     )
 
 
-def write_dataset(dataset: DataFrame, path: str) -> None:
-    """One job: ``split=train`` and ``split=eval`` folders of JSON lines, per language."""
-    write_jsonl(dataset, path, partition_by=("split", "language"))
+def write_dataset(dataset: DataFrame, path: str, seed: int = fixed.SEED, files: int | None = None) -> None:
+    """One job: ``split=train`` and ``split=eval`` folders of JSON lines, shuffled across languages.
+
+    Read in the order of their names, the files of a split hold its rows in draw order; see
+    :func:`gleanset.sources.writers.write_shuffled`. ``files`` is how many there are of each split at most.
+    """
+    write_shuffled(dataset, path, ("split",), ("language", "id"), seed, files)
 
 
 def add_synthetic(train: DataFrame, synthetic: DataFrame) -> DataFrame:

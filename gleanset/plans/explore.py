@@ -40,9 +40,9 @@ def explore(
     firsts = dedup.dedup_keep_first(narrow, [*by, "key"], id_col)
     return {
         "columns": profile.table_profile(df, by),
-        "head": profile.first_rows(df, order_col=id_col),
+        "head": profile.first_rows(df, order_col=id_col, by=by),
         "values": profile.distinct_values(df, labels, by),
-        "shares": profile.value_shares(df, labels, by),
+        "shares": profile.value_shares(df, labels, by, None if folder is None else f"{folder}/shares"),
         "surplus": dedup.duplicate_counts(df, [c for c in df.columns if c not in (id_col, *by)], by),
         "duplicates": dedup.duplicate_rows(
             df, [*by, text], id_col, None if folder is None else f"{folder}/duplicates"

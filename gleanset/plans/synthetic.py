@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +29,22 @@ def generate_snippets(
     folder: str,
     target: int = fixed.SYNTHETIC_ATTEMPT_TARGET,
     per_prompt: int = fixed.ATTEMPTS_PER_PROMPT,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
-    """The first ``target`` distinct texts generated from the prompts, with their attempt number."""
-    attempts = generation.prompt_schedule(prompts, target, per_prompt)
-    answers = generation.answered(generation.batch_infer(attempts, "prompt", load_model))
-    written = materialized(generation.snippets(answers), f"{folder}/attempts")
-    return generation.collect_unique(written, target)
+    """The first ``target`` distinct texts generated from the prompts, with their attempt number.
+
+    Attempts are made in waves, which end when there are enough texts; see
+    :func:`gleanset.operators.generation.collect_in_waves`.
+    """
+    return generation.collect_in_waves(prompts, load_model, f"{folder}/attempts", target, per_prompt, profile)
 
 
-def label_snippets(snippets: DataFrame, load_model: Model) -> DataFrame:
+def label_snippets(snippets: DataFrame, load_model: Model, profile: ResourceProfile | None = None) -> DataFrame:
     """(id, instruction, input, output_raw_llm, output) and the check flags, one row per answer."""
     asked = snippets.select(
         F.col("attempt").alias("id"), "text", chat.label_prompt(F.col("text")).alias("prompt")
     )
-    answers = generation.answered(generation.batch_infer(asked, "prompt", load_model)).drop("prompt")
+    answers = generation.answered(generation.batch_infer(asked, "prompt", load_model, profile)).drop("prompt")
     return generation.validated(generation.labelled_rows(answers))
 
 
@@ -70,10 +73,14 @@ def build_synthetic(
     target: int = fixed.SYNTHETIC_ATTEMPT_TARGET,
     per_prompt: int = fixed.ATTEMPTS_PER_PROMPT,
     seed: int = fixed.SEED,
+    profiles: tuple[ResourceProfile | None, ResourceProfile | None] = (None, None),
 ) -> DataFrame:
-    """(id, instruction, input, output) rows from prompts; both models' answers go to ``folder``."""
-    texts = generate_snippets(prompts, load_writer, folder, target, per_prompt)
-    labelled = materialized(label_snippets(texts, load_labeller), f"{folder}/labelled")
+    """(id, instruction, input, output) rows from prompts; both models' answers go to ``folder``.
+
+    ``profiles`` are the resources of the writer's and the labeller's stages.
+    """
+    texts = generate_snippets(prompts, load_writer, folder, target, per_prompt, profiles[0])
+    labelled = materialized(label_snippets(texts, load_labeller, profiles[1]), f"{folder}/labelled")
     return finish(labelled, n, seed)
 
 

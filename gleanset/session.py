@@ -51,7 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, path: str) -> DataFrame:
+def materialized(df: DataFrame, path: str, mode: str = "error") -> DataFrame:
     """Write a table and read it back, so that what follows never recomputes (or re-infers) it."""
-    df.write.parquet(path)
+    df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table at ``path`` was written to its end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gleanset import fixed
+from gleanset.operators.ranking import with_draw
+
 
 def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
     """JSON lines in UTF-8; a null field is written as ``null``."""
@@ -14,6 +17,37 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
 
 
+def write_shuffled(
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = ("split",),
+    key: Sequence[str] = ("id",),
+    seed: int = fixed.SEED,
+    files: int | None = None,
+    mode: str = "error",
+) -> None:
+    """JSON lines in random order: read in the order of their names, the files of a folder hold its rows in
+    the order of ``md5(seed:key)``, equal draws by the key. ``key`` is unique, its parts joined by colons.
+
+    One range shuffle: a task takes an even stretch of the draws, sorts it, and writes one file a folder,
+    so no task sees a whole folder and nobody sorts it. ``files`` is the number of tasks; without it AQE
+    joins neighbouring stretches, which keeps their order. Names keep it up to 99,999 tasks.
+    """
+    drawn = with_draw(df.withColumn("_key", F.concat_ws(":", *key)), "_key", seed).drop("_slot")
+    order = ["_draw", "_key"]
+    ranged = drawn.repartitionByRange(*([] if files is None else [files]), *order)
+    # Sorted by folder first, as the writer wants it, so that it does not sort again by folder alone.
+    write_jsonl(ranged.sortWithinPartitions(*partition_by, *order).drop(*order), path, partition_by, mode)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, key: str = "id") -> DataFrame:
+    """A table in ``buckets`` files by the hash of ``key``, sorted inside. Tables written alike are joined on
+    the key without a shuffle. ``path`` is a shared folder; ``table`` names it in the session's catalog."""
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000, mode: str = "error") -> bool:
     """Headed CSV without an index column; nothing is left for an empty table.
 

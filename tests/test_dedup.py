@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanset.operators import dedup
+from gleanset.operators.observed import Dropped
 
 
 @pytest.fixture(scope="module")
@@ -139,3 +140,52 @@ def test_duplicate_counts_by_group(df, rows):
     for topic in (0, 1):
         own = [r[1] for r in rows if r[3] == topic]
         assert got[(topic, "text")] == len(own) - len(set(own))
+
+
+@pytest.mark.parametrize("folder", [None, "surplus"])
+@pytest.mark.parametrize("few", [True, False])
+def test_a_row_without_an_id_fails_every_way(spark, tmp_path, monkeypatch, folder, few):
+    """Whether the surplus is written, few or many: an id says which row is meant, so it has to be there."""
+    if not few:
+        monkeypatch.setattr(dedup, "BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (None, "a"), (None, "c")], "id long, text string")
+    for name in ("dedup_keep_first", "dedup_drop_all", "duplicate_rows"):
+        with pytest.raises(Exception, match="a row has no id"):
+            getattr(dedup, name)(df, ["text"], folder=folder and str(tmp_path / name)).collect()
+    with pytest.raises(Exception, match="a row has no id"):
+        dedup.distinct_sorted(df, "text", folder=folder and str(tmp_path / "sorted")).collect()
+    with pytest.raises(Exception, match="a row has no id"):
+        dedup.first_of_each(df, ["text"]).collect()
+
+
+def test_listed_rows_are_counted_by_the_run_that_drops_them(spark, df, rows, folder, tmp_path):
+    """A third of the rows have the listed text; nothing is read again for the counts."""
+    listed = ["hot", "t1", "t2"]
+    want = sorted(r[0] for r in rows if r[1] not in listed)
+    path = str(tmp_path / "rows")
+    df.write.parquet(path)
+    table = spark.createDataFrame([(t,) for t in [*listed, "hot", None]], "x string")
+    for texts in (listed, table):
+        dropped = Dropped()
+        kept = dedup.drop_listed(spark.read.parquet(path), "text", texts, folder and folder("k"), dropped)
+        assert kept.columns == df.columns
+        assert ids(kept) == want
+        assert (dropped.removed, dropped.kept) == (len(rows) - len(want), len(want))
+        assert tuple(dropped.table(spark).first()) == (len(rows) - len(want), len(want))
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert sum("FileScan" in line and "rows]" in line for line in plan.splitlines()) == 1
+
+
+def test_columns_called_like_working_ones_keep_their_values(spark, folder):
+    rows = [(i, f"t{i % 7}", i % 2, i * 10, i * 100, i * 1000) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label int, _key0 long, _salt long, _LISTED long")
+    listed = spark.createDataFrame([("t1",), ("t2",)], "x string")
+    for kept in (
+        dedup.drop_listed(df, "text", listed, folder and folder("a")),
+        dedup.drop_listed(df, "text", listed, folder and folder("b"), Dropped()),
+        dedup.drop_conflicting(df.filter("text in ('t3', 't4') OR label = 0"), ["text"], "label", folder=folder and folder("c")),
+        dedup.dedup_keep_first(df, ["text"]),
+    ):
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert got and all(tuple(r) == rows[r["id"]] for r in got)

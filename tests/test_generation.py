@@ -147,3 +147,114 @@ def test_synthetic_build_asks_each_model_once(spark, tmp_path):
     assert {r.instruction for r in rows} == {fixed.INSTRUCTION}
     made.count()
     assert len(list(calls.iterdir())) == batches
+
+
+def cycling_writer(folder, texts):
+    """Gives prompt ``p<n>`` the text of that number, and notes every prompt it is asked."""
+
+    def load():
+        def answer(prompts):
+            import os
+            import uuid
+
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write("\n".join(prompts))
+            return [f"one two three text {int(p[1:]) % texts}" for p in prompts]
+
+        return answer
+
+    return load
+
+
+def asked(folder):
+    return sum(len(f.read_text().splitlines()) for f in folder.iterdir())
+
+
+@pytest.mark.parametrize("texts", [1, 7, 60, 200])
+@pytest.mark.parametrize("few", [True, False])
+def test_waves_give_the_same_texts_and_stop_at_the_cap(spark, tmp_path, monkeypatch, texts, few):
+    """``texts`` different ones come out of 200 prompts; 40 are wanted."""
+    if not few:
+        monkeypatch.setattr(rk, "BROADCAST_ROWS", 0)
+    cap, per_prompt, n = 40, 2, 200
+    prompts = spark.range(n).select(F.col("id").alias("prompt_no"), F.concat(F.lit("p"), F.col("id")).alias("prompt"))
+    calls = [tmp_path / "all", tmp_path / "waves"]
+    for folder in calls:
+        folder.mkdir()
+    attempts = generation.prompt_schedule(prompts, cap, per_prompt)
+    answers = generation.answered(generation.batch_infer(attempts, "prompt", cycling_writer(str(calls[0]), texts)))
+    generation.snippets(answers).write.parquet(str(tmp_path / "answers"))
+    everything = spark.read.parquet(str(tmp_path / "answers"))
+    want = sorted(map(tuple, generation.collect_unique(everything, cap).collect()))
+    load = cycling_writer(str(calls[1]), texts)
+    got = generation.collect_in_waves(prompts, load, str(tmp_path / "run"), cap, per_prompt)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == min(cap, texts)
+    total = (cap // per_prompt + n) * per_prompt
+    assert asked(calls[0]) == total
+    if texts >= cap:
+        # Each prompt gives its text twice, so 80 attempts are the fewest that have 40 texts.
+        assert 2 * cap <= asked(calls[1]) <= 2 * cap * 1.3 < total
+    else:
+        assert asked(calls[1]) == total
+
+
+def test_a_lost_run_goes_on_with_the_next_wave(spark, tmp_path):
+    prompts = spark.range(50).select(F.col("id").alias("prompt_no"), F.concat(F.lit("p"), F.col("id")).alias("prompt"))
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def wanted(folder):
+        load = cycling_writer(str(calls), 50)
+        return sorted(map(tuple, generation.collect_in_waves(prompts, load, str(tmp_path / folder), 20, 2).collect()))
+
+    first = wanted("run")
+    before = asked(calls)
+    (tmp_path / "run" / "wave-00001" / "_SUCCESS").unlink()  # as if the second wave had not ended
+    assert wanted("run") == first
+    waves = len(list((tmp_path / "run").glob("wave-*")))
+    assert waves > 1 and 0 < asked(calls) - before < before
+
+
+def test_wave_sizes():
+    assert generation.wave_size(100, 0, 0, 1000) == 100
+    assert generation.wave_size(100, 50, 100, 1000) == 110  # half were new: as many again and a tenth
+    assert generation.wave_size(100, 0, 100, 1000) == 400  # none were new: no more than four times as many
+    assert generation.wave_size(100, 99, 990, 1000) == 10
+    assert generation.wave_size(0, 0, 0, 10) == 1
+
+
+def profile_of(df):
+    node = df._jdf.queryExecution().analyzed()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().apply(0)
+    return node.profile()
+
+
+def test_a_model_stage_gets_its_own_resources(spark):
+    df = spark.range(4).select("id", F.lit("p").alias("prompt"))
+    load = labeller()
+    assert profile_of(generation.batch_infer(df, "prompt", load)).isEmpty()
+    wanted = generation.model_profile(
+        task_cpus=4, task_gpus=0.5, executor_cores=8, executor_memory="20g", executor_gpus=1, gpu_script="/opt/gpus.sh"
+    )
+    inferred = generation.batch_infer(df, "prompt", load, wanted)
+    found = profile_of(inferred).get()
+    tasks, executors = found.taskResources(), found.executorResources()
+    assert {k: tasks.apply(k).amount() for k in ("cpus", "gpu")} == {"cpus": 4.0, "gpu": 0.5}
+    assert {k: executors.apply(k).amount() for k in ("cores", "memory", "gpu")} == {"cores": 8, "memory": 20480, "gpu": 1}
+    assert executors.apply("gpu").discoveryScript() == "/opt/gpus.sh"
+    assert inferred.columns == ["id", "prompt", "raw", "error"]
+    # The stage before and after keep the session's resources: nothing else in the plan has a profile.
+    assert str(inferred.filter("raw = 'x'")._jdf.queryExecution().analyzed()).count("MapInArrow") == 1
+
+
+def test_plans_hand_profiles_on(spark):
+    from gleanset.plans import evaluation
+
+    wanted = generation.model_profile(task_cpus=2)
+    texts = spark.range(2).select(F.col("id").alias("attempt"), F.lit("a b c d").alias("text"))
+    assert profile_of(synthetic.label_snippets(texts, labeller(), wanted)).get().taskResources().apply("cpus").amount() == 2
+    rows = spark.range(2).selectExpr("id", "'EN' AS language", "'i' AS instruction", "'x' AS input", "'neutral' AS output")
+    answered = evaluation.answer_all(rows, labeller(), labeller(), wanted)
+    assert profile_of(answered).get().taskResources().apply("cpus").amount() == 2
+    assert profile_of(synthetic.label_snippets(texts, labeller())).isEmpty()

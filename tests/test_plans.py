@@ -17,9 +17,10 @@ WIDE = {
     "distinct_sorted": "sorted by text",
     "duplicates_listing": "sorted by text",
     "first_rows": "the first rows by id",
+    "first_rows_by_language": "the first rows by id, five of a language from each task",
     "null_profile": "joins labels to documents with their texts before it profiles them",
 }
-TEXTS = {"text", "input", "sentence", "cleaned"}
+TEXTS = {"text", "input", "sentence", "cleaned", "input_text", "baseline_raw_output", "finetuned_raw_output"}
 
 
 def plan_node(df):
@@ -118,6 +119,29 @@ def test_texts_are_scanned_no_more_than_needed(spark, name, scans):
     assert sum("FileScan" in line and "text#" in line for line in final.splitlines()) == scans
 
 
+def test_a_build_that_counts_its_stages_scans_no_more(spark):
+    """As many scans of the texts as without counts, and each dedup shuffle still runs once."""
+    from gleanset.catalog import fixtures as fx
+    from gleanset.catalog import registry
+    from gleanset.operators.observed import StageCounts
+    from gleanset.plans import datasets
+
+    counts = {"EN": StageCounts(), "VI": StageCounts()}
+    raw = fx.en_raw(spark, SF_DIR), fx.vi_raw(spark, SF_DIR)
+    df = datasets.build_dataset(*raw, registry.EN_QUOTA, registry.VI_QUOTA, counts=counts)
+    rows = sorted(map(tuple, df.collect()))
+    plain = datasets.build_dataset(*raw, registry.EN_QUOTA, registry.VI_QUOTA)
+    assert rows == sorted(map(tuple, plain.collect()))
+    final = plan_of(df).split("\n+- == Initial Plan ==")[0]
+    assert sum("FileScan" in line and "text#" in line for line in final.splitlines()) == 4
+    for language, funnel in (("EN", datasets.english_funnel(raw[0])), ("VI", datasets.second_funnel(raw[1]))):
+        assert sorted(map(tuple, counts[language].table(spark).collect())) == sorted(map(tuple, funnel.collect()))
+    with pytest.raises(ValueError, match="other rows"):
+        datasets.build_dataset(*raw, counts=counts)
+    with pytest.raises(ValueError, match="nothing is watched"):
+        StageCounts().counts()
+
+
 def test_all_metrics_share_one_scan(spark):
     df = entry.queries()["metric_table"](spark, SF_DIR)
     df.collect()

@@ -86,6 +86,61 @@ def test_counts_and_shares(spark):
     }
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_shares_with_a_hot_group_from_written_totals(spark, tmp_path, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(profile, "BROADCAST_ROWS", 0)
+    rows = [("hot" if i % 3 else f"g{i % 30}", None if i % 50 == 7 else i % 11) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    plain, written = profile.value_shares(df, ["v"], ["g"]), profile.value_shares(df, ["v"], ["g"], str(tmp_path / "s"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, written.collect()))
+    for r in written.filter("g = 'hot'").collect():
+        own = [v for g, v in rows if g == "hot" and v is not None]
+        assert (r.n, r.share) == (own.count(int(r.value)), pytest.approx(own.count(int(r.value)) / len(own)))
+
+
+def test_first_rows_of_each_group(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i < 20 else None) for i in range(25)], "id long, g string")
+    got = sorted((r.g or "-", r["id"]) for r in profile.first_rows(df, 3, by=["g"]).collect())
+    assert got == [("-", 20), ("-", 21), ("-", 22), ("a", 0), ("a", 2), ("a", 4), ("b", 1), ("b", 3), ("b", 5)]
+    # Every task sends on the first rows of a group only.
+    plan = profile.first_rows(df, 3, by=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange")[1]
+
+
+@pytest.mark.parametrize("bits", [4, 8])
+def test_sketch_stays_within_its_error(spark, bits):
+    rng = random.Random(9)
+    lengths = [int(rng.lognormvariate(6, 2)) + 1 for _ in range(1500)] + [1, 2, 15, 16, 17, 255, 256, 257, 100_000]
+    rows = [(i, "ab"[i % 2], i % 4, "x" * n) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "id long, g string, split int, text string").repartition(3)
+    exact = profile.length_frequencies(df, "text", ["g"])
+    by_split = profile.length_sketch(df, "text", ["g", "split"], bits)
+    merged = profile.merge_sketches([by_split.filter("split < 2"), by_split.filter("split >= 2")], ["g"])
+    whole = profile.length_sketch(df, "text", ["g"], bits)
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, whole.select(*merged.columns).collect()))
+    error = profile.sketch_error(bits)
+    for measure in ("describe_lengths", "box_figures"):
+        figures = getattr(profile, measure)
+        want = {(r.g, r.measure): r for r in figures(exact, ["g"]).collect()}
+        for r in figures(merged, ["g"]).collect():
+            true = want[r.g, r.measure]
+            for name in ("q25", "q50", "q75", "min", "max", "mean"):
+                if name in r.asDict():
+                    assert abs(r[name] - true[name]) <= error * true[name] + 1e-9, (measure, name)
+            if "count" in r.asDict():
+                assert r["count"] == true["count"]
+    small = profile.length_sketch(df.filter(f"length(text) < {2**bits}"), "text", ["g"], bits)
+    exact_small = profile.length_frequencies(df.filter(f"length(text) < {2**bits}"), "text", ["g"])
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, exact_small.collect()))
+
+
+def test_sketch_size_depends_on_the_range_alone(spark):
+    df = spark.range(1, 200_001).select(F.repeat(F.lit("x"), F.col("id").cast("int") % 20_000 + 1).alias("text"))
+    entries = profile.length_sketch(df, "text", bits=4).filter("measure = 'char'").count()
+    assert entries <= 2**4 + 2**3 * 11
+
+
 def test_table_profile(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, t string")
     got = {r.column: (r.type, r.rows, r.non_null, r.nulls) for r in profile.table_profile(df).collect()}
@@ -168,7 +223,7 @@ def test_explore(spark, tmp_path):
     assert (tmp_path / "lengths").exists()
     assert {name: table.count() for name, table in tables.items()} == {
         "columns": 6,
-        "head": 5,
+        "head": 6,
         "values": 3,
         "shares": 3,
         "surplus": 6,

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleanset import fixed
 from gleanset.operators import ranking as rk
 from gleanset.operators import sampling
 
@@ -230,3 +231,14 @@ def test_ranking_does_not_collect_a_class_in_one_task(spark):
     for c in CLASSES:
         want = drawn([i for i, label in got if label == c])
         assert [got[(i, c)] for i in want] == list(range(1, len(want) + 1))
+
+
+def test_strict_eval_fails_where_it_cannot_be_filled(spark):
+    rows = [(i, fixed.LABELS[i % 3]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    assert sampling.balanced_split(df, 20, 10, strict=True).count() == 30
+    # Train may be short of what it wants, eval may not.
+    assert sampling.balanced_split(df, 20, 90, strict=True).count() == 20 + 10
+    assert sampling.balanced_split(df, 40, 10).filter("split = 'eval'").count() == 30
+    with pytest.raises(Exception, match="eval lacks 10 rows and the pool has 0"):
+        sampling.balanced_split(df, 40, 10, strict=True).collect()

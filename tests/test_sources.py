@@ -132,3 +132,106 @@ def test_write_dataset_in_one_folder(spark, tmp_path):
     datasets.write_dataset(df, str(tmp_path / "out"))
     back = readers.read_instructions(spark, str(tmp_path / "out" / "split=eval"))
     assert [tuple(r) for r in back.select("instruction", "input", "output").collect()] == [("d", "b", "y")]
+
+
+LINES = [
+    '{"instruction": "do", "input": "a", "output": "x"}',
+    '{"instruction": "do", "input": "b", "output": null}',
+    '{"instruction": "do", "input": "c"',
+    "",
+    "no json",
+    '{"input": "d"}',
+    "[1, 2]",
+    '{"instruction": "do", "input": "", "output": "y", "more": 3}',
+]
+
+
+def test_bad_lines_become_rejects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(LINES))
+    (tmp_path / "in" / "b.json").write_text(LINES[0] + "\n" + LINES[4])
+    read = readers.check_instructions(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(map(tuple, read.good.collect())) == [("do", "", "y"), ("do", "a", "x"), ("do", "a", "x")]
+    got = sorted((r.file, r.reason, r.record) for r in read.rejects.collect())
+    assert [(f, reason) for f, reason, _ in got if reason == "malformed"] == [("a.json", "malformed")] * 3 + [("b.json", "malformed")]
+    assert {r for _, reason, r in got if reason == "malformed"} == {LINES[2], LINES[4], LINES[6]}
+    assert {(reason, record) for _, reason, record in got if reason != "malformed"} == {
+        ("lacks output", '{"instruction":"do","input":"b","output":null}'),
+        ("lacks instruction, output", '{"instruction":null,"input":"d","output":null}'),
+    }
+    # What is good and what is not comes from the written table: the files are not read again.
+    for f in (tmp_path / "in").iterdir():
+        f.write_text("")
+    assert read.good.count() == 3 and read.rejects.count() == 6
+
+
+def test_rejects_of_clean_and_empty_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(LINES[0])
+    (tmp_path / "in" / "b.json").write_text("")
+    read = readers.check_instructions(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert (read.good.count(), read.rejects.count()) == (1, 0)
+
+
+def test_bad_csv_rows_become_rejects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = ["instruction,input,output", 'do,"a, b",x', "do,c", "do,d,x,more", "do,,x", 'do,"line\nbreak",y']
+    (tmp_path / "in" / "a.csv").write_text("\n".join(rows) + "\n")
+    read = readers.check_csv(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted(map(tuple, read.good.collect())) == [("do", "a, b", "x"), ("do", "line\nbreak", "y")]
+    got = sorted((r.reason, r.record) for r in read.rejects.collect())
+    assert got[0] == ("lacks input", '{"instruction":"do","input":null,"output":"x"}')
+    assert [(reason, record.strip()) for reason, record in got[1:]] == [("malformed", "do,c"), ("malformed", "do,d,x,more")]
+    (tmp_path / "in" / "a.csv").write_text("instruction,input\n1,2\n")
+    with pytest.raises(ValueError, match="lacks"):
+        readers.check_csv(spark, str(tmp_path / "in"), str(tmp_path / "again"))
+
+
+@pytest.mark.parametrize("files", [None, 1, 7])
+def test_files_in_name_order_hold_the_draw_order(spark, tmp_path, files):
+    import hashlib
+
+    rows = [(i, lang, "train" if i % 5 else "eval") for i in range(600) for lang in ("EN", "VI")]
+    df = spark.createDataFrame(rows, "id long, language string, split string").repartition(5)
+    path = str(tmp_path / "out")
+    writers.write_shuffled(df, path, ("split",), ("language", "id"), files=files)
+    for split in ("train", "eval"):
+        names = sorted(glob.glob(f"{path}/split={split}/*.json"))
+        got = [(r["language"], r["id"]) for f in names for r in map(json.loads, open(f, encoding="utf-8"))]
+        want = sorted(
+            ((lang, i) for i, lang, s in rows if s == split),
+            key=lambda x: hashlib.md5(f"42:{x[0]}:{x[1]}".encode()).hexdigest(),
+        )
+        assert got == want
+        if files is not None:
+            assert len(names) <= files
+        # Both languages are spread over the files.
+        head = got[: len(got) // 4]
+        assert 0.3 < sum(lang == "EN" for lang, _ in head) / len(head) < 0.7
+    back = spark.read.json(path)
+    assert back.count() == len(rows)
+
+
+def test_answers_bucketed_alike_join_without_a_shuffle(spark, tmp_path):
+    from gleanset.operators import metrics
+    from gleanset.plans import evaluation
+
+    rows = [(i, "EN", "label it", f"text {i}", "neutral") for i in range(50)]
+    examples = spark.createDataFrame(rows, "id long, language string, instruction string, input_text string, ground_truth string")
+    raw = spark.createDataFrame([(i, "neutral" if i % 2 else "positive") for i in range(50) if i != 7], "id long, raw string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = [
+            evaluation.stored_by_id(df, str(tmp_path), name, 4)
+            for name, df in (("examples", examples), ("baseline", raw), ("finetuned", raw))
+        ]
+        joined = evaluation.joined_answers(*tables, missing="unparseable")
+        details = metrics.detailed_results(joined)
+        got = {r["id"]: (r.input_text, r.baseline_prediction, r.finetuned_correct) for r in details.collect()}
+        plan = details._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and plan.count("Bucketed: true") >= 3
+    assert len(got) == 50 and got[7] == ("text 7", "unparseable", False) and got[9] == ("text 9", "neutral", True)
+    with pytest.raises(Exception, match="no baseline answer for example 7"):
+        evaluation.joined_answers(*tables).collect()
