@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanset.llm.rows import free_name, numbered, stored
+from gleanset.functions.keys import free_name
+from gleanset.llm.rows import numbered, stored
 
 #: Children of a node, bytes of a digest, and levels of a block above its bottom.
 FAN, DIGEST, HEIGHT = 16, 32, 3

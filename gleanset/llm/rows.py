@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanset.functions.keys import free_name
 from gleanset.session import materialized, scratch_path
 
 #: A table of dropped row numbers (8 bytes each) is broadcast up to so many rows; counted first.
@@ -15,14 +16,6 @@ BROADCAST_BYTES = 16_000_000
 PART_CHARS = 1_000_000
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of ``docs`` is called so (case aside)."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     """Number the rows. The same numbers come out of every read of the same files, so ``docs`` is a
     table (or a narrow selection of one), not the result of a shuffle."""
