@@ -18,6 +18,8 @@ from gleanset.llm.rows import BROADCAST_BYTES, lower_ascii, numbered, stored, wi
 
 #: Bytes of the first digit, and by how much each later digit is wider.
 FIRST_DIGIT, WIDER = 64, 16
+#: Bits of the filter of open keys: for each key, in a page (fixed by Spark's bitmap functions), and at most.
+BITS_A_KEY, PAGE, MOST_BITS = 32, 1 << 15, 1 << 27
 
 
 def _digit(text: Column, n_bytes: int) -> Column:
@@ -38,6 +40,27 @@ def _joinable(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if size <= BROADCAST_BYTES else groups
 
 
+def _passing(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose key may be among the (written) keys: all of those whose key is, and few others.
+
+    A bitmap with a bit for each hash, of at most :data:`MOST_BITS` (16 MB), goes to the tasks, so that what
+    is shuffled for the exact join that follows, texts included, is near what that join lets through.
+    """
+    n = keys.count()
+    bits = min(MOST_BITS, max(PAGE, 1 << (BITS_A_KEY * n).bit_length()))
+    place = F.pmod(F.xxhash64(*by), F.lit(bits))
+    page, at = F.shiftright(place, PAGE.bit_length() - 1), place.bitwiseAND(F.lit(PAGE - 1))
+    bitmap = keys.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(at).alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.pmod(at, F.lit(8)).cast("int")
+    return (
+        rows.withColumn("_page", page)
+        .join(F.broadcast(bitmap), "_page")
+        .filter(F.floor(byte / F.pow(F.lit(2), bit)) % 2 == 1)
+        .drop("_page", "_bitmap")
+    )
+
+
 def _decided(rows: DataFrame) -> DataFrame:
     alone = F.col("_n").isNull()
     return rows.select(
@@ -62,14 +85,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = numbered(docs.select(F.col(id_col).alias("_id"), text.alias("_text")))
     head = _digit(F.encode(lower_ascii(F.substring("_text", 1, FIRST_DIGIT)), "UTF-8"), FIRST_DIGIT)
     first = source.withColumns({"_bytes": F.octet_length("_text"), "_digit": head})
-    groups = _joinable(_split(first.select("_id", "_row", "_bytes", "_digit"), ["_bytes", "_digit"]))
     by = ["_bytes", "_digit"]
+    split = _split(first.select("_id", "_row", *by), by)
+    groups = _joinable(split)
     whole = F.encode(lower_ascii(F.col("_text")), "UTF-8")
     narrow = first.select("_id", "_row", *by, F.sha2(whole, 256).alias("text_sha256"))
     ended = F.col("_n").isNull() | (F.col("_bytes") <= FIRST_DIGIT)
     done = [_decided(narrow.join(groups, by, "left").filter(ended))]
+    longer = split.filter(F.col("_bytes") > FIRST_DIGIT)
     open_ = (
-        first.join(groups.filter(F.col("_bytes") > FIRST_DIGIT), by)
+        _passing(first.filter(F.col("_bytes") > FIRST_DIGIT), longer, by)
+        .join(longer, by)
         .withColumn("_whole", whole)
         .select(
             "_id", "_row", "_group", F.sha2("_whole", 256).alias("text_sha256"),
@@ -95,5 +121,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of :func:`exact_groups`."""
+    """``docs`` with one row of each group of :func:`exact_groups`, which says how ties, nulls and repeated
+    rows are treated: one row of null and empty texts stays, and an empty table stays empty. All columns
+    come back as they are, whatever they are called. ``docs`` is a table, see :func:`rows.numbered`."""
     return without_rows(docs, exact_groups(docs, id_col, text_col).filter("NOT kept"))
