@@ -219,7 +219,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, distance: int) -> Data
     grouped = prints.join(found, prints._print == found.node, "left").select(
         "_print", "_least", F.coalesce("root", "_print").alias("_root")
     )
-    least = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    # Written, so that nothing stands between the join and its shuffles and AQE can split a large component.
+    grouped = stored(grouped, "roots-of-fingerprints")
+    least = stored(grouped.groupBy("_root").agg(F.min("_least").alias("component_id")), "least-of-components")
     of_print = stored(grouped.join(least, "_root").select("_print", "component_id", "_root"), "components-of-fingerprints")
     return rows.join(of_print, "_print")
 
@@ -242,8 +244,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: the one with its smallest id, of equal ids the first row.
-    Components whose ids are equal or null are still different ones."""
+    """``docs`` with one row of each component: the one with its smallest id (null last), of equal ids the
+    first row as the table is read.
+
+    Components whose ids are equal or null are still different ones. Null, empty and blank texts are one
+    component with whatever is near fingerprint 0; repeated rows leave one. An empty table stays empty.
+    All columns of ``docs`` come back as they are, whatever they are called. ``docs`` is a table, see
+    :func:`rows.numbered`.
+    """
     rows = stored(_grouped(docs, id_col, text_col, distance).select("_row", "_id", "_root"), "near-groups")
     first = rows.groupBy("_root").agg(F.min_by("_row", F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_row"))
     return without_rows(docs, rows.join(first, "_row", "left_anti"))
