@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanset.functions.keys import free_name
+
 ROUNDS = 10
 #: Steps of a walk to the next value of the format; one in about nine lands outside of it.
 WALK = 24
@@ -25,8 +27,12 @@ NEAR = HALF_DAYS * HALF_DAYS
 BEFORE = date.fromisoformat(FIRST_DAY).toordinal() - 1 + 366
 FAR, FAR_LEFT, FAR_RIGHT = date.max.toordinal() + 366 - NEAR, 1899, 1900
 
-#: What a candidate of each kind looks like (Java patterns).
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
+#: Matches whose places are added up together: the work for a text grows with their number, not its square.
+RUN = 512
+
+#: What a candidate of each kind looks like (Java patterns). Every repeat of a group is bounded,
+#: as the matcher goes one call deeper for each; a host name has 127 labels at most.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IPV4 = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 CARD = (
@@ -269,7 +275,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
 
     A null text stays null and an empty one empty, with nothing found; a text without personal data
     is unchanged to the byte. Rows are independent: repeated rows come back alike, an empty table stays
-    empty. Every other column is passed through; one that is called like ``found`` is replaced. No shuffle.
+    empty. Every other column is passed through, whatever it is called; one that is called like ``found`` is
+    replaced. A text may be as long as a string can be, with any number of matches. No shuffle.
     """
     text = F.col(text_col)
     maybe = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
@@ -285,54 +292,61 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
         return F.struct(choice.alias("kind"), m.alias("old"), F.coalesce(*[o for _, o in options], m).alias("new"))
 
     kept = docs.drop(found_col) if found_col in docs.columns else docs
-    named = kept.withColumns(
-        {
-            "_matches": F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(none),
-        }
-    ).withColumns(
+    # Working columns, under names that the table does not have.
+    found, checked, between = (free_name(kept, name) for name in ("_matches", "_judged", "_between"))
+    named = kept.withColumn(found, F.when(maybe, F.regexp_extract_all(text, F.lit(CANDIDATE), 0)).otherwise(none))
+    named = named.withColumns(
         {
-            "_judged": F.transform("_matches", judged),
-            "_between": F.when(F.size("_matches") > 0, F.split(text, CANDIDATE, -1)).otherwise(none),
+            checked: F.transform(found, judged),
+            between: F.when(F.size(found) > 0, F.split(text, CANDIDATE, -1)).otherwise(none),
         }
     )
     new = F.array_join(
         F.zip_with(
-            "_between",
-            F.concat(F.transform("_judged", lambda j: j["new"]), F.array(F.lit(""))),
+            between,
+            F.concat(F.transform(checked, lambda j: j["new"]), F.array(F.lit(""))),
             lambda a, b: F.concat(a, b),
         ),
         "",
     )
-    spans = F.aggregate(
-        F.arrays_zip(
-            F.transform(F.slice("_between", F.lit(1), F.size("_matches")), lambda x: F.length(x)).alias("gap"), F.col("_judged").alias("item")
-        ),
-        F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<kind:string,start:int,length:int,pseudonym:string>>").alias("out"),
-        ),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.length(x["item"]["old"])).alias("at"),
-            F.when(x["item"]["kind"].isNull(), s["out"])
-            .otherwise(
-                F.concat(
-                    s["out"],
-                    F.array(
-                        F.struct(
-                            x["item"]["kind"].alias("kind"),
-                            (s["at"] + x["gap"]).alias("start"),
-                            F.length(x["item"]["old"]).alias("length"),
-                            x["item"]["new"].alias("pseudonym"),
-                        )
-                    ),
-                )
-            )
-            .alias("out"),
-        ),
+    items = F.arrays_zip(
+        F.transform(F.slice(between, F.lit(1), F.size(found)), lambda x: F.length(x)).alias("gap"), F.col(checked).alias("item")
+    )
+    changed = F.size(found) > 0
+    spans = F.when(changed, _let(items, _spans)).otherwise(F.array().cast(SPANS))
+    return named.withColumns({text_col: F.when(changed, new).otherwise(text), found_col: spans}).drop(found, checked, between)
+
+
+SPANS = "array<struct<kind:string,start:int,length:int,pseudonym:string>>"
+
+
+def _spans(items: Column) -> Column:
+    """Kind, start, length and pseudonym of the items that have a kind. An item is a match and the characters
+    between it and the one before. Places are added up in runs of :data:`RUN` items, and over the runs."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int"))
+    run = lambda i: F.slice(items, i * RUN + 1, F.lit(RUN))
+    size = lambda x: x["gap"] + F.length(x["item"]["old"])
+    sizes = F.transform(runs, lambda i: F.aggregate(run(i), F.lit(0), lambda n, x: n + size(x)))
+    begins = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
         lambda s: s["out"],
     )
-    changed = F.size("_matches") > 0
-    empty = F.array().cast("array<struct<kind:string,start:int,length:int,pseudonym:string>>")
-    return named.withColumns(
-        {text_col: F.when(changed, new).otherwise(text), found_col: F.when(changed, spans).otherwise(empty)}
-    ).drop("_matches", "_judged", "_between")
+
+    def add(s: Column, x: Column) -> Column:
+        item, start = x["item"], s["at"] + x["gap"]
+        span = F.struct(
+            item["kind"].alias("kind"),
+            start.alias("start"),
+            F.length(item["old"]).alias("length"),
+            item["new"].alias("pseudonym"),
+        )
+        more = F.when(item["kind"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(span)))
+        return F.struct((s["at"] + size(x)).alias("at"), more.alias("out"))
+
+    def spans_of(begin: Column, i: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast(SPANS).alias("out"))
+        return F.aggregate(run(i), start, add, lambda s: s["out"])
+
+    return F.flatten(F.zip_with(begins, runs, spans_of))
