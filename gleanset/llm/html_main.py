@@ -23,9 +23,13 @@ from pyspark.sql import types as T
 
 from gleanset.llm.rows import parts
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S
-)
+#: A comment, a declaration, or a tag. A value may be quoted, and a quote that does not begin a value is a
+#: character like any other. Nothing is tried twice: each part takes all it can and keeps it.
+OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+TOKEN = re.compile(OTHER + r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)>", re.S)
+#: The same without quoted values, for what follows a tag that would have no end with them.
+PLAIN = re.compile(OTHER + r"([^>]*+)>", re.S)
+STARTS = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -80,7 +84,7 @@ class Node:
     groups: frozenset
     texts: list = field(default_factory=list)  # (order, text)
     links: int = 0
-    role: str = ""
+    mixed: bool = False  # its names hold other words as well
 
 
 def tree(page: str) -> list[Node]:
@@ -89,11 +93,14 @@ def tree(page: str) -> list[Node]:
     Character references are decoded and white space inside a run is one space. Inline markup is part of
     the run, ``br`` is white space; a nested block ends a run. Missing end tags are implied as HTML has
     it; a stray end tag is ignored. Scripts, styles, comments, embedded media and parts with the attribute
-    ``hidden`` have no text; formulas have theirs, and so does what an ``object`` holds in its place.
+    ``hidden`` have no text; formulas have theirs, and so does what an ``object`` holds in its place. A tag
+    that the page breaks off is no text. The work grows with the page's length, whatever it holds.
     """
     nodes = [Node("html", -1, frozenset())]
     open_: list[tuple[str, int, bool]] = [("html", 0, False)]  # (tag, node or -1 for inline and hidden, unseen)
     owners = [0]  # the nodes among the open elements
+    where: dict[str, list[int]] = {}  # the places of each tag among them, so that none is looked for
+    blocks = [0]  # the places of blocks
     run: list[str] = []
     link = unseen = paragraphs = order = 0
 
@@ -119,41 +126,48 @@ def tree(page: str) -> list[Node]:
         nonlocal link, unseen, paragraphs
         while len(open_) > down_to:
             tag, node, dark = open_[-1]
-            if node >= 0:
+            if node >= 0 or tag in BLOCK:
                 flush()
+            if node >= 0:
                 owners.pop()
             link -= tag == "a"
             paragraphs -= tag == "p"
             unseen -= dark
             open_.pop()
+            where[tag].pop()
+            if blocks[-1] == len(open_):
+                blocks.pop()
+
+    def innermost(tags: frozenset) -> int:
+        return max((places[-1] for t in tags if (places := where.get(t))), default=0)
 
     def nearest(tags: frozenset, beyond: frozenset) -> int:
         """The innermost open element of ``tags`` if none of ``beyond`` is inside it; 0 if there is none."""
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] in tags:
-                return i
-            if open_[i][0] in beyond:
-                return 0
-        return 0
-
-    at = 0
-    while at < len(page):
-        match = TOKEN.search(page, at)
+        found = innermost(tags)
+        return found if found and found > innermost(beyond) else 0
+
+    at = begin = 0
+    end = page.rfind(">") + 1  # no tag ends beyond
+    token, unclosed = TOKEN, set()
+    while (at := page.find("<", at)) >= 0:
+        match = token.match(page, at)
         if match is None:
-            add(page[at:])
-            break
-        add(page[at : match.start()])
-        at = match.end()
+            if not STARTS.match(page, at):
+                at += 1  # a character like any other
+            elif at >= end:
+                break  # a tag that the page breaks off
+            else:
+                token = PLAIN
+            continue
+        add(page[begin:at])
+        at = begin = match.end()
         if match[2] is None:
             continue
         tag, attributes = match[2].lower(), match[3]
         if match[1]:
-            depth = len(open_) - 1
-            while depth and open_[depth][0] != tag:
-                if (open_[depth][1] >= 0 or open_[depth][0] in BLOCK) and tag not in BLOCK:
-                    depth = 0  # an inline end tag closes nothing beyond its block
-                    break
-                depth -= 1
+            depth = where[tag][-1] if where.get(tag) else 0
+            if blocks[-1] > depth and tag not in BLOCK:
+                depth = 0  # an inline end tag closes nothing beyond its block
             if depth:
                 pop(depth)
             elif tag == "p":
@@ -166,13 +180,15 @@ def tree(page: str) -> list[Node]:
                 add(" ")
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if end is None and tag != "textarea":
-                break  # the rest is inside it
-            if end is not None:
-                at = end.end()
+            closing = None if tag in unclosed else RAW_END[tag].search(page, at, end)
+            if closing is not None:
+                at = begin = closing.end()
                 continue
-        if tag == "html" or (tag == "body" and any(t == "body" for t, *_ in open_)):
+            if tag != "textarea":
+                begin = len(page)  # the rest is inside it
+                break
+            unclosed.add(tag)
+        if tag == "html" or (tag == "body" and where.get("body")):
             continue
         block = tag in BLOCK
         if block:
@@ -182,36 +198,52 @@ def tree(page: str) -> list[Node]:
         if tag in CLOSES:
             while depth := nearest(CLOSES[tag], SCOPE - CLOSES[tag]):
                 pop(depth)
-        groups, dark = NO_GROUPS, tag in UNSEEN
+        groups, mixed, dark = NO_GROUPS, False, tag in UNSEEN
         if attributes:
             if not block and attributes.rstrip().endswith("/"):
                 continue
             if "=" in attributes:
                 words = NAME.findall(" ".join((a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(attributes)).lower())
                 groups = frozenset(NAME_GROUP[w] for w in words if w in NAME_GROUP)
+                mixed = bool(groups) and any(w not in NAME_GROUP for w in words)
             if "hidden" in attributes.lower() and HIDDEN.search(VALUE.sub(" ", attributes)):
                 dark = True
         own = -1
-        if not dark and (block or groups):
+        if not dark and (block or groups) and len(owners) < DEEPEST:
             flush()
-            nodes.append(Node(tag, owners[-1], groups))
+            nodes.append(Node(tag, owners[-1], groups, mixed=mixed))
             own = len(nodes) - 1
             owners.append(own)
+        where.setdefault(tag, []).append(len(open_))
+        if own >= 0 or block:
+            blocks.append(len(open_))
         open_.append((tag, own, dark))
         link += tag == "a"
         paragraphs += tag == "p"
         unseen += dark
+    if at < 0:
+        add(page[begin:])
+    elif begin < at:
+        add(page[begin:at])
     pop(1)
     flush()
     return nodes
 
 
 P, NO_GROUPS = frozenset("p"), frozenset()
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in RAW}
+#: Elements farther down stand for their ancestor at this depth, as browsers have it; their text is its.
+DEEPEST = 512
 VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)")
 HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s/]|$)", re.I)
+#: Blocks that hold text and no other blocks.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th".split())
 STOP = re.compile(r"[.!?…](?: |$)")
 BOUNDARY = frozenset("nav header footer aside form control section main article".split())
-N_NODE = len(TAGS) + len(GROUPS) * 2 + 14
+INSIDE = ("article", "main")
+#: Features of a node besides its tag and its own and its ancestors' names.
+FIGURES = 17
+N_NODE = len(TAGS) + len(GROUPS) * 2 + FIGURES
 
 
 def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -224,8 +256,12 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     under, linked, paragraphs = own.copy(), links.copy(), np.array([x.tag == "p" for x in nodes], float)
     children = np.zeros(n)
     above: list[frozenset] = [frozenset()] * n
+    inside = np.zeros((n, len(INSIDE)))
     for i in range(1, n):
         p = nodes[i].parent
+        inside[i] = inside[p]
+        if nodes[p].tag in INSIDE:
+            inside[i, INSIDE.index(nodes[p].tag)] = 1
         depth[i] = depth[p] + 1
         children[p] += 1
         above[i] = above[p] | nodes[p].groups if nodes[p].groups else above[p]
@@ -246,7 +282,7 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         edge[i] = group in BOUNDARY or bool(node.groups)
     text = ["".join(t for _, t in node.texts) for node in nodes]
     stops = np.array([len(STOP.findall(t)) for t in text], float)
-    x[:, -14:] = np.stack(
+    x[:, -FIGURES:] = np.stack(
         [
             np.ones(n),
             own == 0,
@@ -262,6 +298,8 @@ def features(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             ["©" in t for t in text],
             np.minimum(depth, 10) / 5,
             np.arange(n) / n,
+            *inside.T,
+            [node.mixed and node.tag in LEAVES for node in nodes],
         ],
         axis=1,
     )

@@ -8,10 +8,11 @@ taken away before features are computed. Words are invented, so nothing can be l
 from __future__ import annotations
 
 import random
+from functools import cache
 
 import numpy as np
 
-from gleanset.llm.html_main import Node, TreeModel, fit, tree
+from gleanset.llm.html_main import NAME_GROUP, Node, TreeModel, fit, tree
 
 #: Pages that the model is trained on.
 PAGES = 400
@@ -98,18 +99,31 @@ class Writer:
     def share(self) -> str:
         return f"{self.named('div', ('share', 'social', 'share-buttons', 'follow', 'tags', 'meta'), 1)}{self.r.choice((self.words(1, 4), f'<ul>{self.links(3)}</ul>'))}</div>"
 
+    def opening(self) -> str:
+        """The article's heading, now and then in a header of its own with a line below."""
+        title = f"<h1>{MARK}{self.words(1, 12)}{self.r.choice(('', '.'))}</h1>"
+        if self.r.random() < 0.75:
+            return title
+        lead = f"<p>{MARK}{self.sentence(3, 20)}</p>" if self.r.random() < 0.5 else ""
+        return f"{self.named('header', ('entry-header', 'post-header', 'article-header', 'header'), 0.5)}{title}{lead}</header>"
+
     def article(self) -> str:
         """Content blocks, each marked, with now and then something foreign between them. In some pages
         sentences do not end as they should."""
         self.plain = self.r.random() < 0.85
-        out = [f"<h1>{MARK}{self.words(1, 12)}{self.r.choice(('', '.'))}</h1>"] if self.r.random() < 0.85 else []
+        out = [self.opening()] if self.r.random() < 0.85 else []
         if self.r.random() < 0.15:  # a very short article
             title = self.sentence(1, 3)
             return f"<h1>{MARK}{title}</h1><p>{MARK}{self.r.choice((title, self.sentence(1, 4)))}</p>"
         foreign = (self.advert, self.share, self.side, self.notice, self.form)
         for _ in range(self.r.choice((1, 2, 3, 5, 8, 13, 20))):
             kind = self.r.random()
-            if kind < 0.7:
+            if kind < 0.05:  # names that hold a word of other parts by chance
+                tag = self.r.choice(("p", "p", "p", "h2", "blockquote", "pre"))
+                name = self.r.choice(tuple(NAME_GROUP))
+                name = self.r.choice((f"{name}-{self.words(1, 1).lower()}", f"{self.words(1, 1).lower()}-{name}", f"{self.words(1, 1).lower()}_{name}"))
+                out.append(f'<{tag} class="{name}">{MARK}{self.paragraph()}</{tag}>')
+            elif kind < 0.7:
                 out.append(f"<p>{MARK}{self.paragraph() if self.r.random() < 0.85 else self.sentence(1, 3)}</p>")
             elif kind < 0.8:  # a short block, an open inline element, no end tag
                 out.append(self.r.choice((f"<p>{MARK}{self.words(1, 2)}.</p>", f"<p><b>{MARK}{self.paragraph()}<br>", f"<p>{MARK}{self.paragraph()}")))
@@ -119,6 +133,12 @@ class Writer:
                 out.append("<ul>" + "".join(f"<li>{MARK}{self.sentence(2, 12)}</li>" for _ in range(self.r.randint(2, 5))) + "</ul>")
             elif kind < 0.93:
                 out.append(f"<blockquote>{MARK}{self.paragraph()}</blockquote>")
+            elif kind < 0.94:
+                out.append(
+                    self.r.choice(
+                        (f"<pre>{MARK}{self.paragraph()}</pre>", f"<figure><img src=x><figcaption>{MARK}{self.sentence(2, 12)}</figcaption></figure>")
+                    )
+                )
             elif kind < 0.95:
                 out.append(f"<table><tr><td>{MARK}{self.words(1, 5)}</td><td>{MARK}{self.words(1, 5)}</td></tr></table>")
             else:
@@ -162,7 +182,8 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray]:
     return nodes, label
 
 
+@cache
 def trained(pages: int = PAGES, seed: int = 42) -> TreeModel:
-    """The same model for the same number and seed."""
+    """The same model for the same number and seed, trained once a process."""
     writer = Writer(seed)
     return fit([labelled(writer.page()) for _ in range(pages)])
