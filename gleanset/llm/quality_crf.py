@@ -18,14 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanset.llm.rows import parts
+from gleanset.functions.keys import free_name
+from gleanset.llm.rows import parts, stored
 
-#: Training documents and lines of one of them at most; a longer document is not trained on.
-TRAIN_DOCS, TRAIN_LINES = 4000, 2000
+#: Training documents, lines of one of them, and lines of all of them at most (about 1 KB each on the driver); a
+#: document of more lines is not trained on, and the last documents in the order of the hash give way.
+TRAIN_DOCS, TRAIN_LINES, TRAIN_TOTAL = 4000, 2000, 300_000
 #: Folds of documents by crc32 of the id, and the one that is never trained on.
 FOLDS, HELD_OUT = 4, 2
-#: Lines of padded sequences that are passed over at a time.
-PADDED = 100_000
+#: Lines of padded sequences that are passed over at a time, and lines that are expanded at a time.
+PADDED, EXPANDED = 100_000, 50_000
+#: A document of more lines is passed over in blocks, all of them side by side.
+LONG_LINES = 4096
+#: Characters of a text that are measured at a time.
+PIECE = 1_000_000
+#: The features that say how often a line occurs in its document, and those that grow with a line.
+TIMES, GROWING, LONGEST = (20, 21), (8, 9, 15), 12
 
 # Upper, lower, digit, space, punctuation, symbol, beyond ASCII, line feed.
 CLASSES = np.full(256, 5, np.uint8)
@@ -47,7 +55,67 @@ def _mixed(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
 
 def features_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text a row of features per line, and the lines' lengths in characters (1 at least).
-    All lines of all texts are measured together."""
+
+    All lines of all texts are measured together, those of a long text piece by piece.
+    """
+    short = [i for i, t in enumerate(texts) if len(t) <= PIECE]
+    made: list = [None] * len(texts)
+    if short:
+        out, length, whole, lines_of = _measured([texts[i] for i in short])
+        _add_times(out, whole, np.repeat(np.arange(len(short)), lines_of), length)
+        for i, b, n in zip(short, np.cumsum(lines_of), lines_of):
+            made[i] = (out[b - n : b], length[b - n : b].astype(np.float64))
+    for i, text in enumerate(texts):
+        if made[i] is None:
+            out, length, whole = (np.concatenate(c) for c in zip(*_pieces(text)))
+            _add_times(out, whole, np.zeros(len(out), np.int64), length)
+            made[i] = (out, length.astype(np.float64))
+    return made
+
+
+def _pieces(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A long text's lines, measured some at a time; a line that is longer than a piece by itself."""
+    at = 0
+    while at <= len(text):
+        end = len(text) if len(text) - at <= PIECE else text.rfind("\n", at, at + PIECE)
+        if end < 0:
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            yield _long_line(text[at:end])
+        else:
+            yield _measured([text[at:end]])[:3]
+        at = end + 1
+
+
+def _long_line(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A very long line, in parts cut at a space where there is one: counts are added up, shares and means are
+    those of the parts, weighted by their length."""
+    at, rows, lengths, whole = 0, [], [], np.zeros(1, np.uint64)
+    while at < len(line):
+        end = min(at + PIECE, len(line))
+        if end < len(line) and (space := line.rfind(" ", at + 1, end)) > 0:
+            end = space
+        row, length, own, _ = _measured([line[at:end]])
+        rows.append(row[0])
+        lengths.append(length[0])
+        whole = _mixed(whole, own)
+        at = end
+    rows, lengths = np.array(rows), np.array(lengths)
+    out = np.average(rows, axis=0, weights=lengths)
+    out[list(GROWING)] = np.log1p(np.expm1(rows[:, GROWING].astype(float)).sum(axis=0))
+    out[LONGEST] = rows[:, LONGEST].max()
+    return out[None].astype(np.float32), np.array([lengths.sum()]), whole
+
+
+def _add_times(out: np.ndarray, whole: np.ndarray, doc: np.ndarray, length: np.ndarray) -> None:
+    """How often each line occurs in its document; an empty one does not count."""
+    _, at, copies = np.unique(_mixed(whole, doc), return_inverse=True, return_counts=True)
+    times = np.where(out[:, 0] == 0, copies[at], 0)
+    out[:, TIMES[0]], out[:, TIMES[1]] = times > 1, np.log1p(times)
+
+
+def _measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines of the texts but for their times, lengths, hashes, and the lines of each text."""
     data = np.frombuffer("\n".join(texts).encode(), np.uint8)
     kind = CLASSES[data]
     breaks = np.flatnonzero(kind == 7)
@@ -87,9 +155,6 @@ def features_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         return np.bincount(owner[at], minlength=n_lines)
 
     lines_of = np.array([t.count("\n") + 1 for t in texts])
-    doc = np.repeat(np.arange(len(texts)), lines_of)
-    _, at, copies = np.unique(_mixed(whole, doc), return_inverse=True, return_counts=True)
-    times = np.where(size > 0, copies[at], 0)
     longest = np.zeros(n_lines)
     if len(first):
         begins = np.flatnonzero(np.diff(of, prepend=-1))
@@ -114,15 +179,13 @@ def features_of(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             mean(width == 1),
             mean(kind[first] == 0),
             mean((tail == 4) | (tail == 5)),
-            times > 1,
-            np.log1p(times),
+            np.zeros(n_lines),
+            np.zeros(n_lines),
             (kinds > 0).sum(axis=1),
         ],
         axis=1,
     ).astype(np.float32)
-    ends = np.cumsum(lines_of)
-    length = np.maximum(1, chars).astype(np.float64)
-    return [(out[b - n : b], length[b - n : b]) for b, n in zip(ends, lines_of)]
+    return out, np.maximum(1, chars), whole, lines_of
 
 
 @dataclass
@@ -165,12 +228,59 @@ class LineCrf:
             pairs += np.where(live[:, :, None], np.exp(np.minimum(joint, 0)), 0).sum(axis=0)
         return np.exp(np.minimum(0, forward[..., 1] + backward[..., 1] - total[:, None])), pairs, total
 
+    def unary(self, lines: np.ndarray) -> np.ndarray:
+        """The potential for good of every line of a document, some lines at a time."""
+        out = np.zeros(len(lines))
+        for a in range(0, len(lines), EXPANDED):
+            low, high = max(0, a - 1), min(len(lines), a + EXPANDED + 1)
+            some = self.expand(lines[low:high]) @ self.weights
+            out[a : a + EXPANDED] = some[a - low : a - low + EXPANDED]
+        return out
+
+    def long_marginals(self, unary: np.ndarray) -> np.ndarray:
+        """The marginal of good for every line of one long document.
+
+        The chain is cut into blocks. The steps inside all blocks are multiplied up side by side, as 2 x 2
+        products forward and backward; then one pass over the blocks joins them.
+        """
+        n, never = len(unary), -1e30
+        width = int(np.ceil(np.sqrt(n)))
+        blocks = -(-n // width)
+        same = np.array([[0.0, never], [never, 0.0]])
+        links = np.broadcast_to(same, (blocks * width, 2, 2)).copy()
+        links[:n] = self.step
+        links[:n, :, 1] += unary[:, None]
+        links[0] = [[0.0, unary[0]], [never, never]]  # nothing comes before the first line
+        links = links.reshape(blocks, width, 2, 2)
+
+        def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return _logsum(a[..., :, :, None] + b[..., None, :, :], -2)
+
+        ahead, behind = np.empty_like(links), np.empty_like(links)
+        ahead[:, 0], behind[:, -1] = links[:, 0], same
+        for t in range(1, width):
+            ahead[:, t] = product(ahead[:, t - 1], links[:, t])
+            behind[:, -t - 1] = product(links[:, -t], behind[:, -t])
+        start, stop = np.zeros((blocks, 2)), np.zeros((blocks, 2))
+        start[0] = [0.0, never]
+        for b in range(1, blocks):
+            start[b] = _logsum(start[b - 1][:, None] + ahead[b - 1, -1], 0)
+        for b in range(blocks - 2, -1, -1):
+            stop[b] = _logsum(ahead[b + 1, -1] + stop[b + 1][None], 1)
+        forward = _logsum(start[:, None, :, None] + ahead, 2)
+        both = forward + _logsum(behind + stop[:, None, None, :], 3)
+        good = np.exp(np.minimum(0, both[..., 1] - _logsum(both, 2)))
+        return good.reshape(-1)[:n]
+
     def document_means(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Length-weighted mean marginal of each document's lines."""
         out = np.zeros(len(documents))
         counts = np.array([len(d[0]) for d in documents], np.int64)
         order = np.argsort(counts, kind="stable")
         start = 0
+        while len(order) and counts[order[-1]] > LONG_LINES:
+            i, order = order[-1], order[:-1]
+            out[i] = np.average(self.long_marginals(self.unary(documents[i][0])), weights=documents[i][1])
         while start < len(order):
             stop = start + 1
             while stop < len(order) and (stop + 1 - start) * counts[order[stop]] <= PADDED:
@@ -179,7 +289,7 @@ class LineCrf:
             n = counts[some]
             unary = np.zeros((len(some), n[-1]))
             for row, i in zip(unary, some):
-                row[: counts[i]] = self.expand(documents[i][0]) @ self.weights
+                row[: counts[i]] = self.unary(documents[i][0])
             good = self.marginals(unary, n)[0]
             for p, i in zip(good, some):
                 out[i] = np.average(p[: counts[i]], weights=documents[i][1])
@@ -261,9 +371,15 @@ def train(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "quality",
+    train_total: int = TRAIN_TOTAL,
 ) -> LineCrf | float:
     """A model from at most ``train_docs`` labelled documents outside the held-out fold, the first in
-    the order of the id's hash. Without two classes among them: the share of good ones (0.5 if none)."""
+    the order of the id's hash, of fewer than ``train_lines`` lines each and ``train_total`` together.
+
+    Without two classes among them: the share of good ones (0.5 if none). A label or id that is null is
+    left out; an id with several labels has the largest; rows of a repeated id are documents of their own.
+    The features are written to the shared folder, and only the chosen documents' come to the driver.
+    """
     chosen = (
         labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("_id"))
@@ -281,22 +397,28 @@ def train(
             texts_ = batch.column(1).to_pylist()
             made = [m for a, b in parts(texts_) for m in features_of(texts_[a:b])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2)]
+                [batch.column(0), batch.column(2), pa.array([len(n) for _, n in made], pa.int64())]
                 + [pa.array([f.tobytes() for f, _ in made], pa.binary())]
                 + [pa.array([n.tobytes() for _, n in made], pa.binary())],
-                ["_id", "_label", "_lines", "_lengths"],
+                ["_id", "_label", "_n", "_lines", "_lengths"],
             )
 
     schema = T.StructType(
         [texts.schema["_id"], T.StructField("_label", texts.schema["_label"].dataType)]
-        + [T.StructField("_lines", T.BinaryType()), T.StructField("_lengths", T.BinaryType())]
+        + [T.StructField("_n", T.LongType()), T.StructField("_lines", T.BinaryType()), T.StructField("_lengths", T.BinaryType())]
     )
-    # Repeated ids could be many rows: the order and limit hold for documents too.
-    found = texts.select("_id", "_text", "_label").mapInArrow(extract, schema)
-    sample = found.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_lines")).limit(train_docs).collect()
+    # Repeated ids could be many rows: the order and limits hold for documents too.
+    found = stored(texts.select("_id", "_text", "_label").mapInArrow(extract, schema), "training-lines")
+    place = [F.xxhash64("_id").alias("_at"), "_id", F.xxhash64("_lines").alias("_own")]
+    sizes = found.select(*place, "_n").orderBy("_at", "_id", "_own").limit(train_docs).collect()
+    taken = int(np.searchsorted(np.cumsum([r["_n"] for r in sizes]), train_total, "right"))
+    if not taken:
+        return 0.5
+    upto = found.select("*", *place[::2]).filter(F.col("_at") <= sizes[taken - 1]["_at"])
+    sample = upto.orderBy("_at", "_id", "_own").limit(taken).collect()
     y = np.array([float(r["_label"]) for r in sample])
     if len(set(y)) < 2:
-        return float(y.mean()) if len(y) else 0.5
+        return float(y.mean())
     features = [np.frombuffer(r["_lines"], np.float32).reshape(-1, N_FEATURES) for r in sample]
     return fit(features, [np.frombuffer(r["_lengths"], np.float64) for r in sample], y)
 
@@ -306,7 +428,8 @@ def with_scores(docs: DataFrame, model: LineCrf | float, text_col: str = "text",
 
     A null text counts as empty; an empty text is one empty line. Rows are independent, so repeated
     rows score alike; an empty table stays empty; every other column is passed through, and one that is
-    called like the score is replaced.
+    called like the score is replaced. A text may be as long as a string can be: it is measured in pieces of
+    :data:`PIECE` characters, and needs memory for a row of features a line.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(score_col)
@@ -329,6 +452,11 @@ def with_scores(docs: DataFrame, model: LineCrf | float, text_col: str = "text",
 def drop_low_quality(
     docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_col: str = "text", **train_options
 ) -> DataFrame:
-    """``docs`` that score ``threshold`` or more."""
-    scored = with_scores(docs, train(docs, labels, text_col=text_col, **train_options), text_col, "_quality")
-    return scored.filter(F.col("_quality") >= threshold).select(*docs.columns)
+    """``docs`` that score ``threshold`` or more, by :func:`train` and :func:`with_scores`.
+
+    A null text is judged as an empty one; repeated rows stay or go alike; an empty table stays empty. All
+    columns come back as they are, whatever they are called.
+    """
+    score = free_name(docs, "_quality")
+    scored = with_scores(docs, train(docs, labels, text_col=text_col, **train_options), text_col, score)
+    return scored.filter(F.col(score) >= threshold).drop(score)
