@@ -2,10 +2,11 @@
 
 A window is ten consecutive words of a benchmark item (a shorter item is one window). A document that
 holds a window holds each of its shingles, so it is enough to join one of them, and the rarest one
-costs least: the prefix of a containment of 1 is a single token in the order of rarity. The shingles of
-the benchmark are counted over all documents, every window is filed under its rarest shingle, and
-only documents' occurrences of such shingles are joined. The window's place follows from the shingle's;
-it must lie within the document, and its words are compared one by one.
+costs least: the prefix of a containment of 1 is a single token in the order of rarity. One pass over all
+documents notes where they hold shingles of the benchmark. From that these are counted, every window is
+filed under its rarest one, and only its places are joined. The window's place follows from the shingle's;
+it must lie within the document, and its words are compared one by one, in a second look at those
+documents alone.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleanset.llm.rows import numbered, stored, without_rows
+from gleanset.llm.rows import BROADCAST_IDS, numbered, stored, without_rows
 
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 10, 5
 #: The filter that goes to all tasks: bits per shingle, and bits at most (16 MB); joins decide exactly.
 FILTER_BITS, MOST_BITS, PROBES = 32, 1 << 27, 3
-#: Candidates in a row at most, and different words whose hash is remembered.
+#: Places in a row at most, and different words whose hash is remembered.
 ROW_CANDIDATES, KNOWN = 500, 500_000
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -129,67 +130,91 @@ def _windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(cut, schema)
 
 
-def _counts(rows: DataFrame, bits, sizes: list[int]) -> DataFrame:
-    """How often the filter's shingles occur in all documents: partial counts of each task, added up."""
+def _places(rows: DataFrame, bits, sizes: list[int]) -> DataFrame:
+    """Per document ``_row``, ``_id``, ``_n_words`` and its places that the filter lets through, by shingle;
+    further rows of a document carry more places and no word count. The only pass over all texts."""
+    place = T.StructType([T.StructField("_shingle", T.LongType()), T.StructField("_at", T.LongType())])
+    schema = T.StructType(
+        [rows.schema["_row"], rows.schema["_id"], T.StructField("_n_words", T.LongType())]
+        + [T.StructField("_found", T.ArrayType(place))]
+    )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = []
-            for text in batch.column(0):
+            owner, counts, sizes_, shingle, places = [], [], [], [], []
+            for i, text in enumerate(batch.column(2)):
                 hashes = known.of(words_of(text.as_buffer().to_pybytes()))
+                grams, at = [], []
                 for size in sizes:
-                    grams = shingles(hashes, size)
-                    found.append(grams[bits.value.holds(grams)])
-            if found:
-                grams, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["_shingle", "_n"])
+                    own = shingles(hashes, size)
+                    held = bits.value.holds(own)
+                    grams.append(own[held])
+                    at.append(held)
+                n = sum(map(len, at))
+                shingle += grams
+                places += at
+                for first in range(0, max(1, n), ROW_CANDIDATES):
+                    owner.append(i)
+                    counts.append(None if first else len(hashes))
+                    sizes_.append(min(n - first, ROW_CANDIDATES))
+            if not owner:
+                continue
+            found = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.concatenate([np.zeros(0, U64), *shingle]).view(np.int64)),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *places]).astype(np.int64)),
+                ],
+                ["_shingle", "_at"],
+            )
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes_)]).astype(np.int32))
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array(counts, pa.int64()),
+                    pa.ListArray.from_arrays(ends, found),
+                ],
+                schema.names,
+            )
 
-    counted = rows.select("_text").mapInArrow(count, "_shingle long, _n long")
-    return counted.groupBy("_shingle").agg(F.sum("_n").alias("_n"))
+    return rows.mapInArrow(find, schema)
 
 
-def _candidates(rows: DataFrame, bits, sizes: list[int]) -> DataFrame:
-    """Per document ``_row``, ``_id``, ``_n_words`` and its places that the filter lets through, each
-    with the words around it; further rows of a document carry more places and no word count."""
-    around = WINDOW - 1
+def _verified(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Per row with a window to look for (``_list`` of start, width, words and items): ``spans``, those that
+    are there word by word, and ``items``, the items they are of."""
+    ids = wanted.select("_row")
+    if wanted.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    # The few documents that are meant are found first, so that the others do not travel.
+    texts = rows.join(ids, "_row", "left_semi").select("_row", "_text").join(wanted, "_row")
     schema = T.StructType(
-        [rows.schema["_row"], rows.schema["_id"], T.StructField("_n_words", T.LongType())]
-        + [
-            T.StructField(
-                "_found",
-                T.ArrayType(
-                    T.StructType(
-                        [T.StructField("_shingle", T.LongType()), T.StructField("_at", T.LongType())]
-                        + [T.StructField("_from", T.LongType()), T.StructField("_near", T.ArrayType(T.StringType()))]
-                    )
-                ),
-            )
-        ]
+        [rows.schema["_row"], T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
     )
-    place = pa.struct([("_shingle", pa.int64()), ("_at", pa.int64()), ("_from", pa.int64()), ("_near", pa.list_(pa.string()))])
+    span = pa.struct([("_start", pa.int64()), ("_width", pa.int64())])
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for row, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            out: list[list] = [[], [], []]
+            for row, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = words_of(text.as_buffer().to_pybytes())
-                hashes, found = known.of(words), []
-                for size in sizes:
-                    grams = shingles(hashes, size)
-                    for at in bits.value.holds(grams).tolist():
-                        start = max(0, at - around)
-                        near = [w.decode() for w in words[start : at + WINDOW]]
-                        found.append({"_shingle": int(grams[at].view(np.int64)), "_at": at, "_from": start, "_near": near})
-                for first in range(0, max(1, len(found)), ROW_CANDIDATES):
-                    some = found[first : first + ROW_CANDIDATES]
-                    for column, value in zip(out, (row, key, None if first else len(words), some)):
+                spans, items = set(), set()
+                for one in listed.as_py():
+                    start, width = one["_start"], one["_width"]
+                    if start >= 0 and b" ".join(words[start : start + width]) == one["_words"].encode():
+                        spans.add((start, width))
+                        items.update(one["_items"])
+                if spans:
+                    ordered = [{"_start": a, "_width": n} for a, n in sorted(spans)]
+                    for column, value in zip(out, (row, ordered, sorted(items))):
                         column.append(value)
-            types = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.list_(place)]
+            types = [pa.int64(), pa.list_(span), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], schema.names)
 
-    return rows.mapInArrow(find, schema)
+    return texts.select("_row", "_text", "_list").mapInArrow(check, schema)
+
+
+SPAN = T.StructType([T.StructField("_start", T.LongType()), T.StructField("_width", T.LongType())])
 
 
 def find_contamination(
@@ -218,9 +243,12 @@ def find_contamination(
     text = F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")
     rows = numbered(docs.select(F.col(id_col).alias("_id"), text.alias("_text"))).select("_row", "_id", "_text")
 
-    filter_all = spark.sparkContext.broadcast(ShingleFilter(grams, grams.count()))
-    rarity = stored(grams.join(_counts(rows, filter_all, sizes), "_shingle", "left"), "rarity")
+    bits = spark.sparkContext.broadcast(ShingleFilter(grams, grams.count()))
+    found = stored(_places(rows, bits, sizes), "places")
+    counts = found.select(F.explode("_found._shingle").alias("_shingle")).groupBy("_shingle").agg(F.count(F.lit(1)).alias("_n"))
+    rarity = stored(grams.join(counts, "_shingle", "left"), "rarity")
     distinct = windows.groupBy("_words", "_width", "_grams").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
+    # A window is filed under its rarest shingle.
     prefix = stored(
         distinct.select("*", F.explode("_grams").alias("_gram"))
         .select("*", "_gram.*")
@@ -231,28 +259,16 @@ def find_contamination(
                 F.struct("_shingle", "_offset", "_items"), F.struct(F.coalesce("_n", F.lit(0)), "_shingle", "_offset")
             ).alias("_anchor")
         )
-        .select("_words", "_width", "_anchor.*"),
+        .select("_words", F.col("_width").cast("long").alias("_width"), "_anchor.*"),
         "prefix",
     )
-    anchors = prefix.select("_shingle").distinct()
-    filter_prefix = spark.sparkContext.broadcast(ShingleFilter(anchors, anchors.count()))
-
-    found = stored(_candidates(rows, filter_prefix, sizes), "candidates")
-    start = F.col("_at") - F.col("_offset")
-    match = (
-        found.filter(F.size("_found") > 0)
-        .select("_row", F.inline("_found"))
+    wanted = (
+        found.select("_row", F.inline("_found"))
         .join(prefix, "_shingle")
-        .withColumn("_start", start)
-        .filter("_start >= _from")  # the window begins in the document (its context reaches far enough back)
-        .withColumn("_text", F.slice("_near", (F.col("_start") - F.col("_from") + 1).cast("int"), F.col("_width")))
-        .filter((F.size("_text") == F.col("_width")) & (F.array_join("_text", " ") == F.col("_words")))
         .groupBy("_row")
-        .agg(
-            F.sort_array(F.collect_set(F.struct("_start", F.col("_width").cast("long").alias("_width")))).alias("spans"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("items"),
-        )
+        .agg(F.collect_list(F.struct((F.col("_at") - F.col("_offset")).alias("_start"), "_width", "_words", "_items")).alias("_list"))
     )
+    match = _verified(rows, stored(wanted, "windows-to-verify"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
