@@ -218,10 +218,11 @@ class Scanner:
                     n, first, last = hit
                     found.append((n * n / (last - first + 1), n / len(self.templates[name]), name, first, last))
         out: list[tuple[str, int, int, float]] = []
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # stretches apart from each other, in order
         for _, share, name, first, last in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-            if all(last < x or first > y for x, y in taken):
-                taken.append((first, last))
+            i = bisect_left(taken, (first, last))
+            if (i == 0 or taken[i - 1][1] < first) and (i == len(taken) or taken[i][0] > last):
+                taken.insert(i, (first, last))
                 out.append((name, start[first], stop[last], share))
         return sorted(out, key=lambda f: (f[1], f[0]))
 
