@@ -213,11 +213,11 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            listed = batch.column(2)
-            for i, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            for row, text, listed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 text = memoryview(text.as_buffer())
-                for one in listed[i].as_py():
-                    yield row, one["first"], one["h"], bytes(text[one["first"] : one["last"] + length])
+                h, first, last = (listed.values.field(name).to_numpy() for name in ("h", "first", "last"))
+                for one, a, b in zip(h, first, last):
+                    yield row, a, one, bytes(text[a : b + length])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _segment_batches(rows(batches))
@@ -353,31 +353,25 @@ def without_repeats(
         + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
         + [T.StructField("spans", T.ArrayType(SPAN)), T.StructField("kept", T.BinaryType())]
     )
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def cut(text: memoryview, spans: list[dict] | None) -> tuple:
-        merged = []
-        for start, end in sorted((s["start"], s["end"]) for s in spans or []):
-            if merged and start <= merged[-1]["end"]:
-                merged[-1]["end"] = max(merged[-1]["end"], end)
-            else:
-                merged.append({"start": start, "end": end})
-        edges = [0, *(x for s in merged for x in (s["start"], s["end"])), len(text)]
-        kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-        return len(text), len(text) - len(kept), len(merged), merged, kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts, listed = batch.column(1), batch.column(2)
             sizes = [t.as_buffer().size for t in texts]
             for a, b in parts(sizes, sizes):
-                spans = batch.column(2).slice(a, b - a).to_pylist()
-                made = [cut(memoryview(t.as_buffer()), s) for t, s in zip(texts.slice(a, b - a), spans)]
-                n_bytes, removed, n, merged, kept = (list(c) for c in zip(*made))
+                kept, found = [], []
+                for text, spans in zip(texts.slice(a, b - a), listed.slice(a, b - a)):
+                    found.append(maximal(spans.values))
+                    kept.append(outside(memoryview(text.as_buffer()), *found[-1]))
+                n_bytes, count = np.array(sizes[a:b]), np.array([len(s) for s, _ in found])
+                start, end = (np.concatenate(c) for c in zip(*found))
+                flat = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()),
-                        pa.array(n, pa.int64()), pa.array(merged, span_type), pa.array(kept, pa.binary()),
+                        batch.column(0).slice(a, b - a), pa.array(n_bytes, pa.int64()),
+                        pa.array(n_bytes - np.array([len(k) for k in kept]), pa.int64()), pa.array(count, pa.int64()),
+                        pa.ListArray.from_arrays(ends, flat), pa.array(kept, pa.binary()),
                     ],
                     schema.names,
                 )
@@ -386,4 +380,21 @@ def without_repeats(
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def maximal(spans: pa.StructArray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal ranges that (start, end) ranges cover."""
+    if spans is None or not len(spans):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start, end = (spans.field(name).to_numpy() for name in ("start", "end"))
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return start[new], reach[np.append(new[1:], len(start)) - 1]
+
+
+def outside(text: memoryview, start: np.ndarray, end: np.ndarray) -> bytes:
+    """The bytes of a text that lie in none of the ranges."""
+    edges = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
