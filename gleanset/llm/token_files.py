@@ -166,8 +166,9 @@ def write_store(
 ) -> None:
     """Encode every whole text, append ``end_id``, and write a store to the new folder ``path``.
 
-    Documents are in ascending order of the id (null first), then of the text's hash and the text, so
-    repeated ids and rows have a defined order and one id with very many rows is split over shards. A
+    Documents are in ascending order of the id (null first), then of the text's hash, then as the table is
+    read, so repeated ids and rows have a defined order, and one id, or one row, that is there very many
+    times is split over shards. ``docs`` is a table, see :func:`rows.numbered`. A
     null or empty text is ``end_id`` alone; an empty table gives a store without shards; other columns
     are not read. ``path`` is a shared folder. A shard appears by rename when it is complete, so a
     task that is lost or runs twice leaves no half shard.
@@ -177,8 +178,9 @@ def write_store(
     files, root = _files(path)
     files.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text")
+    # The number of a row parts what nothing else does: one row repeated without limit is split as well.
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row")
     key = rows.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("shard", T.IntegerType()), T.StructField("n_docs", T.LongType())]
