@@ -321,6 +321,8 @@ def manifest(
         leaf_of([F.col(c) for c in columns]).alias("_leaf"),
         leaf_of(list(now.values())).alias("_seen"),
     )
+    # Written first: the range shuffle looks at its rows twice, and texts are hashed once.
+    rows = stored(rows, "leaf-rows")
     leaves = stored(_placed(rows, "_group_key", ["_id", "_leaf", "_row"], "leaves"), "placed-leaves")
     # The trees: one row per group, numbered in the order of the groups.
     groups = leaves.groupBy("_group_key").agg(F.count(F.lit(1)).alias("_size"))
