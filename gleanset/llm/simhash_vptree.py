@@ -23,8 +23,10 @@ from pyspark.sql import types as T
 from gleanset.llm.components import components
 from gleanset.llm.rows import numbered, parts, stored, without_rows
 
-#: Fingerprints wanted in a shard; a shard with more is dealt over pairs of blocks of this size.
+#: Fingerprints wanted in a shard; a shard with more than two of these is dealt over pairs of blocks of this size.
 SHARD = 65_536
+#: Shards wanted for each core where that takes smaller ones, and the smallest that are worth it.
+PER_CORE, SMALL = 2, 16_384
 #: Fingerprints that choose vantage points (about), and the levels of the tree at most.
 SAMPLE, LEVELS = 100_000, 16
 #: The share of a node's fingerprints that each side gets about, those sent to both sides included.
@@ -176,8 +178,10 @@ def links(prints: DataFrame, distance: int = 3, shard: int = SHARD) -> DataFrame
     total = prints.count()
     every = max(1, ceil(total / SAMPLE))
     sample = prints.filter(F.pmod(F.xxhash64("_print"), F.lit(every)) == 0).toPandas()["_print"]
+    # Fewer fingerprints than fill a shard for every core are dealt to smaller ones, so that all cores search.
+    shards = max(total / shard, min(PER_CORE * spark.sparkContext.defaultParallelism, total / SMALL))
     tree = spark.sparkContext.broadcast(
-        VantageTree(np.sort(sample.to_numpy(np.int64)).view(np.uint64), total / shard, distance)
+        VantageTree(np.sort(sample.to_numpy(np.int64)).view(np.uint64), shards, distance)
     )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
