@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; its result is written and
-read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+read again as the next one's ``docs``, as the stages number the rows of a table. All but the last return the
+columns of ``docs`` with the values they had, whatever they are called and however many there are.
+
+A null text counts as an empty one in every stage. Repeated ids, null ids and repeated rows are rows of their
+own until their texts make them copies. An empty table goes through every stage.
 """
 
 from __future__ import annotations
@@ -16,27 +20,30 @@ from gleanset.llm.rows import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.7 or more."""
+    """Documents whose quality score is 0.7 or more; an empty text is judged like any other."""
     return quality_crf.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
+    """One document of each group of equal texts (A-Z lower-cased), the one with the largest id; of equal ids the
+    last row, and a null id is smaller than any other. Null and empty texts are one group."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, the one with the smallest id."""
+    """One document of each component of near duplicates, the one with the smallest id; of equal ids the first
+    row, and a null id comes last. Texts without a word are one component."""
     return simhash_vptree.drop_near_copies(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; an empty benchmark takes none away."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, packed into sequences; the ids are given by their checksum."""
+    """Pieces of documents, packed into sequences; the ids are given by their checksum. An empty text is a piece
+    of one id."""
     return packing.pack_documents(docs).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
