@@ -21,7 +21,7 @@ from gleanset.functions import text as tx
 from gleanset.operators import combine, dedup, ranking, sampling
 from gleanset.operators.observed import StageCounts
 from gleanset.operators.profile import stage_funnel
-from gleanset.sources.readers import read_csv, read_dataset
+from gleanset.sources.readers import DATASET_SCHEMA, Checked, check_csv, check_instructions, read_csv, read_dataset
 from gleanset.sources.writers import write_shuffled
 
 
@@ -176,13 +176,13 @@ def build_dataset(
     )
 
 
-def write_dataset(dataset: DataFrame, path: str, seed: int = fixed.SEED, files: int | None = None) -> None:
+def write_dataset(dataset: DataFrame, path: str, seed: int = fixed.SEED, files: int = 16) -> None:
     """One job: ``split=train`` and ``split=eval`` folders of JSON lines, shuffled across languages.
 
     Read in the order of their names, the files of a split hold its rows in draw order; see
     :func:`gleanset.sources.writers.write_shuffled`. ``files`` is how many there are of each split at most.
     """
-    write_shuffled(dataset, path, ("split",), ("language", "id"), seed, files)
+    write_shuffled(dataset, path, files, ("split",), ("language", "id"), seed)
 
 
 def add_synthetic(train: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -202,15 +202,43 @@ def prepare_training(
     The train split of a written dataset (JSON lines), with the synthetic rows of a CSV folder added
     to it, and its eval split. A record without instruction, input or output fails the run.
     """
-    rows = read_dataset(spark, dataset_path)
-    columns = ["split", "source", "instruction", "input", "output"]
-    rows = rows.withColumn("source", F.lit("original")).select(columns)
+    rows = read_dataset(spark, dataset_path).withColumn("source", F.lit("original")).select(TRAINING)
     if synthetic_path is not None:
-        made = read_csv(spark, synthetic_path).withColumns({"split": F.lit("train"), "source": F.lit("synthetic")})
-        rows = rows.unionByName(made.select(columns))
+        rows = rows.unionByName(_synthetic(read_csv(spark, synthetic_path)))
     checked = rows.filter(chat.require_fields(F.col("instruction"), F.col("input"), F.col("output")))
+    return _training_texts(checked, template)
+
+
+TRAINING = ["split", "source", "instruction", "input", "output"]
+
+
+def _synthetic(made: DataFrame) -> DataFrame:
+    return made.withColumns({"split": F.lit("train"), "source": F.lit("synthetic")}).select(TRAINING)
+
+
+def _training_texts(rows: DataFrame, template: chat.ChatTemplate) -> DataFrame:
     messages = chat.to_messages(F.col("instruction"), F.col("input"), F.col("output"))
-    return checked.select("split", "source", chat.render_chat(messages, template).alias("text"))
+    return rows.select("split", "source", chat.render_chat(messages, template).alias("text"))
+
+
+def check_training(
+    spark: SparkSession,
+    dataset_path: str,
+    folder: str,
+    synthetic_path: str | None = None,
+    template: chat.ChatTemplate = chat.ChatTemplate(),
+) -> Checked:
+    """:func:`prepare_training` that goes on: the good texts, and (source, file, record, reason) of every line
+    or row that is malformed or lacks a field. What was read is written once under the new ``folder``."""
+    # Split folders are no part of a line, so their names are not asked for there.
+    original = check_instructions(spark, dataset_path, f"{folder}/original", DATASET_SCHEMA)
+    good = original.good.withColumn("source", F.lit("original")).select(TRAINING)
+    rejects = original.rejects.withColumn("source", F.lit("original"))
+    if synthetic_path is not None:
+        made = check_csv(spark, synthetic_path, f"{folder}/synthetic")
+        good = good.unionByName(_synthetic(made.good))
+        rejects = rejects.unionByName(made.rejects.withColumn("source", F.lit("synthetic")))
+    return Checked(_training_texts(good, template), rejects.select("source", "file", "record", "reason"))
 
 
 def dataset_shortfall(dataset: DataFrame, wanted: dict[str, dict[str, int]]) -> DataFrame:

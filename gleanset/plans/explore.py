@@ -21,15 +21,20 @@ def explore(
     id_col: str = "id",
     top: int = 20,
     folder: str | None = None,
+    sketch_bits: int | None = None,
 ) -> dict[str, DataFrame]:
     """Lazy result tables by name, per group of ``by``; each one is a single scan and its own small
     aggregate.
 
     The three length tables come from one frequency table. With a ``folder`` that table, the narrow
     table for the findings and the ids of duplicates are written there, so that texts are measured
-    once and do not travel.
+    once and do not travel. With ``sketch_bits`` the table is a sketch of bounded size, and its figures are
+    within :func:`gleanset.operators.profile.sketch_error`.
     """
-    frequencies = profile.length_frequencies(df, text, by)
+    if sketch_bits is None:
+        frequencies = profile.length_frequencies(df, text, by)
+    else:
+        frequencies = profile.length_sketch(df, text, by, sketch_bits)
     if folder is not None:
         frequencies = materialized(frequencies, f"{folder}/lengths")
     narrow = df.select(

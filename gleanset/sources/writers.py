@@ -20,22 +20,23 @@ def write_jsonl(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 def write_shuffled(
     df: DataFrame,
     path: str,
+    files: int,
     partition_by: Sequence[str] = ("split",),
     key: Sequence[str] = ("id",),
     seed: int = fixed.SEED,
-    files: int | None = None,
     mode: str = "error",
 ) -> None:
     """JSON lines in random order: read in the order of their names, the files of a folder hold its rows in
     the order of ``md5(seed:key)``, equal draws by the key. ``key`` is unique, its parts joined by colons.
 
-    One range shuffle: a task takes an even stretch of the draws, sorts it, and writes one file a folder,
-    so no task sees a whole folder and nobody sorts it. ``files`` is the number of tasks; without it AQE
-    joins neighbouring stretches, which keeps their order. Names keep it up to 99,999 tasks.
+    One shuffle: draws are even, so each of ``files`` tasks takes an equal stretch of them, without a look at
+    the data before, sorts it, and writes one file a folder. No task sees a whole folder and nobody sorts
+    it. Names keep the order up to 99,999 files; take one for some hundred megabytes.
     """
     drawn = with_draw(df.withColumn("_key", F.concat_ws(":", *key)), "_key", seed).drop("_slot")
     order = ["_draw", "_key"]
-    ranged = drawn.repartitionByRange(*([] if files is None else [files]), *order)
+    stretch = F.expr(f"cast(cast(conv(substring(_draw, 1, 8), 16, 10) AS bigint) * {files} div {1 << 32} AS int)")
+    ranged = drawn.repartitionById(files, stretch)
     # Sorted by folder first, as the writer wants it, so that it does not sort again by folder alone.
     write_jsonl(ranged.sortWithinPartitions(*partition_by, *order).drop(*order), path, partition_by, mode)
 

@@ -221,6 +221,8 @@ def test_explore(spark, tmp_path):
     df = spark.createDataFrame(rows, "id long, t string, l string, split string")
     tables = explore.explore(df, "t", ["l"], ["split"], folder=str(tmp_path))
     assert (tmp_path / "lengths").exists()
+    sketched = explore.explore(df, "t", ["l"], ["split"], sketch_bits=4)
+    assert sorted(map(tuple, sketched["lengths"].collect())) == sorted(map(tuple, tables["lengths"].collect()))
     assert {name: table.count() for name, table in tables.items()} == {
         "columns": 6,
         "head": 6,

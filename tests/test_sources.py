@@ -187,14 +187,14 @@ def test_bad_csv_rows_become_rejects(spark, tmp_path):
         readers.check_csv(spark, str(tmp_path / "in"), str(tmp_path / "again"))
 
 
-@pytest.mark.parametrize("files", [None, 1, 7])
+@pytest.mark.parametrize("files", [1, 7, 16])
 def test_files_in_name_order_hold_the_draw_order(spark, tmp_path, files):
     import hashlib
 
     rows = [(i, lang, "train" if i % 5 else "eval") for i in range(600) for lang in ("EN", "VI")]
     df = spark.createDataFrame(rows, "id long, language string, split string").repartition(5)
     path = str(tmp_path / "out")
-    writers.write_shuffled(df, path, ("split",), ("language", "id"), files=files)
+    writers.write_shuffled(df, path, files, ("split",), ("language", "id"))
     for split in ("train", "eval"):
         names = sorted(glob.glob(f"{path}/split={split}/*.json"))
         got = [(r["language"], r["id"]) for f in names for r in map(json.loads, open(f, encoding="utf-8"))]
@@ -203,8 +203,7 @@ def test_files_in_name_order_hold_the_draw_order(spark, tmp_path, files):
             key=lambda x: hashlib.md5(f"42:{x[0]}:{x[1]}".encode()).hexdigest(),
         )
         assert got == want
-        if files is not None:
-            assert len(names) <= files
+        assert len(names) == files
         # Both languages are spread over the files.
         head = got[: len(got) // 4]
         assert 0.3 < sum(lang == "EN" for lang, _ in head) / len(head) < 0.7
@@ -235,3 +234,21 @@ def test_answers_bucketed_alike_join_without_a_shuffle(spark, tmp_path):
     assert len(got) == 50 and got[7] == ("text 7", "unparseable", False) and got[9] == ("text 9", "neutral", True)
     with pytest.raises(Exception, match="no baseline answer for example 7"):
         evaluation.joined_answers(*tables).collect()
+
+
+def test_training_files_with_broken_records(spark, tmp_path):
+    rows = [("EN", "train", 1, "do", "a", "x"), ("VI", "eval", 2, "do", "b", "y"), ("EN", "train", 3, "do", None, "x")]
+    df = spark.createDataFrame(rows, "language string, split string, id long, instruction string, input string, output string")
+    dataset, made = str(tmp_path / "d"), tmp_path / "csv"
+    datasets.write_dataset(df, dataset)
+    (tmp_path / "d" / "split=train" / "part-99999.json").write_text('{"id": 4, "instruction"\n')
+    made.mkdir()
+    (made / "a.csv").write_text("instruction,input,output\ndo,c,z\ndo,d\n")
+    read = datasets.check_training(spark, dataset, str(tmp_path / "checked"), str(made))
+    good = {(r.split, r.source): r.text for r in read.good.collect()}
+    assert set(good) == {("train", "original"), ("eval", "original"), ("train", "synthetic")}
+    assert "Text: c" in good["train", "synthetic"] and "Text: b" in good["eval", "original"]
+    got = sorted((r.source, r.reason) for r in read.rejects.collect())
+    assert got == [("original", "lacks input"), ("original", "malformed"), ("synthetic", "malformed")]
+    with pytest.raises(Exception):
+        datasets.prepare_training(spark, dataset).collect()
