@@ -912,6 +912,13 @@ def _(spark, sf):
     return synthetic.build_synthetic(fx.prompts(spark, sf), writer_model(), labeller_model(), folder, n=10, target=30)
 
 
+@query("collect_in_waves", f"WITH {_WRITTEN} SELECT text, id AS attempt FROM u")
+def _(spark, sf):
+    """The first texts of a generator that is asked no further than they need."""
+    folder = scratch_path(spark, "waves")
+    return generation.collect_in_waves(fx.prompts(spark, sf), writer_model(), folder, 30)
+
+
 @query(
     "synthetic_checks",
     f"""WITH {_MADE} SELECT count(*) AS rows, count(*) FILTER (NOT label_is_valid) AS invalid_labels,

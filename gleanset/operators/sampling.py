@@ -268,7 +268,7 @@ def _proportional_ids(rows: DataFrame, n: int, seed: int, classes: Sequence[str]
     if groups is not None:
         placed = rk.rank_drawn(placed, ["_in"], n * groups, "_turn")
     else:  # any number of classes: ranked over the slots of the draw
-        placed = rk.rank_by_slots(placed, rk.slot_counts(placed, ["_in"]), ["_in"], out="_turn", groups=2)
+        placed = rk.rank_by_slots(placed, rk.slot_counts(placed, ["_in"]), ["_in"], upto=n, out="_turn", groups=2)
     wanted = F.when(F.col("_in"), F.col("_turn") <= n).otherwise(F.col("_turn") <= F.col("more"))
     return placed.filter(wanted).select("id")
 
