@@ -135,9 +135,10 @@ def length_sketch(
 
     A length keeps its ``bits`` leading bits and stands in the middle of all lengths that share them, so a
     group has at most ``2 ** (bits - 1)`` entries for each doubling of the lengths, however many texts and
-    different lengths it has. Lengths below ``2 ** bits`` are exact; all others, and so every quantile,
-    whisker and mean taken from the sketch by :func:`describe_lengths` or :func:`box_figures`, differ by
-    at most :func:`sketch_error` of the true figure. Counts are exact.
+    different lengths it has. Lengths below ``2 ** bits`` are exact; all others, and so every quantile, mean,
+    minimum and maximum taken from the sketch by :func:`describe_lengths` or :func:`box_figures`, differ by
+    at most :func:`sketch_error` of the true figure. Counts are exact. Whiskers and outliers are those of the
+    sketch: a length that near a whisker's end may fall on its other side.
     """
     text = F.col(text_col)
     entries = F.array(
