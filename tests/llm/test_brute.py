@@ -10,10 +10,8 @@ import zlib
 from datetime import date
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
-from gleanset.llm import license_scan, packing, pii, pretokens, queries
+from gleanset.llm import license_scan, pii, pretokens, queries
 
 sys.path.insert(0, os.path.dirname(__file__))
 from test_llm import ODD, linked_by_hand, print_by_hand, table
